@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, line_dedup, simhash, url_filter
 from .common import table
 
 
@@ -14,12 +15,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_points=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, url_filter.labelled_hosts(pages)).drop("listed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_simhash_dedup)}
+    return {f.__name__: f for f in (op3_exact_dedup, op5_line_dedup, op7_simhash_dedup, op10_url_filter)}
 
 
 OP3_SQL = r"""
@@ -30,5 +41,27 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY h ORDER BY rn) AS keep_id,
 """
 
 
+OP5_SQL = r"""
+WITH l AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+e AS (SELECT doc_id, r, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM l),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+ sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, k.doc_id
+"""
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html|/)$', '') END AS canon FROM p),
+l AS (SELECT DISTINCT canon FROM c WHERE list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'cheap-pills', 'ads-track'])),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) AS t(v, h, q)),
+b AS (SELECT page_id, url_key, v, h || q AS rule, row_number() OVER (PARTITION BY url_key ORDER BY length(h || q) DESC) AS rn
+ FROM (SELECT row_number() OVER () AS url_key, * FROM c) x JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
+SELECT x.page_id, host, path, b.rule, coalesce(b.v, CASE WHEN l.canon IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM (SELECT row_number() OVER () AS url_key, * FROM c) x LEFT JOIN b ON b.url_key = x.url_key AND rn = 1 LEFT JOIN l ON l.canon = x.canon
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op10_url_filter": OP10_SQL}
