@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, simhash, url_filter
-from .common import table
+from . import bpe, crf_langid, exact_dedup, line_dedup, packing, quality, simhash, url_filter
+from .common import split_of, table
+
+
+def op2_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_langid.fit_sample(docs.filter(split_of("doc_id", 3) != 1))
+    return crf_langid.label(docs.select("doc_id", "text", (split_of("doc_id", 3) == 1).alias("held_out")), model).drop("text")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_points=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -48,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op10_url_filter)}
+    return {f.__name__: f for f in (op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op10_url_filter)}
 
 
 OP3_SQL = r"""
