@@ -26,7 +26,7 @@ from . import common
 N = 5
 BUCKETS = 1 << 16
 TRUST_ROWS = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.3
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
