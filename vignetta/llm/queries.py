@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, exact_dedup, line_dedup, packing, quality, simhash, url_filter
+from . import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, simhash, url_filter
 from .common import split_of, table
 
 
+def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_corpus(table(spark, sf_dir, "documents"), split_of("doc_id", 7) == 2)
+
+
 def op2_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = crf_langid.fit_sample(docs.filter(split_of("doc_id", 3) != 1))
@@ -58,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ctw_score, op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op10_url_filter)}
 
 
 OP3_SQL = r"""
