@@ -192,7 +192,8 @@ class Tokenizer:
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text in UTF-8 as little-endian unsigned 32-bit integers."""
-        parts = text.split()
+        # lower-casing first only joins memo entries; special tokens are matched before the tokenizer lower-cases
+        parts = (text if b"<|" in text else text.lower()).split()
         if len(text) > 64 * (len(parts) + 1):  # very long chunks aren't kept
             return b"".join(self.chunks[p] if len(p) < 256 else self._chunk(p) for p in parts)
         return b"".join(map(self.chunks.__getitem__, parts))

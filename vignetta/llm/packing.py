@@ -17,6 +17,7 @@ one doc_id are told apart by nothing but their order; an empty table gives no ro
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ STEP_TOKENS = 65_536
 CLOSE_ID = 2
 MEMO = 800_000
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
+_MARKS = (b".", b",", b";", b":", b"!", b"?")
 _LIBRARY: dict[str, tuple] = {}
 
 
@@ -46,17 +48,27 @@ def _encoder(path: str):
         _LIBRARY[path] = (tok, {})
     tok, memo = _LIBRARY[path]
 
+    def stem(c: bytes) -> bytes:
+        # a closing mark after a letter or digit is a token sequence of its own
+        return c[:-1] if c[-1:] in _MARKS and c[-2:-1].isalnum() else c
+
     def encode(texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = list({c for p in parts for c in p} - memo.keys())
-        if len(memo) + len(new) > MEMO:
+        # the tokenizer lower-cases; doing so first only joins memo entries, but special tokens are matched before it
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(memo.get, p)) for p in parts]
+        new = {c for p, f in zip(parts, found) if None in f for c, v in zip(p, f) if v is None}
+        if memo and len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list({c for p in parts for c in p})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+            return encode(texts)
+        ask = list(({stem(c) for c in new} | set(_MARKS)) - memo.keys())
+        for i in range(0, len(ask), 10_000):
+            some = ask[i : i + 10_000]
             for c, e in zip(some, tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+                memo[c] = array("I", e.ids).tobytes()
+        for c in new:
+            if c not in memo:
+                memo[c] = memo[c[:-1]] + memo[c[-1:]]
+        return [b"".join(map(memo.__getitem__, p)) if None in f else b"".join(f) for p, f in zip(parts, found)]
 
     return encode
 
