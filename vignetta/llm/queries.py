@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, simhash, url_filter
+from . import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, simhash, tool_calls, url_filter
 from .common import split_of, table
 
 
@@ -56,13 +56,19 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link_calls(calls, results)
+    return linked.select("conv_id", "turn", "call_id", "name", "status", "problem", "round", F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.labelled_hosts(pages)).drop("listed")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ctw_score, op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op10_url_filter)}
+    return {f.__name__: f for f in (op1_ctw_score, op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op9_tool_calls, op10_url_filter)}
 
 
 OP3_SQL = r"""
