@@ -45,9 +45,13 @@ def chart_in(text: Column) -> Column:
     return out
 
 
+def chart_named(tags: Column, caption: Column) -> Column:
+    """Chart class named in the tags, else in the caption, else null."""
+    return F.coalesce(chart_in(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ; ")), chart_in(caption))
+
+
 def chart_from_text(tags: Column, caption: Column) -> Column:
-    """Chart class named in the tags, else in the caption, else the empty string."""
-    return F.coalesce(chart_in(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ; ")), chart_in(caption), F.lit(""))
+    return F.coalesce(chart_named(tags, caption), F.lit(""))
 
 
 def caption_kind(caption: Column, num: Column, page: Column, has_raster: Column, n_drawings: Column) -> Column:
@@ -83,8 +87,8 @@ def award_rank(note: Column, source: Column) -> Column:
     return out.when(n.rlike(r"\brecent \("), 5).when(source == "seed", 4).otherwise(5)
 
 
-def award_label(note: Column, source: Column, english: bool = True) -> Column:
-    rank = award_rank(note, source)
+def award_label(rank: Column, note: Column, english: bool = True) -> Column:
+    """Label of a rank that award_rank gave."""
     out = None
     for r, zh, en, _ in L.AWARD_TIERS:
         label = en if english else zh

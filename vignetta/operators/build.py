@@ -45,8 +45,9 @@ def resolve_meta(papers: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.coalesce(blank(F.col("pdf_arxiv_id")), F.when(has & full_id, F.col("paper_key")), F.lit("")).alias("arxiv_id"),
         note.alias("note"), url.alias("url"), C.source_of(has, note, url).alias("source"), "dpi",
     )
-    source = F.col("source")
-    return with_area(out.withColumns({"award_rank": C.award_rank(F.col("note"), source), "award_zh": C.award_label(F.col("note"), source, False), "award_en": C.award_label(F.col("note"), source)}))
+    out = out.withColumn("award_rank", C.award_rank(F.col("note"), F.col("source")))
+    rank, text = F.col("award_rank"), F.col("note")
+    return with_area(out.withColumns({"award_zh": C.award_label(rank, text, False), "award_en": C.award_label(rank, text)}))
 
 
 def hide_composites(figures: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ def chart_guess(figures: DataFrame) -> DataFrame:
     vague = (F.col("v_category") == "data") & F.coalesce("v_chart_type", F.lit("")).isin("", "other", "mixed")
     asked = F.coalesce(vague, F.lit(False)) | (F.col("v_category").isNull() & (F.col("kind") == "result"))
     pred = F.coalesce("pred_label", F.lit(""))
-    text = F.when(F.col("parent").isNotNull() & (pred != ""), "").otherwise(C.chart_from_text(F.col("v_tags"), F.col("caption")))
+    text = F.when(~(F.col("parent").isNotNull() & (pred != "")), C.chart_named(F.col("v_tags"), F.col("caption")))
     from_picture = F.when(~pred.isin("", "other", *L.NON_CHART_KIND), pred)
-    return figures.withColumn("chart_guess", F.when(asked, F.coalesce(C.blank_to_null(text), from_picture)))
+    return figures.withColumn("chart_guess", F.when(asked, F.coalesce(text, from_picture)))
 
 
 def asset_urls(figures: DataFrame, files: DataFrame) -> DataFrame:

@@ -80,7 +80,8 @@ SELECT CONCAT('o', CAST(l_orderkey AS STRING)) AS paper_key, 1 + l_partkey % 3 A
  FROM (SELECT l.*, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS pos FROM lineitem l) t JOIN part ON l_partkey = p_partkey
 """,
     "fx_responses": r"""
-SELECT fig_id, CONCAT(CASE WHEN pos % 2 = 0 THEN '
+SELECT fig_id, CONCAT(CASE WHEN pos % 2 = 0 THEN '```json' ELSE '' END, '{"category": "', CASE WHEN n_drawings % 9 = 0 THEN 'Chart' ELSE COALESCE(UPPER(v_category), 'data') END, '", "chart_type": "', COALESCE(v_chart_type, 'sunburst'),
+ '", "tags": ', CASE WHEN pos % 3 = 0 THEN '"Log scale, Icons ,,legend"' ELSE '["Error Bars", " icons ", ""]' END, ', "summary_zh": "s"}', CASE WHEN pos % 2 = 0 THEN '```' ELSE '' END) AS reply FROM fx_figures f
 """,
     "fx_candidates": r"""
 SELECT c_mktsegment AS venue, CONCAT('Title ', CAST(o_custkey % 500 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END) AS title,
