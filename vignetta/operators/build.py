@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lookups as L
+from ..session import shared_path
 
 
 def area_of(venue: Column) -> Column:
@@ -173,8 +174,11 @@ def assign_shards(papers: DataFrame, n: int) -> DataFrame:
     Rows are range-partitioned and numbered inside their partitions; a count per partition (one small row each) gives
     the offsets, so no task sees all papers.
     """
-    parts = int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = papers.repartitionByRange(parts, "paper_key").withColumn("_part", F.spark_partition_id())
+    spark = papers.sparkSession
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_path(spark, "ranged")
+    # range bounds come from a sample, so the ranged rows are written once: counts and rows must agree
+    papers.repartitionByRange(parts, "paper_key").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    spread = spark.read.parquet(path)
     numbered = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("paper_key")))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition, no more

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import with_views
 
-MODULES = ("q_seeds", "q_build", "q_labels", "q_layout")
+MODULES = ("q_seeds", "q_build", "q_labels", "q_layout", "q_rest")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
