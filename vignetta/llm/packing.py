@@ -33,6 +33,7 @@ STEP_TOKENS = 65_536
 CLOSE_ID = 2
 MEMO = 2_000_000
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MARKS = (b".", b",", b";", b":", b"!", b"?")
 _LIBRARY: dict[str, tuple] = {}
 
@@ -70,22 +71,68 @@ def _encoder(path: str):
                 memo[c] = raw[at:cut]
                 at = cut + 4
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        # the tokenizer lower-cases; doing so first only joins memo entries, but special tokens are matched before it
-        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*parts) - memo.keys()
+    def ids_of(chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks, from the memo or the library."""
+        new = [c for c in chunks if c not in memo]
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = set().union(*parts)
+            new = chunks
         look_up(list(({stem(c) for c in new} | set(_MARKS)) - memo.keys()))
         for c in new:
             if c not in memo:
                 memo[c] = memo[c[:-1]] + memo[c[-1:]]
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        return list(map(memo.__getitem__, chunks))
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        # the tokenizer lower-cases; doing so first only joins chunks, but special tokens are matched before it
+        lowered = [t if b"<|" in t else t.lower() for t in texts]
+        which, chunks, ends = distinct_chunks(lowered)
+        coded = ids_of(chunks)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        per = size[which]
+        to = np.cumsum(per)
+        at = np.arange(int(to[-1]) if len(to) else 0) + np.repeat((np.cumsum(size) - size)[which] - (to - per), per)
+        raw = flat[at].tobytes()
+        cut = [0, *(4 * np.concatenate(([0], to))[ends]).tolist()]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
 
     return encode
 
 
+def distinct_chunks(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """White-space chunks of texts: the number of each one's distinct chunk, the distinct chunks, and chunks up to each text's end.
+
+    Chunks of up to 16 bytes are told apart by their first and last 8 bytes and length in one vectorised
+    pass (a hash orders them, equality is checked); longer ones go through a dictionary.
+    """
+    joined = b"\0" * 8 + b" ".join([*texts, b""]) + b"\0" * 8
+    raw = np.frombuffer(joined, np.uint8)
+    space = np.concatenate(([True], _IS_SPACE[raw[8:-8]], [True]))
+    start, end = 8 + np.flatnonzero(space[:-1] & ~space[1:]), 8 + np.flatnonzero(~space[:-1] & space[1:])
+    text_end = 8 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    ends = np.searchsorted(start, text_end)
+    size = end - start
+    window = np.ndarray((len(raw) - 7,), ">u8", joined, 0, (1,))
+    short = np.minimum(size, 8).astype(np.uint64) * np.uint64(8)
+    head = window[start].astype(np.uint64) >> (np.uint64(64) - short)
+    tail = window[end - 8].astype(np.uint64) & (np.uint64(2**64 - 1) >> (np.uint64(64) - short))
+    key = (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64))
+    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    rep = first[which]
+    same = (head[rep] == head) & (tail[rep] == tail) & (size[rep] == size) & (size <= 16)
+    chunks = [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+    own: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():
+        c = joined[start[i] : end[i]]
+        if c not in own:
+            own[c] = len(chunks)
+            chunks.append(c)
+        which[i] = own[c]
+    return which, chunks, ends
+
+
 class Packer:
     """Places documents of one task; `out` gets (doc, start, length, sequence, offset, tier, group)."""
 
