@@ -98,19 +98,26 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, n
                     rest = rest[~near]
     else:
         fps = np.sort(fps)
-        parent = np.arange(len(fps))
+        parent = list(range(len(fps)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         for m in _near_masks(radius):
             at = np.minimum(np.searchsorted(fps, fps ^ m), len(fps) - 1)
-            found = (fps[at] == fps ^ m) & (parent[at] != parent) & (fps < fps ^ m)
-            if found.any():
-                a.append(fps[found])
-                b.append(fps[at[found]])
-                for x, y in zip(np.flatnonzero(found), at[found]):
-                    while parent[x] != x:
-                        parent[x] = x = parent[parent[x]]
-                    while parent[y] != y:
-                        parent[y] = y = parent[parent[y]]
-                    parent[max(x, y)] = min(x, y)
+            found = np.flatnonzero((fps[at] == fps ^ m) & (fps < fps ^ m))
+            new = []
+            for x, y in zip(found.tolist(), at[found].tolist()):
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    new.append((x, y))
+            if new:
+                x, y = np.array(new).T
+                a.append(fps[x])
+                b.append(fps[y])
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(a), np.concatenate(b)
