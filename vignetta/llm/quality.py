@@ -64,7 +64,7 @@ def buckets(words: list[bytes], n: int = N) -> np.ndarray:
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUST_ROWS) -> np.ndarray:
-    good = labels.filter("quality = 1").select("doc_id").distinct()
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     found = good.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).collect()
     return np.array(sorted(r["doc_id"] for r in found), np.int64)
 

@@ -104,8 +104,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) ->
 
 
 def _quoted(col: str) -> Column:
-    """A string as JSON text."""
-    return F.regexp_extract(F.to_json(F.struct(F.col(col).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    """A string as JSON text, null for null."""
+    return F.when(F.col(col).isNotNull(), F.regexp_extract(F.to_json(F.struct(F.col(col).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 
 
 def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
