@@ -395,3 +395,14 @@ def test_pipeline_rows_are_what_the_stages_keep(spark, corpus):
     kept = {r["doc_id"] for r in run(spark, "op4_quality") if r["kept"]}
     texts = {hashlib.sha256("".join((corpus[i] or "").split()).encode()).digest() for i in docs}
     assert docs and docs <= set(corpus) and len(texts) == len(docs) and len(docs - kept) <= 0.05 * len(docs)
+
+
+def test_filtering_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "and", "of"]) + str(rng.randrange(999)) for _ in range(90)) for _ in range(30)] + ["12 34"]
+    docs = frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    out = corpus_pipeline.language_id(spark, docs, SF)
+    assert out.columns == docs.columns and {(r["score"], r["kept"], r["size"]) for r in out.collect()} == {(9.0, False, 1)} and out.count() == 30
+    assert corpus_pipeline.quality_rules(spark, docs, SF).columns == docs.columns
