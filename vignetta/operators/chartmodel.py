@@ -55,7 +55,7 @@ def normalize_embeddings(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 def frequent_classes(labelled: DataFrame, least: int = L.MIN_PER_CLASS) -> DataFrame:
     """Class counts of the classes with at least `least` rows."""
-    return labelled.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return labelled.groupBy("label").agg(F.count("label").alias("n")).filter(F.col("n") >= least)
 
 
 def class_weights(labelled: DataFrame) -> DataFrame:
