@@ -42,7 +42,8 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Per-paper metadata, keyed by the file's stem."""
     rows = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).json(path)
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record").withColumn("paper_key", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    # a broken record has no title; naming a second column lets the reader prune the rest
+    return rows.filter("NOT (_corrupt_record IS NOT NULL AND title IS NULL)").drop("_corrupt_record").withColumn("paper_key", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
