@@ -31,7 +31,7 @@ from . import common
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 65_536
 CLOSE_ID = 2
-MEMO = 2_000_000
+MEMO = 800_000
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _MARKS = (b".", b",", b";", b":", b"!", b"?")
