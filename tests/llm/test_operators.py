@@ -91,6 +91,14 @@ def test_ctw_equals_brute_force(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(mine), sum(c[w] > 0 for w in mine), len(words))
 
 
+@pytest.mark.parametrize("most", [0, 5, 40])
+def test_ctw_scores_do_not_depend_on_the_table(spark, most):
+    texts = ["abracadabra banana", "the cat", "é no", "", None, "the cat", "A banana cat xyz", "zq zq"]
+    got = ctw.score_corpus(frame(spark, texts), F.col("doc_id") >= 6, table_grams=most).orderBy("doc_id").collect()
+    plain = [t or "" for t in texts]
+    assert [r["score"] for r in got] == pytest.approx(ctw_brute(plain[:6], plain), abs=1e-7)
+
+
 def test_ctw_without_training_and_empty(spark):
     got = ctw.score_corpus(frame(spark, ["ab"]), F.lit(True)).first()
     assert got["score"] == pytest.approx(24 * math.log10(0.5)) and got["n_known"] == 0

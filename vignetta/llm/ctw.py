@@ -8,12 +8,12 @@ say, half and half before any data, so all depths take part:
 
 Training is exact and distributed: tasks count the (DEPTH + 1)-byte strings of all training texts, sums are shuffled, and
 the trees are folded level by level with group-bys, deepest first, each child adding its counts and log Pw to its
-parent. A second walk from the root down turns the posterior weights into one number for each node: the probability of a
-1 if the known contexts end there. What is gathered grows with the corpus.
+parent. A second walk from the root down turns the posterior weights into the probability of a 1 at every deepest node.
 
-For scoring, the nodes travel as one table of at most TABLE_NODES entries (12 bytes each and an index). While the trees
-hold no more nodes than that, the table is the whole model; beyond, nodes seen less often than a common limit
-end their trees at their parents. Unknown deeper contexts count as nodes without data (1/2).
+Strings that only held-out texts have go into the trees with count zero. Such nodes have Pw = 1 and change no other
+node, and their probability is that of a known context whose deeper ones have no data (1/2); so every string to be
+scored has its eight deepest nodes, and one join gives its log probability. The TABLE_GRAMS commonest strings
+travel as a table; the others of each text are looked up by a join on the string, with the same values.
 
 The word unigram base beside it uses counts of all training words: those frequent enough that at most FREQUENT
 of them can exist (N / FREQUENT occurrences) are looked up in a broadcast table, all others by a join on the word.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 5
-TABLE_NODES = 1 << 22
+TABLE_GRAMS = 1 << 21
 FREQUENT = 1 << 20
 MEMO_BITS = 21
 FLUSH_WORDS = 200_000
@@ -46,6 +46,7 @@ BATCH_ROWS = 250
 END_WORD = b""
 _PAD, _END = b"\xfe" * 8, b"\xff"
 _K = np.uint64(0x9E3779B97F4A7C15)
+ABSENT = 1.0  # no log probability is positive
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,32 +61,38 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_corpus(docs: DataFrame) -> DataFrame:
-    """(gram, word, n): counts of byte strings (word null) and of words (gram null); the end of a text is the empty word."""
+    """(gram, word, n, seen): byte strings (word null) of all texts with their counts in training and in all texts, and training words (gram null); the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
+        names = ["gram", "word", "n", "seen"]
 
         def word_rows() -> pa.RecordBatch:
-            n = len(words)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["gram", "word", "n"])
+            n, counts = len(words), pa.array(list(words.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(words), pa.binary()), counts, counts], names)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([n for _, n in grams])).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
+            n, seen = (np.bincount(at, np.concatenate([g[i] for g in grams])).astype(np.int64) for i in (1, 2))
+            return key, n, seen
 
-        def gram_rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.binary()), pa.array(n)], ["gram", "word", "n"])
+        def gram_rows(key: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.binary()), pa.array(n), pa.array(seen)], names)
 
         for b in batches:
-            texts = common.text_bytes(b.column("text"))
-            key, n = np.unique(codes(texts)[0], return_counts=True)
-            grams.append((key, n))
-            held += len(key)
-            for t in texts:
+            texts, out = common.text_bytes(b.column("text")), b.column("held_out").to_pylist()
+            train = [t for t, h in zip(texts, out) if h is False]
+            for part, learned in ((train, True), ([t for t, h in zip(texts, out) if h is not False], False)):
+                if part:
+                    key, seen = np.unique(codes(part)[0], return_counts=True)
+                    grams.append((key, seen if learned else np.zeros_like(seen), seen))
+                    held += len(key)
+            for t in train:
                 words.update(t.lower().split())
-            words[END_WORD] += len(texts)
+            if train:
+                words[END_WORD] += len(train)
             if len(words) > FLUSH_WORDS:
                 yield word_rows()
                 words = Counter()
@@ -100,7 +107,8 @@ def count_corpus(docs: DataFrame) -> DataFrame:
         if grams:
             yield gram_rows(*merged())
 
-    return docs.select("text").mapInArrow(run, "gram bigint, word binary, n bigint").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text", "held_out").mapInArrow(run, "gram bigint, word binary, n bigint, seen bigint")
+    return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def _lgamma(x: Column) -> Column:
@@ -110,18 +118,23 @@ def _lgamma(x: Column) -> Column:
 
 
 def _log_kt(n0: Column, n1: Column) -> Column:
-    """Natural log of the Krichevsky-Trofimov block probability."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
+    """Natural log of the Krichevsky-Trofimov block probability; exactly 0 without data."""
+    return F.when(n0 + n1 == 0, F.lit(0.0)).otherwise(_lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi))
 
 
-def fold_trees(grams: DataFrame) -> list[DataFrame]:
-    """Nodes by depth 0 .. DEPTH: key (context bytes and decision node), n0, n1, weight of the node's own estimate."""
+def _bits(grams: DataFrame, *more: str) -> DataFrame:
+    """The eight deepest nodes of each gram: key (context bytes and decision node) and the bit taken there."""
     j = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")
-    bits = grams.select("gram", "n", j).selectExpr(
+    return grams.select("gram", *more, j).selectExpr(
+        "gram", *more,
         "shiftleft(shiftright(gram, 8), 8) | (shiftleft(1L, j) | shiftright(gram & 255L, 8 - j)) AS key",
-        "n * (1 - (shiftright(gram & 255L, 7 - j) & 1L)) AS n0",
-        "n * (shiftright(gram & 255L, 7 - j) & 1L) AS n1",
+        "shiftright(gram & 255L, 7 - j) & 1L AS bit",
     )
+
+
+def fold_trees(grams: DataFrame) -> list[DataFrame]:
+    """Nodes by depth 0 .. DEPTH: key, n0, n1, weight of the node's own estimate."""
+    bits = _bits(grams, "n").selectExpr("key", "n * (1 - bit) AS n0", "n * bit AS n1")
     leaf = bits.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     leaf = leaf.withColumn("log_pw", _log_kt(F.col("n0"), F.col("n1"))).withColumn("weight", F.lit(1.0))
     levels = [common.saved(leaf, f"ctw-up-{DEPTH}")]
@@ -139,8 +152,8 @@ def fold_trees(grams: DataFrame) -> list[DataFrame]:
 
 
 def predictions(levels: list[DataFrame]) -> DataFrame:
-    """(depth, key, n, ends, cut): the probability of a 1 where contexts end, deeper ones unknown or cut off."""
-    out, above = None, None
+    """(key, p1): the probability of a 1 at every deepest node."""
+    above = None
     for d, level in enumerate(levels):
         k1 = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
         if above is None:
@@ -148,27 +161,29 @@ def predictions(levels: list[DataFrame]) -> DataFrame:
         else:
             up = above.select(F.col("key").alias("up"), F.col("mix").alias("up_mix"), F.col("rest").alias("up_rest"))
             here = level.withColumn("up", F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(up, "up").drop("up")
-        here = here.select(
-            "key", (F.col("n0") + F.col("n1")).alias("n"), (F.col("up_mix") + F.col("up_rest") * k1).alias("cut"),
-            (F.col("up_mix") + F.col("up_rest") * F.col("weight") * k1).alias("mix"), (F.col("up_rest") * (1 - F.col("weight"))).alias("rest"),
-        )
+        here = here.select("key", (F.col("up_mix") + F.col("up_rest") * F.col("weight") * k1).alias("mix"), (F.col("up_rest") * (1 - F.col("weight"))).alias("rest"))
         above = common.saved(here, f"ctw-down-{d}")
-        rows = above.select(F.lit(d).alias("depth"), "key", "n", (F.col("mix") + F.col("rest") / 2).alias("ends"), "cut")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return above.select("key", F.col("mix").alias("p1"))
+
+
+def gram_scores(grams: DataFrame) -> DataFrame:
+    """(gram, seen, value): log10 probability of each gram's last byte after the bytes before it."""
+    nodes = predictions(fold_trees(grams))
+    of = _bits(grams, "seen").join(nodes, "key")
+    return of.groupBy("gram").agg(F.first("seen").alias("seen"), F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1")))).alias("value"))
 
 
-class NodeTable:
-    """Look-up of nodes: keys in hash order with the first entry of every hash value."""
+class GramTable:
+    """Look-up of grams: keys in hash order with the first entry of every hash value."""
 
-    def __init__(self, keys: np.ndarray, p1: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, len(keys).bit_length())
         h = ((keys * _K) >> np.uint64(64 - self.bits)).astype(np.uint32)
         self.first = np.zeros((1 << self.bits) + 1, np.int32)
         np.cumsum(np.bincount(h, minlength=1 << self.bits), out=self.first[1:])
         order = np.argsort(h, kind="stable")
         del h
-        self.keys, self.p1 = keys[order], p1[order]
+        self.keys, self.values = keys[order], values[order]
         self.deepest = int(np.diff(self.first).max(initial=0))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -188,45 +203,30 @@ class NodeTable:
         return out
 
     def log10(self, code: np.ndarray) -> np.ndarray:
-        """Log probability of each code's last byte after the bytes before it."""
-        context, sym = code >> np.uint64(8), code & np.uint64(255)
-        total = np.zeros(len(code))
-        for j in range(8):
-            node = np.uint64(1 << j) | (sym >> np.uint64(8 - j))
-            p1 = np.full(len(code), 0.5)
-            open_ = np.arange(len(code))
-            for d in range(DEPTH, -1, -1):
-                key = np.uint64(d << (8 * DEPTH + 8)) | ((context[open_] & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | node[open_]
-                at = self.find(key)
-                ok = at >= 0
-                p1[open_[ok]] = self.p1[at[ok]]
-                open_ = open_[~ok]
-                if not len(open_):
-                    break
-            total += np.log10(np.where((sym >> np.uint64(7 - j)) & np.uint64(1) == 1, p1, 1 - p1))
-        return total
-
-
-def node_table(nodes: DataFrame, most: int = TABLE_NODES) -> NodeTable:
-    """At most `most` nodes: all, or those with at least the least count that meets the bound."""
-    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n")))).cast("long")
-    hist = sorted(((r["c"], r["k"]) for r in nodes.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    least, total = 1, 0
+        """Log probability of each code's last byte after the bytes before it; ABSENT for those the table doesn't hold."""
+        at = self.find(code)
+        ok = at >= 0
+        out = np.full(len(code), ABSENT)
+        out[ok] = self.values[at[ok]]
+        return out
+
+
+def gram_table(scores: DataFrame, most: int) -> tuple[GramTable, int]:
+    """The grams seen at least as often as the returned limit, which leaves at most `most` of them."""
+    step = F.when(F.col("seen") <= 1024, F.col("seen")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("seen")))).cast("long")
+    hist = sorted(((r["c"], r["k"]) for r in scores.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = 1 << 62, 0
     for c, k in hist:
         total += k
         if total > most:
             break
         least = c
-    value = F.col("ends") if total <= most else F.col("cut")
-    least = 1 if total <= most else least
-    rows = nodes.filter(F.col("n") >= least).select((F.shiftleft(F.col("depth").cast("long"), 8 * DEPTH + 8).bitwiseOR(F.col("key"))).alias("key"), value.cast("float").alias("p1")).toArrow()
-    keys, p1 = rows["key"].to_numpy().view(np.uint64), np.clip(rows["p1"].to_numpy(), 1e-7, 1 - 1e-7)
-    del rows
-    return NodeTable(keys, p1)
+    rows = scores.filter(F.col("seen") >= least).select("gram", "value").toArrow()
+    return GramTable(rows["gram"].to_numpy().view(np.uint64), rows["value"].to_numpy()), least
 
 
-def score_texts(docs: DataFrame, table: NodeTable, frequent: dict[bytes, int], n_tokens: int, n_words: int) -> DataFrame:
-    """docs with score, n_tokens, and the base over frequent words with the list of all others."""
+def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n_tokens: int, n_words: int) -> DataFrame:
+    """docs with n_tokens, the score over the table's grams and the base over frequent words, each with the list of all others."""
     common.small_batches(docs.sparkSession, BATCH_ROWS)
     low = math.log10(n_tokens + n_words + 1)
     sent = docs.sparkSession.sparkContext.broadcast((table, {w: math.log10(c + 1) - low for w, c in frequent.items()}))
@@ -252,7 +252,12 @@ def score_texts(docs: DataFrame, table: NodeTable, frequent: dict[bytes, int], n
         def work(b: pa.RecordBatch) -> list[pa.Array]:
             texts = common.text_bytes(b.column("text"))
             code, first = codes(texts)
-            score = np.add.reduceat(log10(code), first)
+            value_of = log10(code)
+            absent = np.flatnonzero(value_of == ABSENT)
+            value_of[absent] = 0.0
+            score = np.add.reduceat(value_of, first)
+            cuts = np.append(np.searchsorted(absent, first), len(absent)).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(cuts), pa.array(code[absent].astype(np.int64)))
             tokens, known, base, rare = [], [], [], []
             for t in texts:
                 words = t.lower().split()
@@ -263,18 +268,18 @@ def score_texts(docs: DataFrame, table: NodeTable, frequent: dict[bytes, int], n
                 known.append(len(words) - none)
                 rare.append([w for w, v in zip(words, got) if v is None] if none else [])
                 base.append(math.fsum(filter(None, got)))
-            return [pa.array(score), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            return [pa.array(score), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.binary())), others]
 
         return work
 
-    return common.add_columns(docs, "score double, n_tokens bigint, known bigint, part double, rare array<binary>", start).drop("text")
+    return common.add_columns(docs, "score double, n_tokens bigint, known bigint, part double, rare array<binary>, rare_grams array<bigint>", start).drop("text")
 
 
-def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
+def score_corpus(docs: DataFrame, held_out: Column, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows held out aren't learned from."""
     common.small_batches(docs.sparkSession, BATCH_ROWS)
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    counts = common.saved(count_corpus(docs.filter(~F.col("held_out"))), "ctw-counts")
+    counts = common.saved(count_corpus(docs), "ctw-counts")
     common.small_batches(docs.sparkSession, 50_000)  # the tables that come to the driver have narrow rows
     words = counts.filter("gram IS NULL").select("word", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -282,7 +287,8 @@ def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
     often = words.filter(F.col("c") >= limit).toArrow()
     frequent = dict(zip(often["word"].to_pylist(), often["c"].to_pylist()))
     del often
-    table = node_table(predictions(fold_trees(counts.filter("gram IS NOT NULL").select("gram", "n"))))
+    scores = common.saved(gram_scores(counts.filter("gram IS NOT NULL").select("gram", "n", "seen")), "ctw-grams")
+    table, least = gram_table(scores, table_grams)
     common.small_batches(docs.sparkSession, BATCH_ROWS)
     scored = score_texts(docs, table, frequent, total, distinct)
     scored = common.saved(scored.withColumn("row_id", F.monotonically_increasing_id()), "ctw-scored")
@@ -292,7 +298,9 @@ def score_corpus(docs: DataFrame, held_out: Column) -> DataFrame:
     found = asked.join(others, "word", "left").groupBy("row_id").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - low).alias("more"), F.count("c").alias("more_known")
     )
-    return scored.drop("rare").join(found, "row_id", "left").select(
+    left = scored.select("row_id", F.explode("rare_grams").alias("gram")).join(scores.filter(F.col("seen") < least), "gram")
+    rest = left.groupBy("row_id").agg(F.sum("value").alias("rest"))
+    return scored.drop("rare", "rare_grams").join(found, "row_id", "left").join(rest, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
