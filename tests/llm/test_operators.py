@@ -152,6 +152,14 @@ def test_language_edges(spark):
     assert crf_langid.label(frame(spark, []), model).count() == 0
 
 
+def test_rare_and_wordless_labels_are_learned_from(spark):
+    assert crf_langid.fit([b"the and of " * 30, b"der die und " * 30, b" \n"], ["en", "de", "xx"]).languages == ["de", "en"]
+    rows = [(i, "the and of that with " * 9, "en") for i in range(3000)] + [(i, "der die und nicht ist " * 9, "de") for i in range(9000, 9002)] + [(9009, " \n", "xx"), (9010, "", "xx")]
+    model = crf_langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    got = crf_langid.label(frame(spark, ["the and of that", "der die und nicht"]), model).orderBy("doc_id").collect()
+    assert model.languages == ["de", "en"] and [r["lang_pred"] for r in got] == ["en", "de"] and all(r["score"] > 0.8 for r in got)
+
+
 # op3
 
 

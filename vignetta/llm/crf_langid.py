@@ -3,7 +3,7 @@
 A word's features are the byte trigrams of the blank-padded word, its prefix and suffix and the word itself
 (the lexicon), hashed into one table of weights by language; transitions between neighbouring words' languages are
 learned with them. The field is fitted on code-switched sequences that are put together from runs of labelled
-documents (at most FIT_ROWS of them, none longer than FIT_CHARS), by gradient steps on the log-likelihood. Forward-backward gives
+documents (at most FIT_ROWS of them, an equal share for each language, none longer than FIT_CHARS), by gradient steps on the log-likelihood. Forward-backward gives
 every word's posterior; a document's language has the largest mean posterior, which is its score.
 
 Long documents cost no more per word than short ones: words fall into segments of SEGMENT words whose
@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -150,12 +150,12 @@ class Model:
 
 def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: int = 64, mean_run: int = 12, batch: int = 100, epochs: int = 3, rate: float = 0.3, l2: float = 1e-5) -> Model:
     """Fit weights and transitions on sequences made of runs of words of the labelled texts."""
-    languages = sorted(set(labels))
+    words = [t.lower().split() for t in texts]
+    languages = sorted({x for w, x in zip(words, labels) if w})
     k = len(languages)
     weights, trans = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
-    words = [t.lower().split() for t in texts]
     pools = [[w for w, x in zip(words, labels) if x == lang and w] for lang in languages]
-    if k < 2 or not all(pools):
+    if k < 2:
         return Model(languages, weights, trans)
     rng = np.random.default_rng(7)
     data = []
@@ -204,11 +204,18 @@ def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: i
 
 
 def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fit on at most `rows` labelled documents, chosen by a hash of their id."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    n = max(1, usable.count())
-    share = min(1.0, rows / n)
-    few = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("text", "lang").limit(rows).collect()
+    """Fit on at most `rows` labelled documents that have words, an equal share for each language, those of the least hashes."""
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return fit([], [])
+    share = max(1, rows // len(sizes))
+    # more than enough of each language pass the limit, so that ranking them costs no more than the sample
+    limits = docs.sparkSession.createDataFrame([(x, int(min(1.0, (2 * share + 50) / n) * (1 << 40))) for x, n in sizes.items()], "lang string, most long")
+    drawn = usable.withColumn("_hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(limits), "lang").filter("_hash < most")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
+    few = drawn.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("lang", "_rank", "text").collect()
+    few.sort(key=lambda r: (r["lang"], r["_rank"]))
     return fit([r["text"].encode() for r in few], [r["lang"] for r in few])
 
 
