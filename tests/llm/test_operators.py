@@ -325,6 +325,15 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.drop_near(docs).count() == len(set(want)) and simhash.simhash_groups(frame(spark, [])).count() == 0
 
 
+def test_stages_drop_rows_not_ids(spark):
+    texts, ids = ["a b c", "ab c", "x y", "c d", "e f g", "e  f g", "x y", "q r", "q r"], [1, None, None, 5, 5, 4, None, 7, 7]
+    left = sorted((r["text"], r["doc_id"] or 0) for r in exact_dedup.drop_copies(frame(spark, texts, ids)).collect())
+    assert left == [("a b c", 1), ("c d", 5), ("e  f g", 4), ("q r", 7), ("x y", 0)]
+    texts[1] = "A b c"
+    left = sorted((r["text"], r["doc_id"] or 0) for r in simhash.drop_near(frame(spark, texts, ids)).collect())
+    assert left == [("a b c", 1), ("c d", 5), ("e  f g", 4), ("q r", 7), ("x y", 0)]
+
+
 def test_ball_hashing_finds_every_link(spark):
     rng = random.Random(6)
     fps = {rng.getrandbits(64) for _ in range(30)} | {0}

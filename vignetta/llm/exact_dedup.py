@@ -104,7 +104,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without exact copies, columns unchanged."""
     found = common.saved(exact_dedup(docs), "exact-copies")
     dropped = found.filter(~F.col("kept"))
-    others = docs.join(dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
+    others = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (common.content_key("text") == F.col("_key")), "left_anti")
     again = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if again.isEmpty():
         return others

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -167,24 +167,37 @@ def links(fps: DataFrame) -> DataFrame:
     return emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, and row_id that numbers the rows of docs."""
+def _grouped(docs: DataFrame, *more: str) -> DataFrame:
+    """fp, doc_id, component_id and row_id; with more columns also those and `best`, the kept row of the component."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    rows = common.add_columns(docs.select("doc_id", "text"), "fp bigint", _fingerprints).drop("text")
+    rows = common.add_columns(docs.select("doc_id", "text", *more), "fp bigint", _fingerprints).drop("text")
     rows = common.saved(rows.withColumn("row_id", F.monotonically_increasing_id()), "simhash-rows")
-    fps = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
+    best = [F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more, "row_id")] if more else []
+    fps = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(b).alias("best") for b in best]), "simhash-fps")
+    names = ["best"] if more else []
     parts = components(common.saved(links(fps.select("fp")), "simhash-links"))
     common.small_batches(spark)
-    of = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+    of = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", *names, F.coalesce("comp", "fp").alias("comp"))
     of = common.saved(of, "simhash-parts")
-    least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = common.saved(of.join(least, "comp").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_id")
+    least = of.groupBy("comp").agg(F.min("least").alias("component_id"), *[F.min(n).alias(n) for n in names])
+    named = common.saved(of.drop(*names).join(least, "comp").select("fp", "component_id", *names), "simhash-named")
+    return rows.join(named, "fp")
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, and row_id that numbers the rows of docs."""
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with the document of the smallest doc_id of every group, columns unchanged."""
-    groups = simhash_groups(docs)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(common.saved(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """docs with the document of the smallest doc_id (null ids last) of every group, columns unchanged."""
+    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    lost = _grouped(docs.select("doc_id", "text", key.alias("_key")), "_key").filter(F.col("row_id") != F.col("best.row_id"))
+    again = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_key") == F.col("best._key"))
+    gone = common.saved(lost.select(F.col("doc_id").alias("_id"), "_key", again.alias("_again")).distinct(), "near-copies")
+    others = docs.join(gone.filter("NOT _again"), docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    if gone.filter("_again").isEmpty():
+        return others
+    twice = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
+    return others.withColumn("_rank", F.row_number().over(twice)).filter("_rank = 1").drop("_rank")
