@@ -208,7 +208,7 @@ def stale_files(files: DataFrame, all_figures: DataFrame) -> DataFrame:
 
 
 def index_header(papers: DataFrame, figures: DataFrame, files: DataFrame) -> DataFrame:
-    areas = [F.struct(F.lit(a).alias("id"), F.lit(g).alias("group"), F.lit(top.replace(" ", ", ").replace("_", " ")).alias("top")) for a, g, top, _ in L.AREAS]
+    areas = [F.struct(F.lit(a).alias("id"), F.lit(g).alias("group"), F.lit(", ".join(top)).alias("top")) for a, g, top, _ in L.AREAS]
     one = papers.agg(F.count("*").alias("n_papers"))
     for part in (n_originals(figures), figures.agg(F.count("*").alias("n_entries")), data_updated(files)):
         one = one.join(part, F.lit(True))  # one-row aggregates

@@ -56,7 +56,8 @@ def classify_queue(figures: DataFrame, thumbs: DataFrame, ranks: DataFrame, only
     todo = todo.withColumns({"sure": F.when(F.coalesce("pred_p", F.lit(0.0)) >= SURE, 1).otherwise(0), "rank": F.coalesce("award_rank", F.lit(6))})
     name = F.concat("paper_key", F.lit(".json"))
     order = [F.col("sure"), F.col("rank"), name, F.col("pos"), F.col("fig_id")] if only_charts else [name, F.col("pos"), F.col("fig_id")]
-    return todo.orderBy(*order).limit(limit) if limit else todo
+    todo = todo.orderBy(*order)
+    return todo.limit(limit) if limit else todo
 
 
 def verify_queue(figures: DataFrame, thumbs: DataFrame, cats: tuple[str, ...], include_unlabeled: bool = True, limit: int | None = None) -> DataFrame:

@@ -37,9 +37,9 @@ def c2(spark, sf):
 
 
 @query("c3_classify_queue", f"""WITH {META}, {SHOWN} SELECT fig_id, CASE WHEN pred_p >= 0.8 THEN 1 ELSE 0 END AS sure, coalesce(award_rank, 6) AS rank FROM (SELECT * FROM sh) s LEFT JOIN mt USING (paper_key)
-WHERE v_category IS NULL AND (parent IS NOT NULL OR kind = 'result') AND {THUMBS} ORDER BY 2, 3, s.paper_key || '.json', pos, fig_id LIMIT 500""")
+WHERE v_category IS NULL AND (parent IS NOT NULL OR kind = 'result') AND {THUMBS} ORDER BY 2, 3, s.paper_key || '.json', pos, fig_id""")
 def c3(spark, sf):
-    q = C.classify_queue(with_panels(figures(spark, sf)), _thumbs(spark, sf), _meta(spark, sf).select("paper_key", "award_rank"), only_charts=True, limit=500)
+    q = C.classify_queue(with_panels(figures(spark, sf)), _thumbs(spark, sf), _meta(spark, sf).select("paper_key", "award_rank"), only_charts=True)
     return q.select("fig_id", "sure", "rank")
 
 
@@ -52,7 +52,7 @@ def c4(spark, sf):
 def c5(spark, sf):
     pos = view(spark, sf, "fx_figures").select("fig_id", F.when(F.col("pos") % 4 != 1, "failed").alias("error"))
     labels = C.parse_labels(view(spark, sf, "fx_responses")).join(pos, "fig_id")
-    extra = labels.limit(5).withColumn("fig_id", F.concat(F.lit("none"), "fig_id"))
+    extra = labels.withColumn("fig_id", F.concat(F.lit("none"), "fig_id"))
     return C.write_back(figures(spark, sf), labels.unionByName(extra)).select("fig_id", "v_category", "v_chart_type")
 
 

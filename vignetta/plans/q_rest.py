@@ -109,18 +109,16 @@ def _records(spark, sf):
 def s2(spark, sf):
     path = shared_path(spark, "index")
     _records(spark, sf).write.json(path)
-    # a record to a line here; multiLine reads one record to a file as well as JSON lines are read without it
-    records = spark.read.schema(readers.INDEX_SCHEMA).json(path).filter("error IS NULL AND size(figures) > 0")
-    return records.select("paper_key", "meta.title", F.posexplode("figures").alias("pos", "f")).groupBy("paper_key", "title").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
+    papers, figs = readers.read_index(spark, path, lines=True)
+    seen = figs.groupBy("paper_key").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
+    return papers.select("paper_key", "meta.title").join(seen, "paper_key")
 
 
-@query("s3_read_sidecars", "SELECT paper_key, title FROM fx_sidecars WHERE paper_key IN (SELECT min(paper_key) FROM fx_sidecars GROUP BY citations % 16)")
+@query("s3_read_sidecars", "SELECT paper_key, title, note, url, citations FROM fx_sidecars")
 def s3(spark, sf):
     path = shared_path(spark, "sidecars")
-    few = view(spark, sf, "fx_sidecars").groupBy((F.col("citations") % 16).alias("g")).agg(F.min_by(F.struct("paper_key", "title", "note", "url", "published", "citations"), "paper_key").alias("s")).select("s.*")
-    few.withColumn("key", F.col("paper_key")).write.partitionBy("key").json(path)
-    rows = spark.read.schema(readers.SIDECAR_SCHEMA).option("multiLine", True).json(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"key=([^/]*)/", 1).alias("paper_key"), "title")
+    view(spark, sf, "fx_sidecars").select("paper_key", "title", "note", "url", "published", "citations").write.json(path)
+    return readers.read_sidecars(spark, path, lines=True).select("paper_key", "title", "note", "url", "citations")
 
 
 @query("s4_file_inventory")

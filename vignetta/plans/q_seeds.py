@@ -93,23 +93,22 @@ def p8(spark, sf):
 
 NORM = "substring(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), 1, {1})"
 KNOWN = f"""ki AS (SELECT pdf_arxiv_id AS id FROM fx_papers WHERE pdf_arxiv_id <> '' UNION SELECT paper_key FROM fx_papers UNION SELECT paper_key FROM fx_sidecars),
-kt AS (SELECT {NORM.format('pdf_title', 80)} AS t FROM fx_papers WHERE paper_key LIKE '%7' UNION SELECT {NORM.format('title', 80)} FROM fx_sidecars WHERE paper_key LIKE '%7')"""
-PICK = f"""{KNOWN}, sc AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY citations DESC, cand_id) AS scan_rank FROM fx_candidates),
+kt AS (SELECT {NORM.format('pdf_title', 80)} AS t FROM fx_papers UNION SELECT {NORM.format('title', 80)} FROM fx_sidecars)"""
+PICK = f"""{KNOWN}, fc AS (SELECT * REPLACE (CASE WHEN cand_id % 3 = 0 THEN replace(title, '!', '') || ': a STUDY' ELSE title END AS title, CASE WHEN cand_id % 8 >= 4 THEN replace(arxiv, '2101.', '2102.') ELSE arxiv END AS arxiv) FROM fx_candidates),
+sc AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY citations DESC, cand_id) AS scan_rank FROM fc),
 u AS (SELECT *, {NORM.format('title', 80)} AS title_key, coalesce(arxiv, CASE WHEN regexp_matches(oa_url, 'usenix\\.org|arxiv\\.org') THEN oa_url END) AS body FROM sc WHERE scan_rank <= 3000),
-f AS (SELECT *, row_number() OVER (PARTITION BY venue, title_key ORDER BY scan_rank) AS n FROM u WHERE body IS NOT NULL AND title_key NOT IN (SELECT t FROM kt) AND (arxiv IS NULL OR arxiv NOT IN (SELECT id FROM ki WHERE id LIKE '%7'))),
+f AS (SELECT *, row_number() OVER (PARTITION BY venue, title_key ORDER BY scan_rank) AS n FROM u WHERE body IS NOT NULL AND title_key NOT IN (SELECT t FROM kt) AND (arxiv IS NULL OR arxiv NOT IN (SELECT id FROM ki))),
 g AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY scan_rank) AS place FROM f WHERE n = 1)"""
 
 
-def _known(spark, sf):
-    papers, side = view(spark, sf, "fx_papers"), _sidecars(spark, sf)
-    ids, _ = Z.known_papers(papers, side)
-    _, titles = Z.known_papers(papers.filter("paper_key LIKE '%7'"), side.filter("paper_key LIKE '%7'"))
-    return ids.filter("known_id LIKE '%7'"), titles
-
-
 def _picks(spark, sf):
-    ids, titles = _known(spark, sf)
-    cands = view(spark, sf, "fx_candidates")
+    """Picks from a catalog in which some titles and ids are those of known papers."""
+    ids, titles = Z.known_papers(view(spark, sf, "fx_papers"), _sidecars(spark, sf))
+    c = view(spark, sf, "fx_candidates")
+    cands = c.withColumns({
+        "title": F.when(F.col("cand_id") % 3 == 0, F.concat(F.replace("title", F.lit("!"), F.lit("")), F.lit(": a STUDY"))).otherwise(F.col("title")),
+        "arxiv": F.when(F.col("cand_id") % 8 >= 4, F.replace("arxiv", F.lit("2101."), F.lit("2102."))).otherwise(F.col("arxiv")),
+    })
     venues = cands.select("venue").distinct().withColumns({"short": F.substring("venue", 1, 4), "want": F.lit(40)})
     return Z.pick_top_cited(cands, venues, ids, titles, cap=25)
 

@@ -16,7 +16,7 @@ INDEX_SCHEMA = (
     f"figures array<{_FIGURE}>, error string, _corrupt_record string"
 )
 SIDECAR_SCHEMA = (
-    "title string, authors array<string>, published string, abs_url string, pdf_pruned boolean, pdf_bytes bigint, s2_title string, citations bigint, s2_year string, s2_venue string, "
+    "paper_key string, title string, authors array<string>, published string, abs_url string, pdf_pruned boolean, pdf_bytes bigint, s2_title string, citations bigint, s2_year string, s2_venue string, "
     "arxiv_id string, url string, venue_hint string, year_hint string, note string, _corrupt_record string"
 )
 
@@ -31,19 +31,20 @@ def read_seed_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.filter((line != "") & ~line.startswith("#")).select("file_seq", (F.col("n") + 1).cast("long").alias("line_no"), "line")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(papers, figures) of per-paper JSON records; error records and those without figures are left out."""
-    records = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_index(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(papers, figures) of JSON records, one to a file or one to a line; error records and those without figures are left out."""
+    records = spark.read.schema(INDEX_SCHEMA).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
     good = records.filter("_corrupt_record IS NULL AND error IS NULL AND size(figures) > 0")
     figures = good.select("paper_key", F.posexplode("figures").alias("pos", "f")).select("paper_key", "pos", "f.*")
     return good.drop("figures", "_corrupt_record"), figures
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Per-paper metadata, keyed by the file's stem."""
-    rows = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", True).json(path)
+def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Per-paper metadata, one record to a file or one to a line, keyed by the record's own key or else by the file's stem."""
+    rows = spark.read.schema(SIDECAR_SCHEMA).option("multiLine", not lines).json(path)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     # a broken record has no title; naming a second column lets the reader prune the rest
-    return rows.filter("NOT (_corrupt_record IS NOT NULL AND title IS NULL)").drop("_corrupt_record").withColumn("paper_key", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    return rows.filter("NOT (_corrupt_record IS NOT NULL AND title IS NULL)").withColumn("paper_key", F.coalesce("paper_key", stem)).drop("_corrupt_record")
 
 
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
