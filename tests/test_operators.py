@@ -30,7 +30,7 @@ def test_url_keys(spark):
     urls = {"https://openreview.net/pdf?id=Ab-1_c": "openreview-Ab-1_c", "https://www.usenix.org/a/b c.PDF": None, "https://dl.acm.org/doi/pdf/10.1/": "acm-10.1", "https://x.example.com/": "example-paper"}
     for url, want in urls.items():
         if want:
-            assert one(spark, C.key_for_url(F.col("u")), u=url) == want
+            assert spark.createDataFrame([(url,)], "u string").withColumns(C.url_parts(F.col("u"))).select(C.key_of_parts().alias("k")).first()["k"] == want
 
 
 def test_areas(spark):
@@ -90,10 +90,29 @@ def test_label_growth_is_stable():
         assert (boxes.grow_box(box, blocks, (0, 600), 0, 590) == box).all()
 
 
-def test_table_walk_contains_its_lines():
-    lines = [(50.0, 120.0 + 12 * i, 300.0, 130.0 + 12 * i, 20.0, "a 1") for i in range(5)] + [(50.0, 400.0, 300.0, 410.0, 20.0, "far 2")]
-    box = boxes.table_box(np.array([50.0, 100, 300, 112]), (40.0, 310.0), lines, np.zeros((0, 4)), np.zeros((0, 4)))
-    assert box[0] <= 50 and box[1] <= 120 and box[2] >= 300 and 178 <= box[3] < 400
+def tables(spark, lines, rules=(), caps=((1, "table", "1", 50.0, 100.0, 300.0, 112.0),)):
+    c = spark.createDataFrame([("p", 1, *x, 40.0, 310.0) for x in caps], "paper_key string, page int, elem_id int, kind string, num string, x0 double, y0 double, x1 double, y1 double, bx0 double, bx1 double")
+    n = spark.createDataFrame([("p", 1, *x) for x in lines], "paper_key string, page int, x0 double, y0 double, x1 double, y1 double, max_gap double, text string")
+    r = spark.createDataFrame([("p", 1, *x) for x in rules], "paper_key string, page int, x0 double, y0 double, x1 double, y1 double")
+    return [tuple(b[k] for k in ("elem_id", "fx0", "fy0", "fx1", "fy1")) for b in boxes.locate_table(c, n, r).orderBy("elem_id").collect()]
+
+
+def test_table_bodies(spark):
+    cells = lambda y, n=5, gap=20.0, text="a 1": [(50.0, y + 12 * i, 300.0, y + 10 + 12 * i, gap, text) for i in range(n)]
+    far = [(50.0, 400.0, 300.0, 410.0, 20.0, "far 2")]
+    assert tables(spark, cells(120.0) + far) == [(1, 47.0, 117.0, 303.0, 181.0)]
+    assert tables(spark, cells(120.0, 1) + far) == [] and tables(spark, far * 0) == []
+    # more lines above the caption than below it
+    assert tables(spark, cells(120.0, 2) + cells(20.0, 6)) == [(1, 47.0, 17.0, 303.0, 93.0)]
+    # plain prose ends a body unless rules hug it; a rule with clear space after it ends one too
+    prose = [(50.0, 144.0, 300.0, 154.0, 3.0, "running text"), (50.0, 156.0, 300.0, 166.0, 20.0, "b 2")]
+    assert tables(spark, cells(120.0, 2) + prose) == [(1, 47.0, 117.0, 303.0, 145.0)]
+    assert tables(spark, cells(120.0, 2) + prose, [(45.0, 143.0, 305.0, 143.5), (45.0, 155.0, 305.0, 155.5)]) == [(1, 42.0, 117.0, 308.0, 169.0)]
+    assert tables(spark, cells(120.0, 2) + cells(160.0, 3), [(45.0, 145.0, 305.0, 145.5)]) == [(1, 42.0, 117.0, 308.0, 148.5)]
+    # the line of another caption ends a body, as does another caption's box
+    assert tables(spark, cells(120.0, 2) + cells(144.0, 3, text="Table 2 x")) == [(1, 47.0, 117.0, 303.0, 145.0)]
+    other = [(1, "table", "1", 50.0, 100.0, 300.0, 112.0), (2, "figure", "2", 50.0, 146.0, 300.0, 150.0)]
+    assert tables(spark, cells(120.0), caps=other) == [(1, 47.0, 117.0, 303.0, 145.0)]
 
 
 def picture(rows, cols, side=260, gap=40):

@@ -24,15 +24,33 @@ def mapped(c: Column, table: dict[str, str], otherwise: Column) -> Column:
     return out.otherwise(otherwise)
 
 
-def key_for_url(url: Column) -> Column:
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
+def once(c: Column) -> Column:
+    """A generator of one row: later filters don't copy the expression under it, so it is worked out once a row."""
+    return F.explode(F.array(c))
+
+
+def url_parts(url: Column) -> dict[str, Column]:
+    """What key_of_parts needs of a URL; kept as columns of their own, each part is parsed once."""
+    part = lambda *p: F.try_parse_url(url, *map(F.lit, p))
+    return {"url_host": F.lower(F.coalesce(part("HOST"), F.lit(""))), "url_path": F.coalesce(part("PATH"), F.lit("")), "url_id": F.when(F.lower(url).contains("openreview"), part("QUERY", "id"))}
+
+
+def key_of_parts() -> Column:
     """Stable paper key of a PDF URL: a tag of the host and the last piece of the path."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    host = F.col("url_host")
     labels = F.split(host, r"\.")
     other = F.when(F.size(labels) > 1, F.try_element_at(labels, F.size(labels) - 1)).otherwise(host)
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    last = F.regexp_replace(F.substring_index(path, "/", -1), r"(?i)\.pdf$", "")
+    last = F.regexp_replace(F.substring_index(F.rtrim("url_path", F.lit("/")), "/", -1), r"(?i)\.pdf$", "")
     last = F.coalesce(blank_to_null(F.substring(F.regexp_replace(last, r"[^A-Za-z0-9._-]+", "_"), 1, 60)), F.lit("paper"))
-    review = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("id")), F.lit("x")), "[^A-Za-z0-9_-]", "")
+    review = F.regexp_replace(F.coalesce("url_id", F.lit("x")), "[^A-Za-z0-9_-]", "")
     return F.when(host.contains("openreview"), F.concat(F.lit("openreview-"), review)).otherwise(F.concat(mapped(host, L.HOST_TAGS, other), F.lit("-"), last))
 
 
@@ -74,7 +92,7 @@ def kind_category(kind: Column, tables: bool = False) -> Column:
 
 
 def norm_venue(v: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(v, F.lit("")), r"(?U)^\s+|\s+$", "")
+    t = stripped(F.coalesce(v, F.lit("")))
     return mapped(F.lower(t), L.VENUE_ALIASES, t)
 
 

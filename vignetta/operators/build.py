@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lookups as L
-from ..session import shared_path
+from ..session import saved, shared_path
 
 
 def area_of(venue: Column) -> Column:
     """Area of a venue name: of the known names found in it with no letter on either side, the longest counts."""
-    v = F.lower(F.regexp_replace(F.coalesce(venue, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    v = F.lower(C.stripped(F.coalesce(venue, F.lit(""))))
     out = None
     for name, area, _ in sorted(L.venue_areas(), key=lambda x: (-len(x[0]), x[2])):
         hit = v.rlike(f"(^|[^a-z]){name}([^a-z]|$)")
@@ -124,14 +124,18 @@ def fold_by_title(papers: DataFrame) -> DataFrame:
 
 
 def load_index(papers: DataFrame, sidecars: DataFrame, figures: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Papers and figures of the gallery."""
-    meta = resolve_meta(papers, sidecars)
-    figs = dedupe_images(hide_composites(figures.join(meta.select("paper_key"), "paper_key", "left_semi")))
-    figs = asset_urls(chart_guess(rewrite_panel_captions(reconcile_kind(overlay_second_opinion(figs)))), files)
+    """Papers and figures of the gallery.
+
+    Papers and deduplicated figures are stored once, because each is used for the counts and again for the result; the text rules run only on
+    figures of papers that stay.
+    """
+    meta = saved(resolve_meta(papers, sidecars), "gallery-papers")
+    figs = saved(dedupe_images(hide_composites(figures.join(meta.select("paper_key"), "paper_key", "left_semi"))), "gallery-figures")
     counts = figs.groupBy("paper_key").agg(F.count("*").alias("n_figs"))
     meta = meta.join(counts, "paper_key")
-    kept = fold_by_title(meta).select("paper_key")
-    return meta.join(kept, "paper_key", "left_semi"), figs.join(kept, "paper_key", "left_semi")
+    kept = saved(meta.join(fold_by_title(meta).select("paper_key"), "paper_key", "left_semi"), "gallery-kept")
+    figs = figs.join(kept.select("paper_key"), "paper_key", "left_semi")
+    return kept, asset_urls(chart_guess(rewrite_panel_captions(reconcile_kind(overlay_second_opinion(figs)))), files)
 
 
 def site_numbers(papers: DataFrame, figures: DataFrame) -> DataFrame:

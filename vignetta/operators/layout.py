@@ -211,7 +211,8 @@ def carry_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     labelled = F.col("o_cat").isNotNull()
     same = F.col("o_panels").isNotNull() & (F.col("o_id") == F.col("fig_id"))
     kept = j.withColumns({"v_category": F.coalesce("o_cat", "v_category"), "v_chart_type": F.when(labelled, F.col("o_type")).otherwise(F.col("v_chart_type")), "v2_category": F.coalesce("o_v2", "v2_category"), "panels": F.when(same, F.col("o_panels")).otherwise(F.col("panels"))})
-    parents = kept.filter(same).select(F.col("fig_id").alias("parent"))
+    # a new row's previous one is the row of its own id: known from the ids alone, without the labels' join
+    parents = prev.filter("o_panels IS NOT NULL").select("paper_key", "page", "num", F.col("o_id").alias("fig_id")).join(new.select("paper_key", "page", "num", "fig_id"), ["paper_key", "page", "num", "fig_id"]).select(F.col("fig_id").alias("parent"))
     panels = old.filter("parent IS NOT NULL").join(parents, "parent", "left_semi")
     return kept.select(*new.columns).unionByName(panels.select(*new.columns))
 

@@ -13,22 +13,22 @@ _VENUE_YEAR = r"^([A-Za-z][A-Za-z&/ -]*?)\s*(20\d\d)"
 
 def parse_seeds(lines: DataFrame) -> DataFrame:
     """(file_seq, line_no, line) -> seeds; comments, blank lines, NOPDF rows and rows without an id are left out."""
-    line = F.regexp_replace(F.col("line"), r"(?U)^\s+|\s+$", "")
     at = F.instr("line", "#")
-    rows = lines.withColumn("line", line).filter("line <> '' AND line NOT LIKE '#%'").select(
+    rows = lines.select("file_seq", "line_no", C.once(C.stripped(F.col("line"))).alias("line")).filter("line <> '' AND line NOT LIKE '#%'").select(
         "file_seq", "line_no",
         F.trim(F.substring_index("line", "#", 1)).alias("body"),
         F.when(at > 0, F.trim(F.expr("substring(line, instr(line, '#') + 1)"))).otherwise("").alias("note"),
     ).filter(~F.upper("body").startswith("NOPDF"))
     is_url = F.lower("body").startswith("http")
-    found = C.arxiv_id(F.col("body"))
-    url = F.regexp_extract("body", r"^(\S+)", 1)
+    given = F.struct(is_url.alias("is_url"), F.when(is_url, F.regexp_extract("body", r"^(\S+)", 1)).alias("url"), F.when(~is_url, C.arxiv_id(F.col("body"))).alias("found"))
+    rows = rows.select("file_seq", "line_no", "note", C.once(given).alias("g")).filter("g.is_url OR g.found <> ''").withColumns(C.url_parts(F.col("g.url")))
+    is_url, found, url = F.col("g.is_url"), F.col("g.found"), F.col("g.url")
     venue_year = F.regexp_extract("note", _VENUE_YEAR, 2)
-    return rows.filter(is_url | (found != "")).select(
+    return rows.select(
         "file_seq", "line_no",
         F.when(is_url, "").otherwise(found).alias("arxiv_id"),
         F.when(is_url, url).otherwise(F.concat(F.lit("https://arxiv.org/pdf/"), found)).alias("url"),
-        F.when(is_url, C.key_for_url(url)).otherwise(found).alias("key"),
+        F.when(is_url, C.key_of_parts()).otherwise(found).alias("key"),
         F.trim(F.regexp_extract("note", _VENUE_YEAR, 1)).alias("venue_hint"),
         F.when(venue_year != "", venue_year).otherwise(F.regexp_extract("note", r"^(20\d\d)", 1)).alias("year_hint"),
         "note",

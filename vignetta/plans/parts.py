@@ -34,13 +34,13 @@ def figures(spark, sf) -> DataFrame:
 
 def with_panels(figs: DataFrame) -> DataFrame:
     """Figures and the panels of those that split, in one table; a panel has no thumbnail of its own here."""
-    rows = figs.filter("n_panels >= 2").withColumn("panel", F.explode(F.sequence(F.lit(1), F.col("n_panels"))))
-    null = lambda t: F.lit(None).cast(t)
-    rows = rows.withColumns({
-        "parent": F.col("fig_id"), "fig_id": F.concat("fig_id", F.lit("_s"), F.col("panel").cast("string")), "caption": F.concat("caption", F.lit(" [子图 "), F.col("panel").cast("string"), F.lit("/"), F.col("n_panels").cast("string"), F.lit("]")),
-        "panels": null("array<string>"), "thumb_md5": null("string"), "v_category": null("string"), "v_chart_type": null("string"), "v2_category": null("string"), "v2_chart_type": null("string"), "v_tags": null("array<string>"),
-    })
-    return figs.unionByName(rows.select(*figs.columns))
+    rows = figs.withColumn("_k", F.explode(F.when(F.col("n_panels") >= 2, F.sequence(F.lit(0), F.col("n_panels"))).otherwise(F.array(F.lit(0)))))
+    child, k = F.col("_k") > 0, F.col("_k").cast("string")
+    own = {
+        "parent": F.col("fig_id"), "panel": F.col("_k"), "fig_id": F.concat("fig_id", F.lit("_s"), k), "caption": F.concat("caption", F.lit(" [子图 "), k, F.lit("/"), F.col("n_panels").cast("string"), F.lit("]")),
+        **{c: F.lit(None) for c in ("panels", "thumb_md5", "v_category", "v_chart_type", "v2_category", "v2_chart_type", "v_tags")},
+    }
+    return rows.withColumns({c: F.when(child, v).otherwise(F.col(c)) for c, v in own.items()}).select(*figs.columns)
 
 
 def chart_case(text: str) -> str:

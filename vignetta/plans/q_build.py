@@ -28,8 +28,8 @@ def _files(spark, sf):
     """Stored files: a thumbnail of most figures, the full image of some, PNG for one in five."""
     f = view(spark, sf, "fx_figures").select("fig_id", "pos", "n_drawings")
     ext = F.when(F.col("n_drawings") % 5 == 0, "png").otherwise("webp")
-    thumbs = f.filter("pos % 9 <> 0").select("fig_id", F.lit(True).alias("is_thumb"), ext.alias("ext"))
-    return thumbs.unionByName(f.filter("pos % 2 = 0").select("fig_id", F.lit(False).alias("is_thumb"), F.lit("png").alias("ext")))
+    kinds = F.array(F.struct(F.lit(True).alias("is_thumb"), ext.alias("ext"), (F.col("pos") % 9 != 0).alias("there")), F.struct(F.lit(False).alias("is_thumb"), F.lit("png").alias("ext"), (F.col("pos") % 2 == 0).alias("there")))
+    return f.select("fig_id", F.explode(F.filter(kinds, lambda x: x["there"])).alias("x")).select("fig_id", "x.is_thumb", "x.ext")
 
 
 FILES = "fl AS (SELECT fig_id, true AS is_thumb, CASE WHEN n_drawings % 5 = 0 THEN 'png' ELSE 'webp' END AS ext FROM fx_figures WHERE pos % 9 <> 0 UNION ALL SELECT fig_id, false, 'png' FROM fx_figures WHERE pos % 2 = 0)"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..operators import boxes, layout as E
+from ..session import saved
 from ..sources.fixtures import base, view
 from .parts import FIGS, figures, kind_case, with_panels
 from .registry import query
@@ -37,21 +38,29 @@ lf AS (SELECT paper_key, page, elem_id, any_value(num) AS num, min(s_x0) AS fx0,
  HAVING max(s_x1) - min(s_x0) >= 70 AND max(s_y1) - min(s_y0) >= 40)"""
 
 
-def _captions(spark, sf):
-    b = view(spark, sf, "fx_blocks")
-    return E.caption_band(E.find_captions(b, E.text_extent(b)))
+# what a query uses several times is stored once
+
+
+def _blocks(spark, sf):
+    return saved(view(spark, sf, "fx_blocks"), "blocks")
+
+
+def _captions(spark, sf, blocks=None):
+    b = blocks or _blocks(spark, sf)
+    return saved(E.caption_band(E.find_captions(b, E.text_extent(b))), "captions")
 
 
 def _visuals(spark, sf):
     return E.visual_rects(view(spark, sf, "fx_elements"))
 
 
-def _regions(spark, sf):
-    return E.region_top(_captions(spark, sf), _visuals(spark, sf), E.header_bottom(view(spark, sf, "fx_blocks")))
+def _regions(spark, sf, blocks, visuals):
+    return E.region_top(_captions(spark, sf, blocks), visuals, E.header_bottom(blocks))
 
 
-def _located(spark, sf):
-    return E.locate_figure(_regions(spark, sf), _visuals(spark, sf))
+def _located(spark, sf, blocks=None):
+    b, v = blocks or _blocks(spark, sf), saved(_visuals(spark, sf), "visuals")
+    return E.locate_figure(saved(_regions(spark, sf, b, v), "regions"), v)
 
 
 @query("e1_text_extent", f"WITH {EXT} SELECT * FROM ex")
@@ -86,7 +95,7 @@ def e6(spark, sf):
 
 @query("e7_region_top", f"WITH {TOP} SELECT {PG}, elem_id, top FROM rg")
 def e7(spark, sf):
-    return _regions(spark, sf).select("paper_key", "page", "elem_id", "top")
+    return _regions(spark, sf, _blocks(spark, sf), saved(_visuals(spark, sf), "visuals")).select("paper_key", "page", "elem_id", "top")
 
 
 @query("e8_locate_figure", f"WITH {LOC} SELECT * EXCLUDE (num) FROM lf")
@@ -94,9 +103,20 @@ def e8(spark, sf):
     return _located(spark, sf).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1", "has_raster", "n_drawings")
 
 
-@query("e9_grow_labels")
+GROWN = f"""RECURSIVE {LOC}, ar AS (SELECT paper_key, page, list([CAST(x0 AS DOUBLE), y0, x1, y1]) AS around FROM fx_blocks GROUP BY paper_key, page),
+g0 AS (SELECT lf.paper_key, lf.page, lf.elem_id, [CAST(fx0 AS DOUBLE), fy0, fx1, fy1] AS box, rg.y0 AS cy0, page_w, page_h,
+ list_filter(coalesce(around, []), lambda b: b[1] >= bx0 - 2 AND b[3] <= bx1 + 2 AND b[3] - b[1] < CAST(0.9 AS DOUBLE) * (bx1 - bx0) AND b[4] <= rg.y0 - 1 AND b[2] >= top - 2) AS around
+ FROM lf JOIN rg USING (paper_key, page, elem_id) LEFT JOIN ar USING (paper_key, page)),
+gr AS (SELECT 0 AS step, * FROM g0 UNION ALL SELECT step + 1, paper_key, page, elem_id, wide, cy0, page_w, page_h, around FROM (SELECT *, list_reduce(list_filter(around, lambda b:
+  greatest(0, least(b[3], box[3] + 6) - greatest(b[1], box[1] - 6)) * greatest(0, least(b[4], box[4] + 6) - greatest(b[2], box[2] - 6)) >= greatest(1e-12, 0.5 * (b[3] - b[1]) * (b[4] - b[2]))),
+  lambda a, b: [least(a[1], b[1]), least(a[2], b[2]), greatest(a[3], b[3]), greatest(a[4], b[4])], box) AS wide FROM gr) WHERE wide <> box),
+gb AS (SELECT paper_key, page, elem_id, arg_max(box, step) AS box, any_value(cy0) AS cy0, any_value(page_w) AS page_w, any_value(page_h) AS page_h FROM gr GROUP BY paper_key, page, elem_id)"""
+
+
+@query("e9_grow_labels", f"WITH {GROWN} SELECT paper_key, page, elem_id, greatest(0.0, box[1] - 3) AS fx0, greatest(0.0, box[2] - 3) AS fy0, least(page_w, box[3] + 3) AS fx1, least(page_h, least(box[4] + 3, cy0 - 1)) AS fy1 FROM gb")
 def e9(spark, sf):
-    grown = boxes.grow_labels(_located(spark, sf), view(spark, sf, "fx_blocks"))
+    b = _blocks(spark, sf)
+    grown = boxes.grow_labels(_located(spark, sf, b), b)
     return grown.select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
 
 
@@ -110,7 +130,9 @@ def e10(spark, sf):
     big = (F.col("elem_type") == "image") & (F.col("elem_id") % 2 == 0)
     pick = lambda c, v: F.when(big, v).otherwise(F.col(c))
     scans = view(spark, sf, "fx_elements").withColumns({"x0": pick("x0", 2.0), "y0": pick("y0", 5.0), "x1": pick("x1", 610.0), "y1": pick("y1", 790.0)})
-    return E.locate_by_text_gap(_regions(spark, sf), view(spark, sf, "fx_blocks"), E.visual_rects(scans)).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
+    b = _blocks(spark, sf)
+    regions = saved(_regions(spark, sf, b, saved(_visuals(spark, sf), "visuals")), "regions")
+    return E.locate_by_text_gap(regions, b, E.visual_rects(scans)).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
 
 
 @query("e11_page_lines", "SELECT paper_key, page, block, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(max(gap), 0.0) AS max_gap, string_agg(word, ' ' ORDER BY x0, word_no) AS text FROM (SELECT *, lead(x0) OVER (PARTITION BY paper_key, page, block, line ORDER BY x0, word_no) - x1 AS gap FROM fx_words) GROUP BY paper_key, page, block, line")
@@ -129,7 +151,26 @@ def e12(spark, sf):
     return _rules(spark, sf).select("paper_key", "page", "elem_id")
 
 
-@query("e13_locate_table")
+INB = "least({1}, bx1) - greatest({0}, bx0) > CAST(0.3 AS DOUBLE) * least({1} - {0}, bx1 - bx0)"
+TABLES = f"""{CAPS}, ru AS (SELECT paper_key, page, list_sort(list([CAST(x0 AS DOUBLE), y0, x1, y0 + 1.5])) AS rules FROM fx_elements WHERE elem_type = 'draw' AND elem_id % 3 = 0 AND x1 - x0 >= 30 GROUP BY paper_key, page),
+cs AS (SELECT paper_key, page, list([CAST(x0 AS DOUBLE), y0, x1, y1]) AS caps FROM bd GROUP BY paper_key, page),
+tb AS (SELECT paper_key, page, elem_id, num, bx0, bx1, y0 AS cy0, y1 AS cy1, coalesce(rules, []) AS rules, list_filter(caps, lambda c: c <> [CAST(x0 AS DOUBLE), y0, x1, y1]) AS caps,
+ list_filter(coalesce(rules, []), lambda r: {INB.format('r[1]', 'r[3]')}) AS flat FROM bd JOIN cs USING (paper_key, page) LEFT JOIN ru USING (paper_key, page) WHERE kind = 'table'),
+ln AS (SELECT paper_key, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(max(gap), 0.0) AS max_gap, string_agg(word, ' ' ORDER BY x0, word_no) AS text FROM (SELECT *, lead(x0) OVER (PARTITION BY paper_key, page, block, line ORDER BY x0, word_no) - x1 AS gap FROM fx_words) GROUP BY paper_key, page, block, line),
+w0 AS (SELECT tb.*, ln.x0, ln.y0, ln.x1, ln.y1, max_gap, text, d.down FROM tb JOIN ln USING (paper_key, page), (VALUES (true), (false)) d(down) WHERE {INB.format('ln.x0', 'ln.x1')} AND CASE WHEN d.down THEN ln.y0 >= cy1 - 1 ELSE ln.y1 <= cy0 + 1 END),
+w1 AS (SELECT *, row_number() OVER w AS n, coalesce(lag(CASE WHEN down THEN y1 ELSE y0 END) OVER w, CASE WHEN down THEN cy1 ELSE cy0 END) AS edge FROM w0 WINDOW w AS (PARTITION BY paper_key, page, elem_id, down ORDER BY CASE WHEN down THEN y0 ELSE -y0 END, x0, y0, x1, y1, max_gap, text)),
+w2 AS (SELECT *, CASE WHEN down THEN edge ELSE y1 END AS lo, CASE WHEN down THEN y0 ELSE edge END AS hi FROM w1),
+w3 AS (SELECT *, list_filter(flat, lambda r: r[2] >= lo - 1 AND r[2] <= hi + 1) AS bt FROM w2),
+w4 AS (SELECT *, coalesce((hi - lo > 30 AND len(bt) = 0) OR len(list_filter(caps, lambda c: c[1] < x1 AND c[3] > x0 AND c[2] < y1 AND c[4] > y0)) > 0 OR regexp_matches(text, '(?i)^\\s*(Figure|Fig\\.?|Table|图|表)\\s*\\d')
+ OR (n > 1 AND len(bt) > 0 AND CASE WHEN down THEN y0 - list_max(list_transform(bt, lambda r: r[4])) ELSE list_min(list_transform(bt, lambda r: r[2])) - y1 END > 9)
+ OR (x1 - x0 >= CAST(0.8 AS DOUBLE) * (bx1 - bx0) AND max_gap < 12 AND NOT (len(list_filter(flat, lambda r: r[4] >= y0 - 25 AND r[4] <= y0 + 1)) > 0 AND len(list_filter(flat, lambda r: r[2] >= y1 - 1 AND r[2] <= y1 + 25)) > 0)), false) AS br FROM w3),
+w5 AS (SELECT *, sum(CAST(br AS INT)) OVER (PARTITION BY paper_key, page, elem_id, down ORDER BY n) AS cut FROM w4),
+w6 AS (SELECT paper_key, page, elem_id, down, count(*) AS n, any_value(num) AS num, any_value(rules) AS rules, any_value(bx0) AS bx0, any_value(bx1) AS bx1, [min(x0), min(y0), max(x1), max(y1)] AS box FROM w5 WHERE cut = 0 GROUP BY paper_key, page, elem_id, down HAVING count(*) >= 2),
+w7 AS (SELECT *, row_number() OVER (PARTITION BY paper_key, page, elem_id ORDER BY n DESC, down DESC) AS rn FROM w6),
+w8 AS (SELECT * REPLACE (list_reduce(list_filter(rules, lambda r: {INB.format('r[1]', 'r[3]')}), lambda a, r: CASE WHEN r[2] >= a[2] - 8 AND r[4] <= a[4] + 8 THEN [least(a[1], r[1]), least(a[2], r[2]), greatest(a[3], r[3]), greatest(a[4], r[4])] ELSE a END, box) AS box) FROM w7 WHERE rn = 1)"""
+
+
+@query("e13_locate_table", f"WITH {TABLES} SELECT paper_key, page, elem_id, 'table' AS kind, num, box[1] - 3 AS fx0, box[2] - 3 AS fy0, box[3] + 3 AS fx1, box[4] + 3 AS fy1, len(rules) AS n_drawings FROM w8 WHERE box[3] - box[1] + 6 >= 60 AND box[4] - box[2] + 6 >= 18")
 def e13(spark, sf):
     return boxes.locate_table(_captions(spark, sf), E.page_lines(view(spark, sf, "fx_words")), _rules(spark, sf))
 
@@ -193,8 +234,7 @@ pv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_key, page,
 ca AS (SELECT nw.fig_id, pv.v_category, pv.v2_category, CASE WHEN pv.fig_id = nw.fig_id AND pv.n_panels >= 1 THEN CASE WHEN pv.n_panels >= 2 THEN pv.n_panels ELSE 0 END END AS np FROM nw LEFT JOIN pv ON pv.paper_key = nw.paper_key AND pv.page = nw.page AND pv.num = nw.num)"""
 
 
-def _new(spark, sf):
-    f = figures(spark, sf)
+def _new(f):
     moved = F.col("pos") % 5 == 0
     null = lambda t: F.lit(None).cast(t)
     return f.withColumns({"page": F.when(moved, F.col("page") + 1).otherwise(F.col("page")), "fig_id": F.when(moved, F.concat("fig_id", F.lit("x"))).otherwise(F.col("fig_id")), "v_category": null("string"), "v_chart_type": null("string"), "v2_category": null("string"), "panels": null("array<string>")})
@@ -202,7 +242,8 @@ def _new(spark, sf):
 
 @query("e21_carry_labels", f"WITH {CARRY} SELECT fig_id, v_category, v2_category, np FROM ca UNION ALL SELECT fig_id || '_s' || k, NULL, NULL, NULL FROM (SELECT fig_id, unnest(generate_series(1, np)) AS k FROM ca WHERE np >= 2)")
 def e21(spark, sf):
-    out = E.carry_labels(with_panels(figures(spark, sf)), _new(spark, sf))
+    f = saved(figures(spark, sf), "figures")
+    out = E.carry_labels(with_panels(f), _new(f))
     return out.select("fig_id", "v_category", "v2_category", F.when(F.col("panels").isNotNull(), F.size("panels")).cast("long").alias("np"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import panels as X
@@ -23,6 +25,35 @@ def x1(spark, sf):
     return X.split_candidates(with_panels(figures(spark, sf)), images).select("fig_id")
 
 
+SIDE = 200
+
+
+def pictures(spark, sf):
+    """A drawn grid of filled squares for each supplier, as read_images gives it: 1 to 5 columns, 1 to 4 rows, narrow or wide gutters."""
+    k = F.col("s_suppkey")
+    rows = base(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), (1 + k % 5).cast("int").alias("cols"), (1 + k % 4).cast("int").alias("rows"), F.when(k % 3 == 0, 12).otherwise(40).alias("gap"))
+
+    def draw(batches):
+        for b in batches:
+            for f in b.itertuples(index=False):
+                image = np.full((f.gap + f.rows * (SIDE + f.gap), f.gap + f.cols * (SIDE + f.gap)), 255, np.uint8)
+                for y in range(f.rows):
+                    for x in range(f.cols):
+                        image[f.gap + y * (SIDE + f.gap) :, f.gap + x * (SIDE + f.gap) :][:SIDE, :SIDE] = 10
+                yield pd.DataFrame({"name": [f.name], "height": [image.shape[0]], "width": [image.shape[1]], "channels": [1], "data": [image.tobytes()]})
+
+    return rows.mapInPandas(draw, "name string, height int, width int, channels int, data binary")
+
+
+@query("x2_split_panels", """WITH p AS (SELECT 's' || s_suppkey AS name, 1 + s_suppkey % 5 AS cols, 1 + s_suppkey % 4 AS rows, CASE WHEN s_suppkey % 3 = 0 THEN 12 ELSE 40 END AS gap FROM supplier),
+c AS (SELECT *, unnest(generate_series(0, cols * rows - 1)) AS k FROM p WHERE cols * rows BETWEEN 2 AND CASE WHEN gap = 40 THEN 16 ELSE 6 END)
+SELECT name, k AS panel, greatest(0, gap + (k // rows) * (200 + gap) - 14) AS x0, greatest(0, gap + (k % rows) * (200 + gap) - 14) AS y0,
+ least(gap + cols * (200 + gap), gap + (k // rows) * (200 + gap) + 214) AS x1, least(gap + rows * (200 + gap), gap + (k % rows) * (200 + gap) + 214) AS y1 FROM c""")
+def x2(spark, sf):
+    cut = X.split_panels(pictures(spark, sf)).select("name", F.posexplode("boxes").alias("panel", "b"))
+    return cut.select("name", F.col("panel").cast("long").alias("panel"), *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 @query("x3_blank_runs", "WITH b AS (SELECT l_orderkey AS fig_id, idx, idx - row_number() OVER (PARTITION BY l_orderkey ORDER BY idx) AS g FROM (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx FROM lineitem) WHERE l_quantity <= 20) SELECT fig_id, min(idx) AS start, max(idx) + 1 AS \"end\" FROM b GROUP BY fig_id, g HAVING count(*) >= 2")
 def x3(spark, sf):
     from pyspark.sql import Window

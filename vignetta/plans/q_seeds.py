@@ -50,7 +50,7 @@ def p1(spark, sf):
 @query("p2_key_for_url", r"""SELECT page_id, h.tag || '-' || coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_extract(regexp_replace(p, '/+$', ''), '([^/]*)$', 1), '\.pdf$', '', 'i'), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 60), ''), 'paper') AS key
 FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, list_extract(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '.'), -2) AS tag FROM pages) h""")
 def p2(spark, sf):
-    return base(spark, sf, "pages").select("page_id", C.key_for_url(F.col("url")).alias("key"))
+    return base(spark, sf, "pages").withColumns(C.url_parts(F.col("url"))).select("page_id", C.key_of_parts().alias("key"))
 
 
 @query("p3_dedupe_seeds", f"WITH {PARSED} SELECT * FROM d")

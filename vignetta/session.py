@@ -1,20 +1,32 @@
-"""Session settings and the folder that all executors share."""
+"""The folder that all executors share, and tables kept there."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where the session sets none."""
+    """A new path under spark.checkpoint.dir; only a local session that sets none gets a temporary folder, removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-        root = _OWN[0]
+            _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = "file://" + _OWN[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once however often it is used, and safe from lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,7 +119,10 @@ def with_views(sql: str) -> str:
         return sql
     body = sql.strip()
     ctes = ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
-    return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes}, {body[len(head):]}"
+    return f"WITH {ctes} {body}"
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
