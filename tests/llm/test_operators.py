@@ -392,6 +392,52 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(c.limit(0), r.limit(0)).count() == 0
 
 
+def link_plain(calls, results):
+    """(conv_id, turn, call_id, status, round, result) of every call and lone result."""
+    first, answer = {}, {}
+    for i, (conv, turn, cid, *_) in enumerate(calls):
+        if cid is not None:
+            first[conv, cid] = min(first.get((conv, cid), (turn, i)), (turn, i))
+    for i, (conv, turn, cid, content) in enumerate(results):
+        if cid is not None:
+            answer[conv, cid] = min(answer.get((conv, cid), (turn, i, content)), (turn, i, content))
+    deps = {(conv, cid): {(conv, d) for d in calls[i][5] or [] if (conv, d) in first} for (conv, cid), (_, i) in first.items()}
+    held = {k for k, ds in deps.items() if any(first[d][0] >= first[k][0] for d in ds)}
+    while more := {k for k, ds in deps.items() if k not in held and ds & held}:
+        held |= more
+    level, r = {}, 1
+    while free := {k for k in held - level.keys() if not deps[k] & (held - level.keys())}:
+        level |= dict.fromkeys(free, r)
+        r += 1
+    out = []
+    for i, (conv, turn, cid, *_) in enumerate(calls):
+        k = (conv, cid)
+        if cid is None or first[k][1] != i:
+            out.append((conv, turn, cid, "no_id" if cid is None else "duplicate", 0, None))
+            continue
+        got, n = answer.get(k), level.get(k, -1) if k in held else 0
+        status = "cycle" if n == -1 else "no_result" if got is None else "result_first" if got[0] < turn else "linked"
+        out.append((conv, turn, cid, status, n, got and got[2]))
+    return out + [(k[0], a[0], k[1], "orphan_result", 0, a[2]) for k, a in answer.items() if k not in first]
+
+
+@pytest.mark.parametrize("group", [20_000, 0])
+def test_tool_calls_equal_brute_force(spark, group):
+    rng = random.Random(11)
+    ids = [f"call_{i}" for i in range(9)]
+    calls = [(rng.choice([1, 2, 3, None]), rng.randrange(6), rng.choice([*ids, None]), "search", None, rng.sample(ids, rng.choice([0, 0, 1, 1, 2]))) for _ in range(60)]
+    calls += [(7, 50 - i, f"c{i}", "lookup", None, [f"c{i - 1}"]) for i in range(1, 5)]  # a chain against the turns
+    results = [(rng.choice([1, 2, 3, None]), rng.randrange(9), rng.choice([*ids, "lost", None]), f"r{i}") for i in range(40)] + [(7, 60, "c1", "x")]
+    # one row a file keeps the order of rows
+    c = spark.createDataFrame(calls, "conv_id long, turn int, call_id string, name string, arguments string, after array<string>").coalesce(1)
+    r = spark.createDataFrame(results, "conv_id long, turn int, call_id string, content string").coalesce(1)
+    linked = tool_calls.link_calls(c.withColumn("key", F.lit("clash")).withColumn("at", F.lit(0)), r, group_calls=group)
+    got = [(x["conv_id"], x["turn"], x["call_id"], x["status"], x["round"], json.loads(x["json"])["result"]) for x in linked.collect()]
+    assert sorted(got, key=str) == sorted(link_plain(calls, results), key=str)
+    plan = linked._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # op10
 
 

@@ -233,7 +233,6 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id with ids (little-endian unsigned 32-bit) and the decoded text of every row."""
-    common.small_batches(docs.sparkSession)
 
     @common.per_task
     def start():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: An Arrow batch holds at most so many bytes (a single longer row excepted) and rows.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 100_000
 _OWN: list[str] = []
 
 
@@ -19,13 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; only a local session that names none gets a temporary one, removed at exit."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return _OWN[0]
+        _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -33,12 +40,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts can be long: few rows per Arrow batch keep a worker's memory flat."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Remove what `saved` wrote for these tables; nothing may read them any more."""
+    for t in tables:
+        jvm, at = t.sparkSession._jvm, t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts can be long: every Arrow batch of the session is limited by bytes. The limits never differ, so the order of calls doesn't matter."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def split_of(col: str, mod: int):
@@ -56,6 +73,7 @@ def add_columns(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list[
 
     fn may also be a factory with the attribute `per_task`: it is then called once in each task.
     """
+    bound_batches(df.sparkSession)
     new = T._parse_datatype_string(fields)
     names = {f.name.lower() for f in new}
     keep = [f for f in df.schema if f.name.lower() not in names]
@@ -73,6 +91,12 @@ def add_columns(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list[
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def per_task(fn):
     fn.per_task = True
     return fn

@@ -225,7 +225,6 @@ def _has_letter(text: bytes) -> bool:
 
 def label(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """docs with lang_pred, score, n_words, n_switches, and with `spans` the runs of equal labels, appended."""
-    common.small_batches(docs.sparkSession, 400)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = "lang_pred string, score double, n_words bigint, n_switches bigint"
     if spans:

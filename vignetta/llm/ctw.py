@@ -107,7 +107,7 @@ def count_corpus(docs: DataFrame) -> DataFrame:
         if grams:
             yield gram_rows(*merged())
 
-    counted = docs.select("text", "held_out").mapInArrow(run, "gram bigint, word binary, n bigint, seen bigint")
+    counted = common.map_batches(docs.select("text", "held_out"), run, "gram bigint, word binary, n bigint, seen bigint")
     return counted.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
@@ -227,7 +227,6 @@ def gram_table(scores: DataFrame, most: int) -> tuple[GramTable, int]:
 
 def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n_tokens: int, n_words: int) -> DataFrame:
     """docs with n_tokens, the score over the table's grams and the base over frequent words, each with the list of all others."""
-    common.small_batches(docs.sparkSession, BATCH_ROWS)
     low = math.log10(n_tokens + n_words + 1)
     sent = docs.sparkSession.sparkContext.broadcast((table, {w: math.log10(c + 1) - low for w, c in frequent.items()}))
 
@@ -277,10 +276,8 @@ def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n
 
 def score_corpus(docs: DataFrame, held_out: Column, table_grams: int = TABLE_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; rows held out aren't learned from."""
-    common.small_batches(docs.sparkSession, BATCH_ROWS)
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     counts = common.saved(count_corpus(docs), "ctw-counts")
-    common.small_batches(docs.sparkSession, 50_000)  # the tables that come to the driver have narrow rows
     words = counts.filter("gram IS NULL").select("word", F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     limit = max(1, -(-total // FREQUENT))  # at most FREQUENT words can occur so often
@@ -289,7 +286,6 @@ def score_corpus(docs: DataFrame, held_out: Column, table_grams: int = TABLE_GRA
     del often
     scores = common.saved(gram_scores(counts.filter("gram IS NOT NULL").select("gram", "n", "seen")), "ctw-grams")
     table, least = gram_table(scores, table_grams)
-    common.small_batches(docs.sparkSession, BATCH_ROWS)
     scored = score_texts(docs, table, frequent, total, distinct)
     scored = common.saved(scored.withColumn("row_id", F.monotonically_increasing_id()), "ctw-scored")
     low = F.lit(math.log10(total + distinct + 1))

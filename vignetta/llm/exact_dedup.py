@@ -44,7 +44,6 @@ def _digest(b: pa.RecordBatch) -> list[pa.Array]:
 
 def digest_rows(docs: DataFrame) -> DataFrame:
     """One small row per document: row_id, doc_id, digest, check, norm_bytes, n_points, run."""
-    common.small_batches(docs.sparkSession)
     rows = common.add_columns(docs.select("doc_id", "text"), "digest binary, check bigint, norm_bytes bigint, n_points bigint", _digest).drop("text")
     return rows.withColumns({"row_id": F.monotonically_increasing_id(), "run": F.spark_partition_id()})
 
@@ -81,11 +80,11 @@ def tree_merge(rows: DataFrame) -> DataFrame:
     order = ["grp", *_KEY, F.desc("n_points"), F.asc_nulls_last("doc_id"), "row_id"]
     level = rows.select(F.col("run").alias("grp"), *_KEY, "n_points", "doc_id", "row_id", F.lit(1).cast("long").alias("size"))
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    level = level.sortWithinPartitions(*order).mapInArrow(_first_of_equal, level.select(*cols).schema)
+    level = common.map_batches(level.sortWithinPartitions(*order), _first_of_equal, level.select(*cols).schema)
     while True:
         level = level.withColumn("grp", F.shiftright("grp", FAN_IN_BITS))
         runs = (runs + (1 << FAN_IN_BITS) - 1) >> FAN_IN_BITS
-        level = level.repartition("grp", *_KEY).sortWithinPartitions(*order).mapInArrow(_first_of_equal, level.select(*cols).schema)
+        level = common.map_batches(level.repartition("grp", *_KEY).sortWithinPartitions(*order), _first_of_equal, level.select(*cols).schema)
         if runs <= 1:
             break
     return level.select(*_KEY, F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), F.col("size").alias("group_size"))

@@ -70,7 +70,7 @@ def line_counts(docs: DataFrame, min_points: int) -> DataFrame:
         if seen:
             yield rows()
 
-    found = docs.select("text").mapInArrow(run, "hi bigint, lo bigint, n bigint")
+    found = common.map_batches(docs.select("text"), run, "hi bigint, lo bigint, n bigint")
     return found.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
@@ -166,7 +166,6 @@ def _passes(shards: DataFrame) -> list[list[int]]:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """docs' doc_id with n_lines, n_dropped and kept_text."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     shards, shard_bits = line_index(line_counts(docs, min_points), min_docs)
     passes = _passes(shards)
     marked = docs.select("doc_id", "text", F.expr("cast(array() as array<int>)").alias("marks"))

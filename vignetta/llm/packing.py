@@ -218,7 +218,6 @@ class Packer:
 
 def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, close_id: int = CLOSE_ID) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, its tier, step group and ids."""
-    common.small_batches(docs.sparkSession)
     close = np.array([close_id], "<u4").tobytes()
     fields = [f.strip().split()[0] for f in _SCHEMA.split(",")]
 
@@ -250,4 +249,4 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, s
         packer.pack(to_end=True)
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return common.map_batches(docs.select("doc_id", "text"), run, _SCHEMA)

@@ -90,7 +90,7 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "target", "raw"])
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, target bigint, raw bigint")
+    got = common.map_batches(docs.select("doc_id", "text"), run, "bucket bigint, target bigint, raw bigint")
     rows = got.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()  # at most BUCKETS rows
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[rows["bucket"]], raw[rows["bucket"]] = rows["target"], rows["raw"]
@@ -104,7 +104,6 @@ FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the counts, score and verdict of every row appended."""
-    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @common.per_task
@@ -131,5 +130,4 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit the two multinomials and judge every document."""
-    common.small_batches(docs.sparkSession)
     return judge(docs, log_ratios(docs, trusted_ids(labels)))

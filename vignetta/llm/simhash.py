@@ -161,23 +161,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """Spanning links (a > b) between the distinct fingerprints in column fp."""
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     variants = F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(x).alias("flip")) for k, x in variant_table()]))
     emitted = fps.select("fp", variants.alias("v")).select(F.col("fp").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.flip")).alias("key"), "fp")
-    return emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint")
+    return common.map_batches(emitted.repartition("key").sortWithinPartitions("key"), _links, "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame, *more: str) -> DataFrame:
     """fp, doc_id, component_id and row_id; with more columns also those and `best`, the kept row of the component."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = common.add_columns(docs.select("doc_id", "text", *more), "fp bigint", _fingerprints).drop("text")
     rows = common.saved(rows.withColumn("row_id", F.monotonically_increasing_id()), "simhash-rows")
     best = [F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more, "row_id")] if more else []
     fps = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(b).alias("best") for b in best]), "simhash-fps")
     names = ["best"] if more else []
     parts = components(common.saved(links(fps.select("fp")), "simhash-links"))
-    common.small_batches(spark)
     of = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", *names, F.coalesce("comp", "fp").alias("comp"))
     of = common.saved(of, "simhash-parts")
     least = of.groupBy("comp").agg(F.min("least").alias("component_id"), *[F.min(n).alias(n) for n in names])
