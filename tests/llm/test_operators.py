@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vignetta.llm import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, queries, simhash, tool_calls, url_filter
+from vignetta.llm import bpe, crf_langid, ctw, exact_dedup, line_dedup, near_texts, packing, quality, queries, simhash, tool_calls, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, score double, kept boolean, size int, lang string"
@@ -197,6 +197,33 @@ def test_base_counts_equal_plain():
         assert quality.base_stats(text.encode(), words) == want
 
 
+def quality_plain(texts, trusted):
+    """Mean log ratio of each text's n-grams, by dictionaries over the whole corpus."""
+    target, raw, grams = collections.Counter(), collections.Counter(), {}
+    for i, t in texts.items():
+        joined = (" " + " ".join(t.split()) + " ").encode() if t.split() else b""
+        padded = joined.ljust(quality.N, b"\0") if joined else b""
+        codes = [int.from_bytes(padded[k : k + quality.N], "big") for k in range(len(padded) - quality.N + 1)]
+        grams[i] = [(c * 0x9E3779B97F4A7C15 % 2**64) // (2**64 // quality.BUCKETS) for c in codes]
+        raw.update(grams[i])
+        if i in trusted:
+            target.update(grams[i])
+    n, m, b = sum(target.values()), sum(raw.values()), quality.BUCKETS
+    value = {g: math.log((target[g] + 1) / (n + b)) - math.log((raw[g] + 1) / (m + b)) if n else 0.0 for g in raw}
+    return {i: sum(value[g] for g in gs) / len(gs) if gs else 0.0 for i, gs in grams.items()}
+
+
+def test_quality_scores_equal_plain(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    trusted = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    want = quality_plain({r["doc_id"]: r["text"] or "" for r in docs.collect()}, trusted)
+    got = {r["doc_id"]: r for r in run(spark, "op4_quality")}
+    assert all(got[i]["score"] == pytest.approx(w, abs=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and got[i]["score"] >= quality.THRESHOLD) for i, w in want.items())
+    # no trusted document: every score is 0 and kept
+    none = quality.quality(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r["score"] for r in none} == {0.0} and all(r["kept"] != r["base_failed"] for r in none)
+
+
 def test_quality_verdicts(spark):
     good, bad = "the cat sat on the mat and " * 3, "## $$ %% && ** ||"
     rng = random.Random(1)
@@ -322,7 +349,7 @@ def test_simhash_equals_brute_force(spark):
     want = [texts[i][0] for i in groups_plain(fps)]
     got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(docs).collect())
     assert got == [(i, f"{f:016x}", w) for (i, _), f, w in zip(texts, fps, want)]
-    assert simhash.drop_near(docs).count() == len(set(want)) and simhash.simhash_groups(frame(spark, [])).count() == 0
+    assert simhash.simhash_groups(frame(spark, [])).count() == 0
 
 
 def test_stages_drop_rows_not_ids(spark):
@@ -330,10 +357,65 @@ def test_stages_drop_rows_not_ids(spark):
     left = sorted((r["text"], r["doc_id"] or 0) for r in exact_dedup.drop_copies(frame(spark, texts, ids)).collect())
     assert left == [("a b c", 1), ("c d", 5), ("e  f g", 4), ("q r", 7), ("x y", 0)]
     texts[1] = "A b c"
-    left = sorted((r["text"], r["doc_id"] or 0) for r in simhash.drop_near(frame(spark, texts, ids)).collect())
+    left = sorted((r["text"], r["doc_id"] or 0) for r in near_texts.drop_near(frame(spark, texts, ids)).collect())
     assert left == [("a b c", 1), ("c d", 5), ("e  f g", 4), ("q r", 7), ("x y", 0)]
 
 
+def near_plain(texts):
+    """Least index of each text's group, links being texts of similarity 0.8 or more."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 0.8 <= len(x) / len(y) <= 1.25 and len(x & y) >= 0.8 * len(x | y):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_groups_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        for edits in (0, 1, 4, 6, 12, 40):  # similarities from 1 down to about 0.4
+            words = list(base)
+            for p in rng.sample(range(400), edits):
+                words[p] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(words))
+    texts += ["", " \n", None, "one two", "One  two"]
+    got = {r["doc_id"]: r["best"]["doc_id"] for r in near_texts.near_groups(frame(spark, texts)).collect()}
+    want = near_plain([t or "" for t in texts])
+    # no wrong link; candidates are a matter of probability
+    assert all(want[got[i]] == want[i] for i in got) and np.mean([got[i] == want[i] for i in got]) > 0.95
+    assert sorted(r["doc_id"] for r in near_texts.drop_near(frame(spark, texts)).collect()) == sorted(set(got.values()))
+    assert near_texts.drop_near(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_large_near_groups(spark, monkeypatch, block):
+    # in Spark's workers the module is read anew, so blocks are tested here and a large group there
+    monkeypatch.setattr(near_texts, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    f = np.stack([np.full(60, 77, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)), np.zeros(60, np.uint64)], axis=1).view(np.int64)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(20, 5)), pa.array(np.arange(i, i + 20)), pa.array(f[i : i + 20, 0]), pa.array(f[i : i + 20, 1])], ["key", "node", "f0", "f1"]) for i in (0, 20, 40)]
+    links = [x for b in near_texts._candidates(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    ends = {x for a, b, _ in links for x in (a, b)}
+    assert ends == set(range(60)) and 59 <= len(links) <= 75 and all(d <= 2 for *_, d in links)
+    if block == 1024:
+        words = [f"w{i}" for i in range(120)]
+        texts = [" ".join([*words[:60], f"own{i}", *words[60:]]) for i in range(400)]
+        assert [r["doc_id"] for r in near_texts.drop_near(frame(spark, texts)).collect()] == [0]
+
+
 def test_ball_hashing_finds_every_link(spark):
     rng = random.Random(6)
     fps = {rng.getrandbits(64) for _ in range(30)} | {0}
@@ -459,13 +541,58 @@ def test_crc_split_matches_the_text_form(spark):
     assert all(r["m"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in rows)
 
 
-def test_pipeline_rows_are_what_the_stages_keep(spark, corpus):
+def test_pipeline_equals_plain_stages(spark, corpus):
+    """What each stage keeps of sf0.001, held against plain versions over the rows it was given."""
+    import corpus_pipeline
+
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        seen[name] = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(seen[name], docs.schema)
+    kept = {n: {r["doc_id"] for r in rows} for n, rows in seen.items()}
+    texts = {i: t or "" for i, t in corpus.items()}
+    langs = {r["doc_id"]: r for r in run(spark, "op2_crf_langid")}
+    assert kept["language_id"] == {i for i in texts if langs[i]["lang_pred"] != "und" and langs[i]["score"] >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    score = quality_plain({i: texts[i] for i in kept["language_id"]}, {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()})
+    verdict = {}
+    for i in kept["language_id"]:
+        s = quality.base_stats(texts[i].encode(), texts[i].encode().split())
+        verdict[i] = s[0] >= 50 and 100 * s[4] <= 50 * s[0] and score[i] >= quality.THRESHOLD
+    assert kept["quality_rules"] == {i for i, ok in verdict.items() if ok}
+    best = {}
+    for i in sorted(kept["quality_rules"]):
+        k = "".join(texts[i].split())
+        if k not in best or len(texts[i]) > len(texts[best[k]]):
+            best[k] = i
+    assert kept["exact_dedup"] == set(best.values())
+    ids = sorted(kept["exact_dedup"])
+    assert kept["near_dedup"] == {ids[k] for k in near_plain([texts[i] for i in ids])}
+    lib, total = library(), collections.Counter()
+    for p in seen["packing"]:
+        total[p["doc_id"]] += p["length"]
+    assert total == {i: len(library_ids(lib, texts[i])) + 1 for i in kept["near_dedup"]}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == kept["near_dedup"]
+
+
+def test_stages_on_null_shared_and_no_rows(spark):
     import corpus_pipeline
 
-    docs = {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()}
-    kept = {r["doc_id"] for r in run(spark, "op4_quality") if r["kept"]}
-    texts = {hashlib.sha256("".join((corpus[i] or "").split()).encode()).digest() for i in docs}
-    assert docs and docs <= set(corpus) and len(texts) == len(docs) and len(docs - kept) <= 0.05 * len(docs)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["the", "and", "of"]) + str(rng.randrange(999)) for _ in range(90)) for _ in range(12)]
+    ids = [1, None, None, 5, 5, 4, 7, 7, 8, 9, 10, 11]
+    # rows 0 and 1: copies with a null id; 2: null id of its own; 3, 4: one id, two texts; 6, 7: repeated row
+    texts[1], texts[7] = texts[0].replace(" ", "  "), texts[6]
+    docs = frame(spark, texts, ids)
+    want = sorted(t for i, t in enumerate(texts) if i not in (0, 7))
+    for name in ("exact_dedup", "near_dedup"):
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        left = sorted(" ".join(r["text"].split()) for r in out.collect())
+        assert left == sorted(" ".join(t.split()) for t in want) and out.columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
 
 
 def test_filtering_stages_keep_clashing_columns(spark):

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,3 +105,14 @@ def per_task(fn):
 def content_key(col: str):
     """Hash of a text without its white space; null counts as empty."""
     return F.sha2(F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame, *order: Column) -> DataFrame:
+    """docs without the rows of (doc_id, key) in `gone`, and one row, the first in order, of each (doc_id, key) in `repeated`; both have (_id, _key).
+
+    Ids and keys are matched null-safe. Only rows that are repeated are ranked.
+    """
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    first = Window.partitionBy("doc_id", key).orderBy(*order, F.lit(0))
+    many = docs.join(repeated, same, "left_semi").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
+    return docs.join(gone.unionByName(repeated), same, "left_anti").unionByName(many.join(gone, same, "left_anti"))

@@ -24,15 +24,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to the shared folder between rounds, so neither the plan nor the lineage grows.
     """
     now = common.saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc-pairs")
-    before = None
     for _ in range(max_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = common.saved(_star(both, small=False), "cc-large")
-        now = common.saved(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), small=True), "cc-small")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 999_983)).first()
-        if state == before:
+        new = common.saved(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), small=True), "cc-small")
+        settled = new.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(new, ["a", "b"], "left_anti").isEmpty()
+        common.discard(large, now)
+        now = new
+        if settled:
             break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())

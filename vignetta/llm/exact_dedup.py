@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -49,29 +51,25 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge pass over sorted rows: the first of equal digests stays with the sum of sizes."""
-    open_key, open_row = None, None
-    names = ["grp", *_KEY, "n_points", "doc_id", "row_id", "size"]
+    """Merge pass over sorted rows: the first of equal digests stays with the sum of sizes; the last run of a batch goes on in the next."""
+    held: pa.Table | None = None
     for b in batches:
-        cols = [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
-        out = []
-        for row in zip(*cols):
-            key = row[:4]
-            if key == open_key:
-                open_row[7] += row[7]
-            else:
-                if open_row is not None:
-                    out.append(open_row)
-                open_key, open_row = key, list(row)
-        if out:
-            yield _rows(out, names, b.schema)
-        schema = b.schema
-    if open_row is not None:
-        yield _rows([open_row], names, schema)
-
-
-def _rows(rows: list, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*rows))], names)
+        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if not rows.num_rows:
+            continue
+        rows = rows.combine_chunks()
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for name in ("grp", *_KEY):
+            c = rows[name].chunk(0)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        size = np.add.reduceat(rows["size"].to_numpy(), first)
+        rows = rows.take(pa.array(first)).drop_columns(["size"]).append_column("size", pa.array(size))
+        held = rows.slice(rows.num_rows - 1)
+        yield from rows.slice(0, rows.num_rows - 1).to_batches()
+    if held is not None:
+        yield from held.to_batches()
 
 
 def tree_merge(rows: DataFrame) -> DataFrame:
@@ -101,12 +99,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without exact copies, columns unchanged."""
-    found = common.saved(exact_dedup(docs), "exact-copies")
-    dropped = found.filter(~F.col("kept"))
-    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key")).distinct()
-    others = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (common.content_key("text") == F.col("_key")), "left_anti")
-    again = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    if again.isEmpty():
-        return others
-    twice = Window.partitionBy("doc_id", common.content_key("text")).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
-    return others.withColumn("_rank", F.row_number().over(twice)).filter("_rank = 1").drop("_rank")
+    found = common.saved(exact_dedup(docs).withColumnsRenamed({"doc_id": "_id", "text_sha256": "_key"}), "exact-copies")
+    gone = found.filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_key").distinct()
+    repeated = found.filter(F.col("_id").eqNullSafe(F.col("keep_id"))).groupBy("_id", "_key").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_key")
+    return common.without(docs, common.content_key("text"), gone, common.saved(repeated, "exact-repeats"), F.desc(F.length(F.coalesce("text", F.lit("")))))

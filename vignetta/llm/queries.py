@@ -53,7 +53,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("row_id")
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,22 +40,33 @@ SHINGLE = 3
 ROW_LIMIT = 20_000
 
 
-def fingerprint(text: bytes) -> int:
-    """Unsigned 64-bit SimHash of one text in UTF-8, A-Z lower-cased."""
+def simhash(text: bytes, n_words: int = 1) -> list[int]:
+    """Unsigned 64-bit words of the SimHash of one text in UTF-8, A-Z lower-cased; words after the first use mixes of the hashes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * n_words
     h = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return h(b" ".join(words), SEED)
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
-    values = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist())), np.uint64, len(words) - SHINGLE + 1)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(values), 4096):
-        ones += np.unpackbits(values[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
+    if len(words) <= SHINGLE:
+        values = np.array([h(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-SHINGLE] + 1)).tolist()
+        values = np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist())), np.uint64, len(words) - SHINGLE + 1)
+    out = []
+    for _ in range(n_words):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(values), 4096):
+            ones += np.unpackbits(values[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0]))
+        values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        values ^= values >> np.uint64(32)
+    return out
+
+
+def fingerprint(text: bytes) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return simhash(text)[0]
 
 
 def _fingerprints(b: pa.RecordBatch) -> list[pa.Array]:
@@ -166,35 +177,13 @@ def links(fps: DataFrame) -> DataFrame:
     return common.map_batches(emitted.repartition("key").sortWithinPartitions("key"), _links, "a bigint, b bigint")
 
 
-def _grouped(docs: DataFrame, *more: str) -> DataFrame:
-    """fp, doc_id, component_id and row_id; with more columns also those and `best`, the kept row of the component."""
-    spark = docs.sparkSession
-    rows = common.add_columns(docs.select("doc_id", "text", *more), "fp bigint", _fingerprints).drop("text")
-    rows = common.saved(rows.withColumn("row_id", F.monotonically_increasing_id()), "simhash-rows")
-    best = [F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more, "row_id")] if more else []
-    fps = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(b).alias("best") for b in best]), "simhash-fps")
-    names = ["best"] if more else []
-    parts = components(common.saved(links(fps.select("fp")), "simhash-links"))
-    of = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", *names, F.coalesce("comp", "fp").alias("comp"))
-    of = common.saved(of, "simhash-parts")
-    least = of.groupBy("comp").agg(F.min("least").alias("component_id"), *[F.min(n).alias(n) for n in names])
-    named = common.saved(of.drop(*names).join(least, "comp").select("fp", "component_id", *names), "simhash-named")
-    return rows.join(named, "fp")
-
-
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, and row_id that numbers the rows of docs."""
-    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_id")
-
-
-def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with the document of the smallest doc_id (null ids last) of every group, columns unchanged."""
-    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    lost = _grouped(docs.select("doc_id", "text", key.alias("_key")), "_key").filter(F.col("row_id") != F.col("best.row_id"))
-    again = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("_key") == F.col("best._key"))
-    gone = common.saved(lost.select(F.col("doc_id").alias("_id"), "_key", again.alias("_again")).distinct(), "near-copies")
-    others = docs.join(gone.filter("NOT _again"), docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
-    if gone.filter("_again").isEmpty():
-        return others
-    twice = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
-    return others.withColumn("_rank", F.row_number().over(twice)).filter("_rank = 1").drop("_rank")
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs."""
+    rows = common.saved(common.add_columns(docs.select("doc_id", "text"), "fp bigint", _fingerprints).drop("text"), "simhash-rows")
+    fps = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
+    found = common.saved(links(fps.select("fp")), "simhash-links")
+    parts = components(found)
+    of = common.saved(fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp")), "simhash-parts")
+    least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = common.saved(of.join(least, "comp").select("fp", "component_id"), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
