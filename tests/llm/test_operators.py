@@ -253,12 +253,14 @@ def test_lines_equal_plain(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_perfect_hash_and_passes(spark, monkeypatch):
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
-    ph = line_dedup.PerfectHash.load(*line_dedup.PerfectHash.build(keys).dump())
-    assert sorted(ph.index(keys)) == list(range(len(keys)))
+def test_perfect_hash_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    hi, lo = (rng.integers(0, 2**64, 5000, np.uint64) for _ in range(2))
+    hi[:2000] = hi[0]  # halves may repeat, keys don't
+    ph = line_dedup.PerfectHash.load(*line_dedup.PerfectHash.build(hi, lo).dump())
+    assert sorted(ph.index(hi, lo)) == list(range(len(hi)))
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
-    monkeypatch.setattr(line_dedup, "PASS_BYTES", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK_BITS", 1)
     texts = ["\n".join(f"line {i}" for i in range(12)) + f"\nown {k}" for k in range(10)]
     assert {(r["n_dropped"], r["kept_text"][:3]) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()} == {(12, "own")}
 

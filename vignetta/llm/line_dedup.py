@@ -1,18 +1,19 @@
 """Line dedup by probing a sharded minimal perfect hash.
 
 The documents per line key are counted first (each key once per document, summed per task before the
-shuffle, as a 128-bit hash, never as text). Keys found in at least `min_docs` documents go to shards by the leading
-bits of their hash; each shard task builds a minimal perfect hash (a cascade of bit levels: a key that is alone on a slot of
-a level takes it, the others go on to the next level; the slot's rank is the key's index) with an array of
-64-bit fingerprints and an array of counts at those indexes. Documents probe the arrays; lines are never joined.
-Keys below min_docs can't drop a line, so they are left out of the index; the answer is the same.
+shuffle, as a 128-bit hash, never as text). All distinct keys go to shards by the leading bits of their hash; each shard
+task builds a minimal perfect hash (a cascade of bit levels: a key that is alone on a slot of a level takes it,
+the others go on to the next level; the slot's rank is the key's index) with an array of 32-bit fingerprints and an array of
+16-bit counts at those indexes. Documents probe these arrays; lines are never joined: blocks of 2^BLOCK_BITS neighbouring documents send each
+of their distinct keys to its shard once, so a line that all documents share makes one probe a block; a task holds one
+shard and answers the probes that stream past; the frequent keys come back by block and drop their lines.
 
-The arrays travel in passes of at most PASS_BYTES, so what a pass broadcasts is bounded whatever the
-corpus holds; with more than one pass the documents' marks are written to the shared folder in between.
+Texts are written once with their block and read three times, whatever the number of shards; nothing is broadcast.
 
 Defined results: a null text is empty, and an empty text is one empty line; a key of less than
 `min_points` code points is never dropped; a text whose lines are all dropped becomes empty with n_lines unchanged; a key counts
-once per row of the table, so repeated rows count as documents; an empty table gives no row.
+once per row of the table, so repeated rows count as documents; texts of any length are one row; an empty table gives no row; columns other than
+doc_id and text, clashing names too, are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_KEYS = 32_768
-PASS_BYTES = 64 << 20
+SHARD_KEYS = 1 << 17
+BLOCK_BITS = 8
 LEVELS = 40
 FLUSH = 400_000
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,11 +45,6 @@ def _long_enough(key: bytes, min_points: int) -> bool:
     return len(key) >= min_points and (min_points <= 1 or len(key.translate(None, _CONTINUATION)) >= min_points)
 
 
-def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), ">u8").astype(np.uint64).reshape(-1, 2)
-    return raw[:, 0], raw[:, 1]
-
-
 def line_counts(docs: DataFrame, min_points: int) -> DataFrame:
     """(hi, lo, n): documents per line key."""
 
@@ -74,15 +70,19 @@ def line_counts(docs: DataFrame, min_points: int) -> DataFrame:
     return found.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
-def _slots(key: np.ndarray, level: int, size: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (key ^ np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(size)).astype(np.int64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def _slots(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
+    """A slot from both halves of the keys; whether two keys meet is independent from level to level."""
+    return (_mix(hi ^ _mix(lo + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64))) % np.uint64(size)).astype(np.int64)
 
 
 class PerfectHash:
-    """Minimal perfect hash over distinct 64-bit keys: levels of bits with ranks."""
+    """Minimal perfect hash over distinct 128-bit keys (hi, lo): levels of bits with ranks."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
@@ -94,24 +94,26 @@ class PerfectHash:
         self.size = base
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
+    def build(cls, hi: np.ndarray, lo: np.ndarray) -> PerfectHash:
         levels = []
-        while len(keys):
+        while len(hi):
             if len(levels) == LEVELS:
                 raise ValueError("two keys are equal")
-            size = 2 * len(keys) + 1
-            at = _slots(keys, len(levels), size)
+            size = 2 * len(hi) + 1
+            at = _slots(hi, lo, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
-            keys = keys[~alone[at]]
+            hi, lo = hi[~alone[at]], lo[~alone[at]]
         return cls(levels)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Index of each key; of a key outside the set, any index or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        open_ = np.arange(len(keys))
+        out = np.full(len(hi), -1, np.int64)
+        open_ = np.arange(len(hi))
         for level, bits in enumerate(self.levels):
-            at = _slots(keys[open_], level, len(bits))
+            if not len(open_):
+                break
+            at = _slots(hi[open_], lo[open_], level, len(bits))
             hit = bits[at]
             out[open_[hit]] = self.rank[level][at[hit]]
             open_ = open_[~hit]
@@ -127,104 +129,134 @@ class PerfectHash:
         return cls([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
 
 
+class Shard:
+    """What a shard's row holds: the hash, and fingerprints and counts at its indexes."""
+
+    def __init__(self, sizes: list[int], bits: bytes, fps: bytes, counts: bytes):
+        self.hash, self.fps, self.counts = PerfectHash.load(list(sizes), bits), np.frombuffer(fps, np.uint32), np.frombuffer(counts, np.uint16)
+
+    def count(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Documents of each key (65,535 stands for as many or more), 0 for one whose fingerprint is another's."""
+        at = self.hash.index(hi, lo)
+        out = np.where(at >= 0, self.counts[at], 0)
+        out[self.fps[at] != (lo & np.uint64(0xFFFFFFFF))] = 0
+        return out
+
+
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     hi, lo = pdf["hi"].to_numpy(np.int64).view(np.uint64), pdf["lo"].to_numpy(np.int64).view(np.uint64)
-    # the first half alone may repeat; the second half is mixed in, and stays the fingerprint
-    key = hi ^ (lo << np.uint64(1))
-    ph = PerfectHash.build(key)
-    at = ph.index(key)
-    fps, counts = np.zeros(len(key), np.uint64), np.zeros(len(key), np.uint32)
-    fps[at] = lo
-    counts[at] = np.minimum(pdf["n"].to_numpy(np.int64), 2**32 - 1)
+    ph = PerfectHash.build(hi, lo)
+    at = ph.index(hi, lo)
+    fps, counts = np.zeros(len(hi), np.uint32), np.zeros(len(hi), np.uint16)
+    fps[at] = lo & np.uint64(0xFFFFFFFF)
+    counts[at] = np.minimum(pdf["n"].to_numpy(np.int64), 2**16 - 1)
     sizes, bits = ph.dump()
     return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "sizes": sizes, "bits": bits, "fps": fps.tobytes(), "counts": counts.tobytes()}])
 
 
-def line_index(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
-    """Shard rows (shard, sizes, bits, fps, counts) and the number of leading hash bits that name a shard."""
-    often = common.saved(counts.filter(F.col("n") >= min_docs), "line-keys")
-    n, shard_bits = often.count(), 0
+def _shard_of(hi: str, shard_bits: int) -> Column:
+    return F.shiftrightunsigned(hi, 64 - shard_bits) if shard_bits else F.lit(0).cast("long")
+
+
+def line_index(counts: DataFrame) -> tuple[DataFrame, int]:
+    """Shard rows (shard, sizes, bits, fps, counts) over all keys, and the number of leading hash bits that name a shard."""
+    counts = common.saved(counts, "line-keys")
+    n, shard_bits = counts.count(), 0
     while n > SHARD_KEYS << shard_bits:
         shard_bits += 1
-    shard = F.shiftrightunsigned("hi", 64 - shard_bits).cast("int") if shard_bits else F.lit(0)
-    shards = often.withColumn("shard", shard).groupBy("shard").applyInPandas(_build_shard, "shard int, sizes array<int>, bits binary, fps binary, counts binary")
-    return common.saved(shards, "line-shards"), shard_bits
+    fields = "shard bigint, sizes array<int>, bits binary, fps binary, counts binary"
+    common.bound_batches(counts.sparkSession)
+    shards = common.saved(counts.withColumn("shard", _shard_of("hi", shard_bits)).groupBy("shard").applyInPandas(_build_shard, fields), "line-shards")
+    common.discard(counts)
+    return shards, shard_bits
+
+
+def line_probes(docs: DataFrame, min_points: int) -> DataFrame:
+    """(block, hi, lo): the distinct keys of each block of documents; docs has (block, text) and blocks lie together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, set] = (None, set())
+        out: list[tuple[int, bytes]] = []
+
+        def rows() -> pa.RecordBatch:
+            hi, lo = np.frombuffer(b"".join(d for _, d in out), ">i8").astype(np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array(hi), pa.array(lo)], ["block", "hi", "lo"])
+
+        for b in batches:
+            for block, t in zip(b.column("block").to_pylist(), common.text_bytes(b.column("text"))):
+                if block != last[0] or len(last[1]) > FLUSH:  # a key sent twice does no harm
+                    out += [(last[0], d) for d in last[1]]
+                    last = (block, set())
+                    if len(out) > FLUSH:
+                        yield rows()
+                        out = []
+                last[1].update(xxhash.xxh3_128_digest(k) for k in set(map(line_key, t.split(b"\n"))) if _long_enough(k, min_points))
+        out += [(last[0], d) for d in last[1]]
+        if out:
+            yield rows()
+
+    return common.map_batches(docs.select("block", "text"), run, "block bigint, hi bigint, lo bigint")
 
-def _passes(shards: DataFrame) -> list[list[int]]:
-    sizes = shards.select("shard", (F.length("bits") * 40 + F.length("fps") + F.length("counts")).alias("b")).orderBy("shard").collect()
-    out, room = [[]], PASS_BYTES
-    for r in sizes:
-        if out[-1] and r["b"] > room:
-            out.append([])
-            room = PASS_BYTES
-        out[-1].append(r["shard"])
-        room -= r["b"]
-    return out
+
+def probe(shards: DataFrame, shard_bits: int, probes: DataFrame, min_docs: int) -> DataFrame:
+    """(block, hi, lo) of the probes whose keys are in at least min_docs documents.
+
+    A shard's row comes before its probes in one partition, so a task holds one shard at a time and probes stream past it.
+    """
+    null = lambda t: F.lit(None).cast(t)
+    asked = probes.select(_shard_of("hi", shard_bits).alias("shard"), "block", "hi", "lo", null("array<int>").alias("sizes"), *[null("binary").alias(c) for c in ("bits", "fps", "counts")])
+    index = shards.select("shard", *[null("bigint").alias(c) for c in ("block", "hi", "lo")], "sizes", "bits", "fps", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        for b in batches:
+            block, hi, lo = b.column("block"), b.column("hi"), b.column("lo")
+            heads = np.flatnonzero(block.is_null().to_numpy(zero_copy_only=False)).tolist()
+            found = []
+            for start, end in zip([-1, *heads], [*heads, b.num_rows]):
+                if start >= 0:
+                    shard = Shard(*(b.column(c)[start].as_py() for c in ("sizes", "bits", "fps", "counts")))
+                if end > start + 1:
+                    x, y = (c.slice(start + 1, end - start - 1).to_numpy().view(np.uint64) for c in (hi, lo))
+                    found.append(start + 1 + np.flatnonzero(shard.count(x, y) >= min_docs))
+            if found:
+                yield b.take(pa.array(np.concatenate(found))).select(["block", "hi", "lo"])
+
+    both = asked.unionByName(index).repartition("shard").sortWithinPartitions("shard", F.col("block").isNotNull())
+    return common.map_batches(both.select("block", "hi", "lo", "sizes", "bits", "fps", "counts"), run, "block bigint, hi bigint, lo bigint")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
     """docs' doc_id with n_lines, n_dropped and kept_text."""
-    spark = docs.sparkSession
-    shards, shard_bits = line_index(line_counts(docs, min_points), min_docs)
-    passes = _passes(shards)
-    marked = docs.select("doc_id", "text", F.expr("cast(array() as array<int>)").alias("marks"))
-    for i, group in enumerate(passes):
-        rows = shards.filter(F.col("shard").isin(group)).collect() if group else []
-        sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
-        last = i == len(passes) - 1
-        fields = "n_lines bigint, n_dropped bigint, kept_text string" if last else "marks array<int>"
-        marked = common.add_columns(marked, fields, _prober(sent, shard_bits, min_points, min_docs, last))
-        if not last:
-            marked = common.saved(marked, "line-marks")
-    return marked.select("doc_id", "n_lines", "n_dropped", "kept_text")
-
-
-def _prober(sent, shard_bits: int, min_points: int, min_docs: int, last: bool):
+    if not 1 <= min_docs < 2**16:
+        raise ValueError("min_docs must fit a 16-bit count")
+    # rows of one block are neighbours in one file; the table is written once, because blocks must be the same when it is read again
+    rows = common.saved(docs.select("doc_id", "text").withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "line-rows")
+    shards, shard_bits = line_index(line_counts(rows, min_points))
+    hits = probe(shards, shard_bits, line_probes(rows, min_points), min_docs)
+    per_block = hits.groupBy(F.col("block").alias("_block")).agg(F.collect_set(F.struct("hi", "lo")).alias("hits"))  # at most a block's own keys
+    marked = rows.join(per_block, F.col("block") == F.col("_block"), "left").select("doc_id", "text", "block", "hits")
+
     @common.per_task
     def start():
-        index = {s: (PerfectHash.load(list(sizes), bits), np.frombuffer(fps, np.uint64), np.frombuffer(counts, np.uint32)) for s, sizes, bits, fps, counts in sent.value}
-
-        def hits(keys: list[bytes]) -> np.ndarray:
-            out = np.zeros(len(keys), bool)
-            if not keys or not index:
-                return out
-            hi, lo = _halves(keys)
-            shard = (hi >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
-            for s in np.unique(shard):
-                if s in index:
-                    ph, fps, counts = index[s]
-                    mine = np.flatnonzero(shard == s)
-                    at = ph.index(hi[mine] ^ (lo[mine] << np.uint64(1)))
-                    ok = at >= 0
-                    ok[ok] = (fps[at[ok]] == lo[mine][ok]) & (counts[at[ok]] >= min_docs)
-                    out[mine[ok]] = True
-            return out
+        last: list = [None, frozenset()]
 
         def work(b: pa.RecordBatch) -> list[pa.Array]:
-            docs = [t.split(b"\n") for t in common.text_bytes(b.column("text"))]
-            flat = [line_key(x) for d in docs for x in d]
-            asked = [i for i, k in enumerate(flat) if _long_enough(k, min_points)]
-            drop = np.zeros(len(flat), bool)
-            drop[asked] = hits([flat[i] for i in asked])
-            marks = b.column("marks").to_pylist()
-            texts, lines, dropped, found, at = [], [], [], [], 0
-            for d, m in zip(docs, marks):
-                mine = drop[at : at + len(d)]
-                at += len(d)
-                if m:
-                    mine[m] = True
-                n = int(mine.sum())
-                lines.append(len(d))
-                dropped.append(n)
-                if last:
-                    texts.append(b"\n".join(x for x, gone in zip(d, mine.tolist()) if not gone) if n else b"\n".join(d))
-                else:
-                    found.append(np.flatnonzero(mine).tolist())
-            if not last:
-                return [pa.array(found, pa.list_(pa.int32()))]
+            texts, lines, dropped = [], [], []
+            offsets = b.column("hits")
+            for i, (block, t) in enumerate(zip(b.column("block").to_pylist(), common.text_bytes(b.column("text")))):
+                if block != last[0]:
+                    found = offsets[i].as_py() or []
+                    last[:] = block, frozenset(h["hi"].to_bytes(8, "big", signed=True) + h["lo"].to_bytes(8, "big", signed=True) for h in found)
+                often, all_ = last[1], t.split(b"\n")
+                kept = all_
+                if often:
+                    kept = [x for x in all_ if not (_long_enough(k := line_key(x), min_points) and xxhash.xxh3_128_digest(k) in often)]
+                lines.append(len(all_))
+                dropped.append(len(all_) - len(kept))
+                texts.append(b"\n".join(kept))
             return [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
 
         return work
 
-    return start
+    return common.add_columns(marked, "n_lines bigint, n_dropped bigint, kept_text string", start).select("doc_id", "n_lines", "n_dropped", "kept_text")
