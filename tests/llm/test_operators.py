@@ -182,6 +182,20 @@ def test_tree_over_many_runs(spark):
     assert all(r["group_size"] == 75 and r["keep_id"] == r["doc_id"] % 40 for r in rows) and sum(r["kept"] for r in rows) == 40
 
 
+def test_merge_pass_over_batches():
+    import pyarrow as pa
+
+    fields = [pa.field("grp", pa.int32(), False), pa.field("digest", pa.binary()), pa.field("check", pa.int64()), pa.field("norm_bytes", pa.int64()), pa.field("n_points", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("row_id", pa.int64(), False), pa.field("size", pa.int64(), False)]
+    rng = random.Random(4)
+    rows = sorted((0, bytes([rng.randrange(9)]), 1, 1, 5, i, i, rng.randrange(1, 4)) for i in range(60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 7]), fields)], schema=pa.schema(fields)) for i in range(0, 60, 7)]
+    got = [r for b in exact_dedup._first_of_equal(iter(batches)) for r in b.to_pylist()]
+    want = collections.Counter()
+    for r in rows:
+        want[r[1]] += r[7]
+    assert [(r["digest"], r["size"]) for r in got] == sorted(want.items()) and [r["row_id"] for r in got] == [next(r[6] for r in rows if r[1] == d) for d in sorted(want)]
+
+
 # op4
 
 

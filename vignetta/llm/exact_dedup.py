@@ -54,7 +54,8 @@ def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Merge pass over sorted rows: the first of equal digests stays with the sum of sizes; the last run of a batch goes on in the next."""
     held: pa.Table | None = None
     for b in batches:
-        rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        rows = pa.Table.from_arrays(b.columns, names=b.schema.names)  # without the batch's own notes on nulls
+        rows = rows if held is None else pa.concat_tables([held, rows])
         if not rows.num_rows:
             continue
         rows = rows.combine_chunks()

@@ -234,29 +234,34 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> Dat
     rows = common.saved(docs.select("doc_id", "text").withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)), "line-rows")
     shards, shard_bits = line_index(line_counts(rows, min_points))
     hits = probe(shards, shard_bits, line_probes(rows, min_points), min_docs)
-    per_block = hits.groupBy(F.col("block").alias("_block")).agg(F.collect_set(F.struct("hi", "lo")).alias("hits"))  # at most a block's own keys
-    marked = rows.join(per_block, F.col("block") == F.col("_block"), "left").select("doc_id", "text", "block", "hits")
-
-    @common.per_task
-    def start():
-        last: list = [None, frozenset()]
-
-        def work(b: pa.RecordBatch) -> list[pa.Array]:
-            texts, lines, dropped = [], [], []
-            offsets = b.column("hits")
-            for i, (block, t) in enumerate(zip(b.column("block").to_pylist(), common.text_bytes(b.column("text")))):
-                if block != last[0]:
-                    found = offsets[i].as_py() or []
-                    last[:] = block, frozenset(h["hi"].to_bytes(8, "big", signed=True) + h["lo"].to_bytes(8, "big", signed=True) for h in found)
-                often, all_ = last[1], t.split(b"\n")
+    null = lambda t: F.lit(None).cast(t)
+    answers = hits.select("block", F.lit(False).alias("is_doc"), "hi", "lo", null(dict(rows.dtypes)["doc_id"]).alias("doc_id"), null("string").alias("text"))
+    asked = rows.select("block", F.lit(True).alias("is_doc"), null("bigint").alias("hi"), null("bigint").alias("lo"), "doc_id", "text")
+    both = answers.unionByName(asked).repartition("block").sortWithinPartitions("block", "is_doc")  # a block's frequent keys before its documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, often = None, set()
+        for b in batches:
+            blocks, is_doc = b.column("block").to_numpy(), b.column("is_doc").to_numpy(zero_copy_only=False)
+            keys = np.stack([b.column(c).fill_null(0).to_numpy() for c in ("hi", "lo")], axis=1).astype(">i8")
+            lines, dropped, kept_texts = [], [], []
+            docs_at = np.flatnonzero(is_doc)
+            texts = iter(common.text_bytes(b.column("text").take(pa.array(docs_at))))
+            for i, (block, doc) in enumerate(zip(blocks.tolist(), is_doc.tolist())):
+                if block != last:
+                    last, often = block, set()
+                if not doc:
+                    often.add(keys[i].tobytes())
+                    continue
+                all_ = next(texts).split(b"\n")
                 kept = all_
                 if often:
                     kept = [x for x in all_ if not (_long_enough(k := line_key(x), min_points) and xxhash.xxh3_128_digest(k) in often)]
                 lines.append(len(all_))
                 dropped.append(len(all_) - len(kept))
-                texts.append(b"\n".join(kept))
-            return [pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-
-        return work
+                kept_texts.append(b"\n".join(kept))
+            if lines:
+                ids = b.column("doc_id").take(pa.array(docs_at))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
 
-    return common.add_columns(marked, "n_lines bigint, n_dropped bigint, kept_text string", start).select("doc_id", "n_lines", "n_dropped", "kept_text")
+    return common.map_batches(both, run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_lines bigint, n_dropped bigint, kept_text string")
