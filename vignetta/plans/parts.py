@@ -60,7 +60,7 @@ def map_case(expr: str, table: dict, otherwise: str) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {otherwise} END"
 
 
-FIGS = f"""fg AS (SELECT *, CASE WHEN contains(fig_id, '__tab') THEN 'table' ELSE {kind_case()} END AS kind,
+FIGS = f"""fg AS MATERIALIZED (SELECT *, CASE WHEN contains(fig_id, '__tab') THEN 'table' ELSE {kind_case()} END AS kind,
  CASE n_drawings % 6 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' WHEN 2 THEN 'other' WHEN 3 THEN 'x:method' WHEN 4 THEN 'x:table' END AS pred_label, (n_drawings % 10) / 10.0 AS pred_p,
  CASE WHEN v_category IS NOT NULL THEN 'icons ; ' || v_category ELSE '' END AS v_tags, CASE WHEN v2_category IS NOT NULL THEN 'line' END AS v2_chart_type, n_drawings % 4 AS n_panels, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS INT) AS panel FROM fx_figures)"""
 #: Visible rows: figures that don't split and all panels.
@@ -73,8 +73,8 @@ META = f"""{VENUES}, m0 AS (SELECT p.paper_key, coalesce(nullif(s.title, ''), pd
  coalesce(nullif(year_hint, ''), nullif(substring(published, 1, 4), ''), nullif(pdf_year, ''), nullif(s2_year, ''), '') AS year, coalesce(nullif(venue_hint, ''), pdf_venue, '') AS rv,
  coalesce(authors_csv, '') AS authors_csv, coalesce(citations, 0) AS citations, pdf_arxiv_id AS arxiv_id, coalesce(note, '') AS note, coalesce(url, '') AS url, s.paper_key IS NOT NULL AS has_side, dpi
  FROM fx_papers p LEFT JOIN fx_sidecars s USING (paper_key) WHERE error IS NULL),
-m1 AS (SELECT *, {map_case('lower(rv)', L.VENUE_ALIASES, 'rv')} AS venue, CASE WHEN NOT has_side THEN 'local' WHEN regexp_matches(lower(note), 'best|outstanding|distinguished|honou?rable|award') THEN 'award' WHEN url <> '' THEN 'seed' ELSE 'local' END AS source FROM m0),
+m1 AS MATERIALIZED (SELECT *, {map_case('lower(rv)', L.VENUE_ALIASES, 'rv')} AS venue, CASE WHEN NOT has_side THEN 'local' WHEN regexp_matches(lower(note), 'best|outstanding|distinguished|honou?rable|award') THEN 'award' WHEN url <> '' THEN 'seed' ELSE 'local' END AS source FROM m0),
 ar AS (SELECT v, area FROM (SELECT v, area, row_number() OVER (PARTITION BY v ORDER BY length(name) DESC, ord) AS n FROM (SELECT DISTINCT venue AS v FROM m1) JOIN vt ON regexp_matches(lower(v), '(^|[^a-z])' || name || '([^a-z]|$)')) WHERE n = 1),
-mt AS (SELECT m1.* EXCLUDE (rv, has_side), coalesce(ar.area, CASE WHEN arxiv_id <> '' THEN 'preprint' ELSE '' END) AS area,
+mt AS MATERIALIZED (SELECT m1.* EXCLUDE (rv, has_side), coalesce(ar.area, CASE WHEN arxiv_id <> '' THEN 'preprint' ELSE '' END) AS area,
  CASE {" ".join(f"WHEN regexp_matches(lower(note), '{w}') THEN {r}" for r, _, _, w in L.AWARD_TIERS)} WHEN regexp_matches(lower(note), '\\brecent \\(') THEN 5 WHEN source = 'seed' THEN 4 ELSE 5 END AS award_rank,
  CASE {" ".join(f"WHEN regexp_matches(lower(note), '{w}') THEN '{e}'" for _, _, e, w in L.AWARD_TIERS)} WHEN regexp_matches(lower(note), '\\brecent \\(') THEN 'Recent' WHEN source = 'seed' THEN 'High impact' ELSE '' END AS award_en FROM m1 LEFT JOIN ar ON ar.v = m1.venue)"""

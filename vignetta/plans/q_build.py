@@ -43,13 +43,13 @@ DEDUP = "dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_k
 OVER = "ov AS (SELECT * REPLACE (CASE WHEN v2_category IS NOT NULL THEN v2_category ELSE v_category END AS v_category, CASE WHEN v2_category IS NOT NULL THEN coalesce(v2_chart_type, '') ELSE v_chart_type END AS v_chart_type) FROM {})"
 KIND = f"""k1 AS (SELECT * REPLACE (CASE WHEN v_category IS NULL AND kind <> 'table' THEN {kind_case()} ELSE kind END AS kind) FROM {{}}),
 k2 AS (SELECT * REPLACE (CASE WHEN v_category IS NULL AND coalesce(pred_label, '') <> '' THEN CASE WHEN parent IS NOT NULL THEN coalesce({X}, 'result') WHEN kind = 'result' THEN coalesce({X}, kind) ELSE kind END ELSE kind END AS kind) FROM k1)"""
-GUESS = f"""gs AS (SELECT *, CASE WHEN (v_category = 'data' AND coalesce(v_chart_type, '') IN ('', 'other', 'mixed')) OR (v_category IS NULL AND kind = 'result') THEN
+GUESS = f"""gs AS MATERIALIZED (SELECT *, CASE WHEN (v_category = 'data' AND coalesce(v_chart_type, '') IN ('', 'other', 'mixed')) OR (v_category IS NULL AND kind = 'result') THEN
  coalesce(nullif(CASE WHEN parent IS NOT NULL AND coalesce(pred_label, '') <> '' THEN '' ELSE coalesce(nullif({chart_case('v_tags')}, ''), {chart_case('caption')}) END, ''),
  CASE WHEN coalesce(pred_label, '') NOT IN ('', 'other', 'x:method', 'x:background', 'x:example', 'x:table', 'x:prompt') THEN pred_label END) END AS chart_guess FROM {{}})"""
 RECAP = "rc AS (SELECT * REPLACE (CASE WHEN parent IS NOT NULL THEN regexp_replace(caption, '\\s*\\[子图 (\\d+)/(\\d+)\\]', ' [\\1/\\2]', 'g') ELSE caption END AS caption) FROM {})"
 INDEX = f"""{META}, {SHOWN}, {DEDUP}, {OVER.format('dd')}, {KIND.format('ov')}, {RECAP.format('k2')}, {GUESS.format('rc')},
 nf AS (SELECT mt.*, c.n_figs, coalesce(nullif({TITLE}, ''), paper_key) AS fold_key FROM mt JOIN (SELECT paper_key, count(*) AS n_figs FROM gs GROUP BY paper_key) c USING (paper_key)),
-pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_key ORDER BY n_figs DESC, source = 'seed' DESC, paper_key || '.json') AS rn FROM nf) WHERE rn = 1),
+pp AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_key ORDER BY n_figs DESC, source = 'seed' DESC, paper_key || '.json') AS rn FROM nf) WHERE rn = 1),
 ff AS (SELECT * FROM gs WHERE paper_key IN (SELECT paper_key FROM pp))"""
 CAT = f"coalesce(nullif(v_category, ''), {map_case('kind', L.KIND_CATEGORY | {'table': 'table'}, repr('other'))})"
 
