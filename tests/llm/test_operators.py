@@ -156,6 +156,8 @@ def test_rare_and_wordless_labels_are_learned_from(spark):
     assert crf_langid.fit([b"the and of " * 30, b"der die und " * 30, b" \n"], ["en", "de", "xx"]).languages == ["de", "en"]
     rows = [(i, "the and of that with " * 9, "en") for i in range(3000)] + [(i, "der die und nicht ist " * 9, "de") for i in range(9000, 9002)] + [(9009, " \n", "xx"), (9010, "", "xx")]
     model = crf_langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20)
+    long = spark.createDataFrame([(0, "the and of " * 30, "en"), (1, "der die und " * 5000, "de")], "doc_id long, text string, lang string")
+    assert crf_langid.fit_sample(long, chars=300).languages == ["de", "en"]
     got = crf_langid.label(frame(spark, ["the and of that", "der die und nicht"]), model).orderBy("doc_id").collect()
     assert model.languages == ["de", "en"] and [r["lang_pred"] for r in got] == ["en", "de"] and all(r["score"] > 0.8 for r in got)
 
@@ -320,10 +322,36 @@ def test_bpe_equals_library(spark):
         want = library_ids(lib, t)
         assert bytes(r["ids"]) == want.tobytes() and r["decoded"] == lib.decode(want.tolist(), skip_special_tokens=False)
     tok = bpe.tokenizer(queries.tokenizer_path())
-    assert "".join(tok.decode_stream([320, 1125])) == lib.decode([320, 1125], skip_special_tokens=False)
+    decoder = bpe.Decoder(tok.strings)
+    assert "".join([*(decoder.feed(np.array([i], "<u4").tobytes()) for i in (320, 1125)), decoder.close()]) == lib.decode([320, 1125], skip_special_tokens=False)
     assert tok.lookahead < bpe.BLOCK and bpe.encode_documents(frame(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_a_word_of_megabytes_streams_in_fixed_memory(monkeypatch):
+    import tracemalloc
+
+    tok, rng = bpe.tokenizer(queries.tokenizer_path()), random.Random(7)
+    word = "".join(rng.choice("theraniosg") for _ in range(2_000_000))
+    text, most = word.encode(), 0
+    tracemalloc.start()
+    head = b""
+    for i, block in enumerate(tok._pieces(text)):
+        head += block if len(head) < 4000 else b""
+        if i == 3:
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+        if i == 60:
+            most = tracemalloc.get_traced_memory()[1] - before
+            break
+    tracemalloc.stop()
+    assert 0 < most < 2_000_000  # the whole word's symbols and ids would take tens of megabytes
+    lib = library()
+    want = library_ids(lib, word[:60_000])
+    monkeypatch.setattr(bpe, "LONG_TEXT", 0)
+    ids, decoded = tok.round_trip(text[:60_000] + b" a " + "é".encode() * 300)
+    assert ids[: len(want) * 4] == want.tobytes() and decoded.decode() == lib.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+
+
 def test_long_words_stream_like_whole_ones():
     tok, rng = bpe.tokenizer(queries.tokenizer_path()), random.Random(5)
     for alphabet in ("ab", "theraniosg", "abcdefghijklmnopqrstuvwxyz"):

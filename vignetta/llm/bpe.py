@@ -4,9 +4,10 @@ The merge list fixes how far to the right a token's fate can depend on the text:
 merged to its left may be taken by an earlier merge to its right, whose right part in turn may be taken
 earlier still. `sufficient_lookahead` follows these chains in merge order and returns the longest one
 in symbols. The transducer keeps a buffer of BLOCK symbols and that lookahead, merges inside the buffer,
-and emits the tokens that end before the lookahead begins: they can't change any more. So a word of any
-length is encoded in constant memory. Words come as white-space chunks; chunk and word results are memoised
-in dictionaries of bounded size.
+and emits the tokens that end before the lookahead begins: they can't change any more. Every word goes through it, symbol by symbol; most
+end before the first buffer is full. Blocks of stable tokens are decoded as they come, so beside a document's text, ids and decoded
+text, which are the operator's input and output, only buffers of fixed size are held. Words come as white-space chunks; short chunks' and
+words' results are memoised in dictionaries of bounded size.
 
 Normalising, splitting and byte symbols follow the tokenizer file: special tokens first, NFC, runs of white
 space, lower case, the split pattern, then byte symbols with a word-end mark on the last. Decoding joins the
@@ -33,8 +34,10 @@ from pyspark.sql import DataFrame
 from . import common
 
 BLOCK = 512
+LONG_TEXT = 1 << 20
 CHUNK_CACHE = 800_000
 WORD_CACHE = 400_000
+_CHUNK = re.compile(rb"[^\x09-\x0d ]+")
 _WHITE = "\u0009-\u000d \u0085   -     　"
 
 
@@ -164,61 +167,96 @@ class Tokenizer:
         if buffer:
             yield self.merge(buffer)
 
+    def _symbols(self, word: str) -> Iterator[int]:
+        """Ids of a word's byte symbols, one at a time; the last one has the word-end mark."""
+        before = None
+        for c in word:
+            for x in c.encode():
+                if before is not None and self.plain[before] is not None:
+                    yield self.plain[before]
+                before = x
+        if before is not None and self.last[before] is not None:
+            yield self.last[before]
+
     def _word(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = [self.plain[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        ids = [i for i in ids if i is not None]
-        if len(ids) <= BLOCK:
-            return np.array(self.merge(ids), "<u4").tobytes()
-        return b"".join(np.array(x, "<u4").tobytes() for x in self.stream_word(ids))
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return b"".join(np.array(x, "<u4").tobytes() for x in self.stream_word(self._symbols(word)))
+
+    def _plain(self, text: str) -> Iterator[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return b"".join(self.words[w] if len(w) < 64 else self._word(w) for w in self.split.findall(text))
-
-    def _chunk(self, chunk: bytes) -> bytes:
+        for m in self.split.finditer(text):
+            if m.end() - m.start() < 64:
+                yield self.words[m[0]]
+            else:
+                yield from (np.array(x, "<u4").tobytes() for x in self.stream_word(self._symbols(m[0])))
+
+    def _pieces(self, chunk: bytes) -> Iterator[bytes]:
+        """Ids of a white-space chunk as they become stable."""
         text = chunk.decode()
         if self.special is None or not self.special.search(text):
-            return self._plain(text)
-        out, at = [], 0
+            yield from self._plain(text)
+            return
+        at = 0
         for m in self.special.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.array([self.specials[m[0]]], "<u4").tobytes()]
+            yield from self._plain(text[at : m.start()])
+            yield np.array([self.specials[m[0]]], "<u4").tobytes()
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        yield from self._plain(text[at:])
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        return b"".join(self._pieces(chunk))
+
+    def encode_stream(self, text: bytes) -> Iterator[bytes]:
+        """Blocks of ids of a text in UTF-8, each as soon as nothing that follows can change it."""
+        for m in _CHUNK.finditer(text):
+            c = m[0] if b"<|" in m[0] else m[0].lower()
+            if len(c) < 256:  # longer chunks aren't kept
+                yield self.chunks[c]
+            else:
+                yield from self._pieces(c)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text in UTF-8 as little-endian unsigned 32-bit integers."""
-        # lower-casing first only joins memo entries; special tokens are matched before the tokenizer lower-cases
-        parts = (text if b"<|" in text else text.lower()).split()
-        if len(text) > 64 * (len(parts) + 1):  # very long chunks aren't kept
-            return b"".join(self.chunks[p] if len(p) < 256 else self._chunk(p) for p in parts)
-        return b"".join(map(self.chunks.__getitem__, parts))
-
-    # decoding
-
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text of ids as it becomes known: token bytes go through a UTF-8 state machine."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        first = True
-        for i in ids:
-            yield machine.decode(self.strings[i] if first else b" " + self.strings[i])
-            first = False
-        yield machine.decode(b"", True)
+        return b"".join(self.encode_stream(text))
+
+    def round_trip(self, text: bytes) -> tuple[bytes, bytes]:
+        """Ids and decoded text in one pass: what is stable is decoded at once, so beside both results only the buffers are held."""
+        if len(text) < LONG_TEXT:  # all chunks are short: the same in fewer steps
+            # lower-casing first only joins memo entries; special tokens are matched before the tokenizer lower-cases
+            parts = (text if b"<|" in text else text.lower()).split()
+            if all(len(p) < 256 for p in parts):
+                ids = b"".join(map(self.chunks.__getitem__, parts))
+                return ids, self.decode(ids)
+        ids, out, decoder = bytearray(), bytearray(), Decoder(self.strings)
+        for block in self.encode_stream(text):
+            ids += block
+            out += decoder.feed(block).encode()
+        out += decoder.close().encode()
+        return bytes(ids), bytes(out)
 
     def decode(self, ids: bytes) -> bytes:
-        """UTF-8 of the decoded text; blocks of tokens pass through the same machine."""
-        values = np.frombuffer(ids, "<u4")
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        out = []
-        for i in range(0, len(values), 8192):
-            block = b" ".join(map(self.strings.__getitem__, values[i : i + 8192].tolist()))
-            out.append(machine.decode(b" " + block if i else block))
-        out.append(machine.decode(b"", True))
-        return "".join(out).encode()
+        """UTF-8 of the decoded text."""
+        decoder = Decoder(self.strings)
+        out = [decoder.feed(ids[i : i + 32_768]) for i in range(0, len(ids), 32_768)]
+        return "".join([*out, decoder.close()]).encode()
+
+
+class Decoder:
+    """Text of ids as it becomes known: the tokens' bytes go through a UTF-8 state machine."""
+
+    def __init__(self, strings: list[bytes]):
+        self.strings, self.machine, self.first = strings, codecs.getincrementaldecoder("utf-8")("replace"), True
+
+    def feed(self, ids: bytes) -> str:
+        if not ids:
+            return ""
+        block = b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        block, self.first = block if self.first else b" " + block, False
+        return self.machine.decode(block)
+
+    def close(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -239,8 +277,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         tok = tokenizer(path)
 
         def work(b: pa.RecordBatch) -> list[pa.Array]:
-            ids = [tok.encode(t) for t in common.text_bytes(b.column("text"))]
-            return [pa.array(ids, pa.binary()), pa.array([tok.decode(x) for x in ids], pa.binary()).cast(pa.string())]
+            both = [tok.round_trip(t) for t in common.text_bytes(b.column("text"))]
+            return [pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary()).cast(pa.string())]
 
         return work
 

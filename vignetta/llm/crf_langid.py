@@ -3,7 +3,7 @@
 A word's features are the byte trigrams of the blank-padded word, its prefix and suffix and the word itself
 (the lexicon), hashed into one table of weights by language; transitions between neighbouring words' languages are
 learned with them. The field is fitted on code-switched sequences that are put together from runs of labelled
-documents (at most FIT_ROWS of them, an equal share for each language, none longer than FIT_CHARS), by gradient steps on the log-likelihood. Forward-backward gives
+documents (at most FIT_ROWS of them, an equal share for each language, and of longer ones a span of FIT_CHARS characters), by gradient steps on the log-likelihood. Forward-backward gives
 every word's posterior; a document's language has the largest mean posterior, which is its score.
 
 Long documents cost no more per word than short ones: words fall into segments of SEGMENT words whose
@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -203,9 +203,15 @@ def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: i
     return Model(languages, weights, trans)
 
 
+def _span(text: str, place: str, chars: int) -> Column:
+    """A text of at most `chars` characters whole, of a longer one that many from a place that a hash names."""
+    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return F.substring(F.col(text), (F.col(place) % room + 1).cast("int"), F.lit(chars))
+
+
 def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
     """Fit on at most `rows` labelled documents that have words, an equal share for each language, those of the least hashes."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= chars) & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "lang")
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], [])
@@ -214,7 +220,7 @@ def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) ->
     limits = docs.sparkSession.createDataFrame([(x, int(min(1.0, (2 * share + 50) / n) * (1 << 40))) for x, n in sizes.items()], "lang string, most long")
     drawn = usable.withColumn("_hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(limits), "lang").filter("_hash < most")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
-    few = drawn.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("lang", "_rank", "text").collect()
+    few = drawn.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("lang", "_rank", _span("text", "_hash", chars).alias("text")).collect()
     few.sort(key=lambda r: (r["lang"], r["_rank"]))
     return fit([r["text"].encode() for r in few], [r["lang"] for r in few])
 
