@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vignetta.functions import columns as C
-from vignetta.operators import boxes, build, candidates, labels, panels, seeds
+from vignetta.operators import boxes, build, candidates, chartmodel, labels, panels, seeds
 from vignetta.sources import readers, writers
 
 
@@ -160,3 +160,50 @@ def test_index_records(spark, tmp_path):
 def test_safe_json(spark):
     got = writers.embed_safe_json(spark.createDataFrame([("<a & b>",)], "t string")).first()["json"]
     assert got == '{"t":"\\u003ca \\u0026 b\\u003e"}'
+
+
+def softmax_fit(x, y, w, k, penalty, steps=8000):
+    """Weighted multinomial logistic regression by plain gradient steps; intercepts aren't penalised."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    coef, move = np.zeros((k, x.shape[1])), 0.0
+    for _ in range(steps):
+        z = x @ coef.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        grad = (w[:, None] * (p - np.eye(k)[y])).T @ x / w.sum()
+        grad[:, :-1] += penalty * coef[:, :-1]
+        move = 0.9 * move - 0.5 * grad
+        coef = coef + move
+    return coef
+
+
+def test_chart_model_equals_plain_fit(spark):
+    rng = np.random.default_rng(5)
+    y = np.repeat([0, 1, 2], [60, 40, 20])
+    x = rng.normal(size=(120, 4)) + 0.8 * np.eye(3, 4)[y]
+    rows = spark.createDataFrame([(i, [float(v) for v in a], "abc"[c]) for i, (a, c) in enumerate(zip(x, y))], "vec_id long, embedding array<double>, label string")
+    weighted = chartmodel.class_weights(rows)
+    assert {r["label"]: round(r["w"], 9) for r in weighted.groupBy("label").agg(F.max("weight").alias("w")).collect()} == {"a": round(120 / 180, 9), "b": 1.0, "c": 2.0}
+    model, classes = chartmodel.fit_chart_model(weighted)
+    coef = softmax_fit(x, y, np.array([120 / 180, 1.0, 2.0])[y], 3, 1 / (chartmodel.PENALTY * 120))
+    z = np.hstack([x, np.ones((120, 1))]) @ coef.T
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    got = {r["vec_id"]: r for r in chartmodel.probabilities(model, classes, rows).collect()}
+    assert classes == ["a", "b", "c"] and np.allclose([got[i]["pred_p"] for i in range(120)], p.max(axis=1), atol=0.02)
+    assert np.mean([got[i]["pred_label"] == classes[c] for i, c in enumerate(p.argmax(axis=1))]) > 0.98
+    for r in chartmodel.predict_charts(model, classes, rows, min_p=0.6).collect():
+        full = got[r["vec_id"]]
+        assert (r["pred_label"], r["pred_p"]) == ((full["pred_label"], round(full["pred_p"], 3)) if full["pred_p"] >= 0.6 else (None, None))
+
+
+def test_folds_are_stratified_and_unseen(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(61)], "vec_id long, label string")
+    counts = {}
+    for r in chartmodel.with_folds(rows, "vec_id", 5).collect():
+        counts[r["label"], r["fold"]] = counts.get((r["label"], r["fold"]), 0) + 1
+    assert len(counts) == 15 and all(n in (4, 5) for n in counts.values())
+    # the label of a row is its own and no other's: a model that hadn't seen the row can't know it
+    rng = np.random.default_rng(6)
+    noise = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=40)], "ab"[i % 2], 1.0) for i in range(40)], "vec_id long, embedding array<double>, label string, weight double")
+    oof = chartmodel.cross_validate(noise, "vec_id").collect()
+    assert len(oof) == 40 and np.mean([r["label"] == r["pred_label"] for r in oof]) < 0.85

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lookups as L
+from ..session import saved
 
 #: Chart types that train as another class, and training classes of other categories.
 ALIAS = {"violin": "box", "mixed": "other"}
@@ -94,7 +95,7 @@ def with_folds(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
 
 def cross_validate(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     """Out-of-fold class and probability of every row."""
-    folded = with_folds(rows, key, k).persist()
+    folded = saved(with_folds(rows, key, k), "folds")
     out = None
     for i in range(k):
         model, classes = fit_chart_model(folded.filter(F.col("fold") != i))
