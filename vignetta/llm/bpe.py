@@ -179,13 +179,18 @@ class Tokenizer:
             yield self.last[before]
 
     def _word(self, word: str) -> bytes:
-        return b"".join(np.array(x, "<u4").tobytes() for x in self.stream_word(self._symbols(word)))
+        """Ids of a short word: it ends before the transducer's first buffer is full, so the buffer's merge is all there is."""
+        raw = word.encode()
+        ids = [self.plain[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        return np.array(self.merge([i for i in ids if i is not None]), "<u4").tobytes()
 
-    def _plain(self, text: str) -> Iterator[bytes]:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        for m in self.split.finditer(text):
+        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        for m in self.split.finditer(self._normal(text)):
             if m.end() - m.start() < 64:
                 yield self.words[m[0]]
             else:
@@ -205,6 +210,8 @@ class Tokenizer:
         yield from self._plain(text[at:])
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if len(chunk) < 64 and (self.special is None or not self.special.search(chunk.decode())):
+            return b"".join([self.words[w] for w in self.split.findall(self._normal(chunk.decode()))])
         return b"".join(self._pieces(chunk))
 
     def encode_stream(self, text: bytes) -> Iterator[bytes]:
@@ -225,7 +232,7 @@ class Tokenizer:
         if len(text) < LONG_TEXT:  # all chunks are short: the same in fewer steps
             # lower-casing first only joins memo entries; special tokens are matched before the tokenizer lower-cases
             parts = (text if b"<|" in text else text.lower()).split()
-            if all(len(p) < 256 for p in parts):
+            if max(map(len, parts), default=0) < 256:
                 ids = b"".join(map(self.chunks.__getitem__, parts))
                 return ids, self.decode(ids)
         ids, out, decoder = bytearray(), bytearray(), Decoder(self.strings)
