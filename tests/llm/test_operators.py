@@ -314,6 +314,17 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack_documents(frame(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_chunks_parted_from_marks_encode_as_the_library():
+    lib, rng = library(), random.Random(8)
+    signs = [*"abXY09éÉ×÷ßñ.,'\"!*#<|>()-_` \n\t", "'s", "'ll", "\u0301", "\u0338", "Σ", "中", "½", "\u00a0", "İ", "\x00", "\x85", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(signs[: len(signs) - 2 * plain]) for _ in range(rng.randint(0, 30))) for plain in (0, 1) for _ in range(4000)]
+    encode = packing._encoder(queries.tokenizer_path())
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        for t, ids in zip(some, encode([t.encode() for t in some])):
+            assert ids == library_ids(lib, t).tobytes(), t
+
+
 def test_bpe_equals_library(spark):
     lib, rng = library(), random.Random(4)
     texts = EDGE + ["It's <|endoftext|>A<|startoftext|> x<|END", "ΑΣ Σας İ ½²Ⅷ x y z á", "🙂🙂 don't"] + ["".join(rng.choice(rng.choice(["ab", "theranios", "#$%", "ー日é"])) for _ in range(n)) for n in (3, 600, 1500, 3000)]

@@ -34,7 +34,8 @@ CLOSE_ID = 2
 MEMO = 800_000
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_MARKS = (b".", b",", b";", b":", b"!", b"?")
+_IS_ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+_IS_MARK = np.isin(np.arange(256), [c for c in range(33, 127) if not chr(c).isalnum()])
 _LIBRARY: dict[str, tuple] = {}
 
 
@@ -50,10 +51,6 @@ def _encoder(path: str):
     tok, memo = _LIBRARY[path]
     marks = [(i, t.content) for i, t in tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
 
-    def stem(c: bytes) -> bytes:
-        # a closing mark after a letter or digit is a token sequence of its own
-        return c[:-1] if c[-1:] in _MARKS and c[-2:-1].isalnum() else c
-
     def look_up(chunks: list[bytes]) -> None:
         """Encode chunks; many share one call, parted by a special token, which the library splits at first."""
         alone = [c for c in chunks if not marks or b"<" in c or len(c) > 200]
@@ -73,20 +70,19 @@ def _encoder(path: str):
 
     def ids_of(chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks, from the memo or the library."""
-        new = [c for c in chunks if c not in memo]
+        coded = list(map(memo.get, chunks))
+        new = [c for c, ids in zip(chunks, coded) if ids is None]
+        if not new:
+            return coded
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = chunks
-        look_up(list(({stem(c) for c in new} | set(_MARKS)) - memo.keys()))
-        for c in new:
-            if c not in memo:
-                memo[c] = memo[c[:-1]] + memo[c[-1:]]
-        return list(map(memo.__getitem__, chunks))
+        look_up(new)
+        return [memo[c] if ids is None else ids for c, ids in zip(chunks, coded)]
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        # the tokenizer lower-cases; doing so first only joins chunks, but special tokens are matched before it
-        lowered = [t if b"<|" in t else t.lower() for t in texts]
-        which, chunks, ends = distinct_chunks(lowered)
+        # the tokenizer lower-cases and parts marks from words; doing so first only joins chunks, but special tokens are matched before it
+        special = [b"<|" in t for t in texts]
+        which, chunks, ends = distinct_chunks([t if s else t.lower() for t, s in zip(texts, special)], not any(special))
         coded = ids_of(chunks)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), "<u4")
@@ -100,9 +96,10 @@ def _encoder(path: str):
     return encode
 
 
-def distinct_chunks(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def distinct_chunks(texts: list[bytes], part_marks: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """White-space chunks of texts: the number of each one's distinct chunk, the distinct chunks, and chunks up to each text's end.
 
+    With part_marks a chunk also ends where an ASCII mark follows a letter or digit (ASCII or Latin-1).
     Chunks of up to 16 bytes are told apart by their first and last 8 bytes and length in one vectorised
     pass (a hash orders them, equality is checked); longer ones go through a dictionary.
     """
@@ -110,6 +107,11 @@ def distinct_chunks(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.nda
     raw = np.frombuffer(joined, np.uint8)
     space = np.concatenate(([True], _IS_SPACE[raw[8:-8]], [True]))
     start, end = 8 + np.flatnonzero(space[:-1] & ~space[1:]), 8 + np.flatnonzero(~space[:-1] & space[1:])
+    if part_marks:
+        latin = (raw[6:-9] == 0xC3) & (raw[7:-8] >= 0x80) & (raw[7:-8] != 0x97) & (raw[7:-8] != 0xB7)
+        inner = 8 + np.flatnonzero((_IS_ALNUM[raw[7:-8]] | latin) & _IS_MARK[raw[8:-7]])
+        inner = inner[inner < len(raw) - 8]
+        start, end = np.sort(np.concatenate((start, inner))), np.sort(np.concatenate((end, inner)))
     text_end = 8 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     ends = np.searchsorted(start, text_end)
     size = end - start
