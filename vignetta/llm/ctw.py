@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from . import common
 DEPTH = 5
 TABLE_GRAMS = 1 << 21
 FREQUENT = 1 << 20
-MEMO_BITS = 21
+MEMO_BITS = 20
 FLUSH_WORDS = 200_000
 FLUSH_GRAMS = 1_000_000
 BATCH_ROWS = 250
@@ -225,8 +226,8 @@ def gram_table(scores: DataFrame, most: int) -> tuple[GramTable, int]:
     return GramTable(rows["gram"].to_numpy().view(np.uint64), rows["value"].to_numpy()), least
 
 
-def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n_tokens: int, n_words: int) -> DataFrame:
-    """docs with n_tokens, the score over the table's grams and the base over frequent words, each with the list of all others."""
+def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n_tokens: int, n_words: int) -> tuple[DataFrame, Broadcast]:
+    """docs with n_tokens, the score over the table's grams and the base over frequent words, each with the list of all others; and what is sent to the tasks."""
     low = math.log10(n_tokens + n_words + 1)
     sent = docs.sparkSession.sparkContext.broadcast((table, {w: math.log10(c + 1) - low for w, c in frequent.items()}))
 
@@ -271,7 +272,7 @@ def score_texts(docs: DataFrame, table: GramTable, frequent: dict[bytes, int], n
 
         return work
 
-    return common.add_columns(docs, "score double, n_tokens bigint, known bigint, part double, rare array<binary>, rare_grams array<bigint>", start).drop("text")
+    return common.add_columns(docs, "score double, n_tokens bigint, known bigint, part double, rare array<binary>, rare_grams array<bigint>", start).drop("text"), sent
 
 
 def score_corpus(docs: DataFrame, held_out: Column, table_grams: int = TABLE_GRAMS) -> DataFrame:
@@ -286,8 +287,9 @@ def score_corpus(docs: DataFrame, held_out: Column, table_grams: int = TABLE_GRA
     del often
     scores = common.saved(gram_scores(counts.filter("gram IS NOT NULL").select("gram", "n", "seen")), "ctw-grams")
     table, least = gram_table(scores, table_grams)
-    scored = score_texts(docs, table, frequent, total, distinct)
+    scored, sent = score_texts(docs, table, frequent, total, distinct)
     scored = common.saved(scored.withColumn("row_id", F.monotonically_increasing_id()), "ctw-scored")
+    sent.destroy()
     low = F.lit(math.log10(total + distinct + 1))
     asked = scored.select("row_id", F.explode("rare").alias("word"))
     others = common.saved(words.filter(F.col("c") < limit), "rare-words")
