@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, simhash, tool_calls, url_filter
+from . import bpe, crf_langid, ctw, exact_dedup, line_dedup, packing, quality, simhash, spelling, tool_calls, turn_repair, url_filter, vector_join
 from .common import split_of, table
 
 
@@ -67,8 +67,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.labelled_hosts(pages)).drop("listed")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.report(turns, turn_repair.damage(turns))
+
+
+def op13_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ctw_score, op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op9_tool_calls, op10_url_filter)}
+    registered = (
+        op1_ctw_score, op2_crf_langid, op3_exact_dedup, op4_quality, op5_line_dedup, op6_packing, op7_simhash_dedup, op8_bpe_round_trip, op9_tool_calls, op10_url_filter,
+        op11_spelling_variants, op12_conversation_repair, op13_vector_join,
+    )
+    return {f.__name__: f for f in registered}
 
 
 OP3_SQL = r"""
