@@ -1,9 +1,11 @@
 """Operators on hand-written rows: the cases that are easy to get wrong."""
 
+import collections
 import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vignetta.functions import columns as C
@@ -207,3 +209,47 @@ def test_folds_are_stratified_and_unseen(spark):
     noise = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=40)], "ab"[i % 2], 1.0) for i in range(40)], "vec_id long, embedding array<double>, label string, weight double")
     oof = chartmodel.cross_validate(noise, "vec_id").collect()
     assert len(oof) == 40 and np.mean([r["label"] == r["pred_label"] for r in oof]) < 0.85
+
+
+def test_last_label_of_an_id_counts(spark):
+    figs = spark.createDataFrame([("a", None, None, None), ("b", "data", "bar", ["x"])], "fig_id string, v_category string, v_chart_type string, v_tags array<string>")
+    got = spark.createDataFrame([("a", "data", "bar", ["u"], 2), ("a", "method", "", ["v"], 9), ("a", "table", "", ["w"], 3)], "fig_id string, category string, chart_type string, tags array<string>, seq int")
+    assert [tuple(r) for r in labels.write_back(figs, got).orderBy("fig_id").collect()] == [("a", "method", "", ["v"]), ("b", "data", "bar", ["x"])]
+    assert labels.write_back(figs, got.drop("seq")).count() == 2
+
+
+def test_slim_index_needs_all_columns(spark):
+    papers = spark.createDataFrame([("p", None, None)], "paper_key string, authors array<string>, dpi int")
+    names = [*build.SLIM_FIELDS, *build.SLIM_EXTRA, *[f"v_{c}" for c in build.SLIM_LABEL]]
+    figs = spark.createDataFrame([("p", 2), ("p", 1)], "paper_key string, pos int").select("*", *[F.lit("c" if n in ("fig_id", "v_category") else None).cast("int" if n in build.SLIM_EXTRA else "string").alias(n) for n in names])
+    row = build.slim_index(papers, figs).first().asDict(recursive=True)
+    assert row["authors"] == [] and row["figures"][0]["extra"] == dict.fromkeys(build.SLIM_EXTRA, 0) | {"dpi": build.OLD_DPI} and len(row["figures"][0]["vision"]) == 5
+    assert build.slim_index(papers, figs.limit(0)).first()["figures"] == []
+    with pytest.raises(Exception, match="density"):
+        build.slim_index(papers, figs.drop("density"))
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_written_pictures_are_read_again(spark, tmp_path, channels):
+    data = np.random.default_rng(channels).integers(0, 256, (5, 7, channels), np.uint8).tobytes()
+    images = spark.createDataFrame([("a", 5, 7, channels, bytearray(data))], "name string, height int, width int, channels int, data binary")
+    for _ in range(2):  # a task may run twice
+        writers.write_images(images, str(tmp_path / "p"))
+    got = readers.read_images(spark, str(tmp_path / "p")).collect()
+    assert [(r["name"], r["height"], r["width"], r["channels"], bytes(r["data"])) for r in got] == [("a.png", 5, 7, channels, data)]
+
+
+def test_column_scores_equal_the_transformer(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, f"c{i % 3}", (rng.normal(size=4) + np.eye(4)[i % 3]).tolist()) for i in range(90)], "vec_id long, label string, embedding array<double>")
+    model, classes = chartmodel.fit_chart_model(chartmodel.class_weights(rows))
+    theirs = {r["vec_id"]: r for r in chartmodel.probabilities(model, classes, rows).collect()}
+    for r in chartmodel.score_columns(rows, *chartmodel.linear_model(model, classes)).collect():
+        assert r["pred_label"] == theirs[r["vec_id"]]["pred_label"] and r["pred_p"] == pytest.approx(theirs[r["vec_id"]]["pred_p"])
+    assert all(r["gradient"] < 1e-5 for r in chartmodel.optimality(model, classes, chartmodel.class_weights(rows)).collect())
+
+
+def test_folds_of_a_class_over_many_partitions(spark):
+    rows = spark.createDataFrame([(i, "big" if i % 10 else None if i % 20 else "small") for i in range(500)], "vec_id long, label string")
+    got = collections.Counter((r["label"], r["fold"]) for r in chartmodel.with_folds(rows, "vec_id", 5).collect())
+    assert got == {("big", f): 90 for f in range(5)} | {(c, f): 5 for c in (None, "small") for f in range(5)}

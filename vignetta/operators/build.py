@@ -161,15 +161,27 @@ def data_updated(files: DataFrame) -> DataFrame:
     return files.agg(F.date_format(F.coalesce(F.max("modified"), F.current_timestamp()), "yyyy-MM-dd").alias("updated"))
 
 
+#: What the page needs of a figure, of its picture and of its label.
+SLIM_FIELDS = ("fig_id", "num", "page", "caption", "kind", "has_raster", "full_width", "panel", "n_panels", "thumb", "full", "chart_guess")
+SLIM_EXTRA = ("px_w", "px_h", "rotated", "tw", "th", "density")
+SLIM_LABEL = ("category", "chart_type", "tags", "summary_zh", "verified")
+SLIM_AUTHORS = 6
+OLD_DPI = 170
+
+
 def slim_index(papers: DataFrame, figures: DataFrame) -> DataFrame:
-    """Nested rows for the page: the fields it needs of every paper and figure, figures in order, six authors."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    extra = F.struct(*[zero(c) for c in ("px_w", "px_h", "rotated", "tw", "th", "density") if c in figures.columns])
-    label = F.when(F.col("v_category").isNotNull(), F.struct(F.col("v_category").alias("category"), F.col("v_chart_type").alias("chart_type"), F.col("v_tags").alias("tags")))
-    fields = [c for c in ("fig_id", "num", "page", "caption", "kind", "has_raster", "full_width", "panel", "n_panels", "thumb", "full", "chart_guess") if c in figures.columns]
-    row = F.struct(F.col("pos"), *fields, extra.alias("extra"), label.alias("vision"))
-    per = figures.groupBy("paper_key").agg(F.sort_array(F.collect_list(row)).alias("figures"))
-    return papers.withColumn("authors", F.slice("authors", 1, 6)).join(per, "paper_key", "left")
+    """Nested rows for the page: papers with six authors and their figures in order, each with 12 fields, what is known of the picture and its label.
+
+    Figures have `pos` and all of SLIM_FIELDS, SLIM_EXTRA and SLIM_LABEL (the last with v_ in front); a missing column is an error, a missing
+    number of the picture is 0, a paper's missing resolution OLD_DPI. A figure without a category has no label.
+    """
+    extra = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in SLIM_EXTRA])
+    label = F.when(F.col("v_category").isNotNull(), F.struct(*[F.col(f"v_{c}").alias(c) for c in SLIM_LABEL]))
+    per = figures.groupBy("paper_key").agg(F.sort_array(F.collect_list(F.struct("pos", *SLIM_FIELDS, extra.alias("extra"), label.alias("vision")))).alias("figures"))
+    joined = papers.withColumn("authors", F.slice(F.coalesce("authors", F.array().cast("array<string>")), 1, SLIM_AUTHORS)).join(per, "paper_key", "left")
+    dpi = F.coalesce("dpi", F.lit(OLD_DPI))
+    slim = F.transform("figures", lambda f: f.dropFields("pos").withField("extra", f["extra"].withField("dpi", dpi)))
+    return joined.withColumn("figures", F.coalesce(slim, F.array().cast(joined.select(slim.alias("f")).schema["f"].dataType)))
 
 
 def assign_shards(papers: DataFrame, n: int) -> DataFrame:
@@ -212,7 +224,8 @@ def stale_files(files: DataFrame, all_figures: DataFrame) -> DataFrame:
 
 
 def index_header(papers: DataFrame, figures: DataFrame, files: DataFrame) -> DataFrame:
-    areas = [F.struct(F.lit(a).alias("id"), F.lit(g).alias("group"), F.lit(", ".join(top)).alias("top")) for a, g, top, _ in L.AREAS]
+    """One row: counts, date and the table of areas (id, both labels, group, headline venues)."""
+    areas = [F.struct(*[F.lit(x).alias(n) for x, n in zip(area, ("id", "zh", "en", "group"))], F.array(*map(F.lit, area[4])).alias("top")) for area in L.AREAS]
     one = papers.agg(F.count("*").alias("n_papers"))
     for part in (n_originals(figures), figures.agg(F.count("*").alias("n_entries")), data_updated(files)):
         one = one.join(part, F.lit(True))  # one-row aggregates

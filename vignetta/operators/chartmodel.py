@@ -15,6 +15,7 @@ from ..session import saved
 ALIAS = {"violin": "box", "mixed": "other"}
 NON_CHART = {"method": "x:method", "background": "x:background", "example": "x:example", "table": "x:table", "prompt": "x:prompt"}
 PENALTY = 20.0
+MAX_ITER, TOLERANCE = 200, 1e-9
 
 
 def _alias(c: Column) -> Column:
@@ -74,23 +75,76 @@ def fit_chart_model(rows: DataFrame) -> tuple[LogisticRegressionModel, list[str]
     n = sum(r["n"] for r in counts)
     index = C.mapped(F.col("label"), {c: float(i) for i, c in enumerate(classes)}, F.lit(0.0))
     data = rows.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), index.cast("double").alias("y"), "weight")
-    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1 / (PENALTY * n), elasticNetParam=0.0, standardization=False, maxIter=60)
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=1 / (PENALTY * n), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER, tol=TOLERANCE)
     return model.fit(data), classes
 
 
-def probabilities(model: LogisticRegressionModel, classes: list[str], rows: DataFrame) -> DataFrame:
-    """rows with the most likely class and its probability."""
+def probabilities(model: LogisticRegressionModel, classes: list[str], rows: DataFrame, all_classes: bool = False) -> DataFrame:
+    """rows with the most likely class and its probability; `all_classes` keeps the probabilities of all in `_p`."""
     data = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     p = model.transform(data).withColumn("_p", vector_to_array("probability"))
     names = F.array(*[F.lit(c) for c in classes])
     best = F.array_max("_p")
-    return p.withColumns({"pred_label": F.get(names, (F.array_position("_p", best) - 1).cast("int")), "pred_p": best}).drop("features", "rawPrediction", "probability", "prediction", "_p")
+    return p.withColumns({"pred_label": F.get(names, (F.array_position("_p", best) - 1).cast("int")), "pred_p": best}).drop("features", "rawPrediction", "probability", "prediction", *([] if all_classes else ["_p"]))
+
+
+def optimality(model: LogisticRegressionModel, classes: list[str], rows: DataFrame) -> DataFrame:
+    """(label, gradient): for each class the largest component of the gradient of the penalised, weighted mean likelihood at the model, zero at its optimum.
+
+    Rows are summed per embedding dimension as columns; what comes out has a row for each class.
+    """
+    n = rows.count()
+    p = probabilities(model, classes, rows, all_classes=True)
+    ones = F.array([(F.col("label") == c).cast("double") for c in classes])
+    residual = F.zip_with("_p", ones, lambda x, y: F.col("weight") * (x - y))
+    terms = p.select("weight", residual.alias("r"), F.posexplode(F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0)))).alias("dim", "x"))
+    sums = terms.groupBy("dim").agg(F.array([F.sum(F.get("r", F.lit(i)) * F.col("x")) / F.sum("weight") for i in range(len(classes))]).alias("g"))
+    matrix = model.coefficientMatrix.toArray()
+    penalty = F.array([F.array([F.lit(float(x) / (PENALTY * n)) for x in row] + [F.lit(0.0)]) for row in matrix])  # the intercept bears none
+    each = sums.select("dim", F.posexplode("g").alias("k", "g"))
+    names = F.array([F.lit(c) for c in classes])
+    return each.groupBy(F.get(names, F.col("k")).alias("label")).agg(F.max(F.abs(F.col("g") + F.get(F.get(penalty, F.col("k")), F.col("dim")))).alias("gradient"))
+
+
+def class_means(rows: DataFrame) -> tuple[list[list[float]], list[float], list[str]]:
+    """A linear model by class means: coefficients, intercepts and classes in order; the nearest mean scores highest. One small row for each class comes to the driver."""
+    dims = rows.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("m"))
+    means = dims.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean")).orderBy("label").collect()
+    return [list(r["mean"]) for r in means], [-sum(x * x for x in r["mean"]) / 2 for r in means], [r["label"] for r in means]
+
+
+def linear_model(model: LogisticRegressionModel, classes: list[str]) -> tuple[list[list[float]], list[float], list[str]]:
+    """Coefficients, intercepts and classes of a fitted model."""
+    return model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(), classes
+
+
+def score_columns(rows: DataFrame, coefficients: list[list[float]], intercepts: list[float], classes: list[str]) -> DataFrame:
+    """rows with the most likely class of a linear model and its probability, by dot products and softmax as columns; of equal scores the first class counts."""
+    x = F.col("embedding").cast("array<double>")
+    dot = lambda w: F.aggregate(F.zip_with(x, F.array([F.lit(float(c)) for c in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scored = rows.withColumn("_s", F.array([dot(w) + F.lit(float(b)) for w, b in zip(coefficients, intercepts)])).withColumn("_m", F.array_max("_s"))
+    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("_m")))
+    names = F.array([F.lit(c) for c in classes])
+    return scored.withColumns({"pred_label": F.get(names, (F.array_position("_s", F.col("_m")) - 1).cast("int")), "pred_p": 1 / total}).drop("_s", "_m")
 
 
 def with_folds(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Stratified folds: inside each class by the hash order of the key."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(key), key))
-    return rows.withColumn("fold", (nth - 1) % k)
+    """Stratified folds: inside each class by the hash order of the key, dealt round.
+
+    Rows are range-partitioned by class and hash and numbered inside their partitions; a class's rows in earlier partitions (a count for
+    each class and partition) give the offset, so no task sees a whole class.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["label", "_h", key]
+    hashed = rows.withColumn("_h", F.md5(F.col(key).cast("string")))
+    # range bounds come from a sample, so the ranged rows are written once: counts and rows must agree
+    ranged = saved(hashed.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "fold-ranges")
+    sizes = ranged.groupBy("label", "_part").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition, no more
+    before = sizes.select(F.col("label").alias("_label"), F.col("_part").alias("_in"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", "label").orderBy("_h", key)))
+    placed = numbered.join(F.broadcast(before), (F.col("_part") == F.col("_in")) & F.col("label").eqNullSafe(F.col("_label")))
+    return placed.withColumn("fold", ((F.col("_before") + F.col("_n") - 1) % k).cast("int")).drop("_h", "_part", "_n", "_before", "_in", "_label")
 
 
 def cross_validate(rows: DataFrame, key: str, k: int = 5) -> DataFrame:

@@ -70,9 +70,14 @@ def verify_queue(figures: DataFrame, thumbs: DataFrame, cats: tuple[str, ...], i
 
 
 def write_back(figures: DataFrame, labels: DataFrame) -> DataFrame:
-    """Merge labels (fig_id, category, chart_type, tags, optional error) by id; unknown ids and errors are ignored."""
+    """Merge labels (fig_id, category, chart_type, tags, optional error and seq) by id; unknown ids and errors are ignored.
+
+    Of several labels of one id the one of the largest seq counts; without seq, or with equal ones, the largest in order of its fields.
+    """
     good = labels.filter("error IS NULL") if "error" in labels.columns else labels
-    new = good.select("fig_id", F.col("category").alias("n_category"), F.col("chart_type").alias("n_chart_type"), F.col("tags").alias("n_tags"))
+    seq = [F.col("seq")] if "seq" in labels.columns else []
+    last = good.groupBy("fig_id").agg(F.max(F.struct(*seq, "category", "chart_type", "tags")).alias("n"))
+    new = last.select("fig_id", F.col("n.category").alias("n_category"), F.col("n.chart_type").alias("n_chart_type"), F.col("n.tags").alias("n_tags"))
     j = figures.join(new, "fig_id", "left")
     hit = F.col("n_category").isNotNull()
     return j.withColumns({"v_category": F.coalesce("n_category", "v_category"), "v_chart_type": F.when(hit, F.col("n_chart_type")).otherwise(F.col("v_chart_type")), "v_tags": F.when(hit, F.col("n_tags")).otherwise(F.col("v_tags"))}).drop("n_category", "n_chart_type", "n_tags")

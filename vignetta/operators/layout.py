@@ -206,11 +206,13 @@ def carry_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     """Labels of old rows on new rows of the same page and number; panels only where the id is unchanged."""
     last = F.row_number().over(Window.partitionBy("paper_key", "page", "num").orderBy(F.desc("pos")))
     prev = old.filter("parent IS NULL").withColumn("_n", last).filter("_n = 1")
-    prev = prev.select("paper_key", "page", "num", F.col("fig_id").alias("o_id"), F.col("v_category").alias("o_cat"), F.col("v_chart_type").alias("o_type"), F.col("v2_category").alias("o_v2"), F.col("panels").alias("o_panels"))
+    prev = prev.select("paper_key", "page", "num", F.col("fig_id").alias("o_id"), F.col("v_category").alias("o_cat"), F.col("v_chart_type").alias("o_type"), F.col("v2_category").alias("o_v2"), F.col("panels").alias("o_panels"), *([F.col("v_tags").alias("o_tags")] if "v_tags" in new.columns else []))
     j = new.join(prev, ["paper_key", "page", "num"], "left")
     labelled = F.col("o_cat").isNotNull()
     same = F.col("o_panels").isNotNull() & (F.col("o_id") == F.col("fig_id"))
     kept = j.withColumns({"v_category": F.coalesce("o_cat", "v_category"), "v_chart_type": F.when(labelled, F.col("o_type")).otherwise(F.col("v_chart_type")), "v2_category": F.coalesce("o_v2", "v2_category"), "panels": F.when(same, F.col("o_panels")).otherwise(F.col("panels"))})
+    if "v_tags" in new.columns:
+        kept = kept.withColumn("v_tags", F.when(labelled, F.col("o_tags")).otherwise(F.col("v_tags")))
     # a new row's previous one is the row of its own id: known from the ids alone, without the labels' join
     parents = prev.filter("o_panels IS NOT NULL").select("paper_key", "page", "num", F.col("o_id").alias("fig_id")).join(new.select("paper_key", "page", "num", "fig_id"), ["paper_key", "page", "num", "fig_id"]).select(F.col("fig_id").alias("parent"))
     panels = old.filter("parent IS NOT NULL").join(parents, "parent", "left_semi")

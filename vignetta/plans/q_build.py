@@ -166,15 +166,23 @@ def b17(spark, sf):
     return B.data_updated(base(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("modified")))
 
 
-@query("b18_slim_index", f"""WITH {META}, {FIGS} SELECT mt.paper_key, least(6, CASE WHEN authors_csv = '' THEN 0 ELSE len(string_split(authors_csv, ';')) END) AS n_authors, coalesce(f.n, 0) AS n_figs, f.first_id, f.last_id, coalesce(f.tw, 0) AS tw FROM mt
-LEFT JOIN (SELECT paper_key, count(*) AS n, arg_min(fig_id, pos) AS first_id, arg_max(fig_id, pos) AS last_id, sum(tw) AS tw FROM fg GROUP BY paper_key) f USING (paper_key)""")
+PICTURE = {"px_w": "tw * 3", "px_h": "CASE WHEN pos % 2 = 0 THEN th * 3 END", "rotated": "CASE WHEN n_drawings % 7 = 0 THEN 90 END", "density": "CASE WHEN n_drawings % 3 > 0 THEN n_drawings / 4.0E0 END"}
+NAMES_OF = {"thumb": "concat('figs/', fig_id, '.thumb.webp?v=', substring(thumb_md5, 1, 8))", "full": "concat('figs/', fig_id, '.webp')", "chart_guess": "CASE WHEN n_drawings % 5 = 0 THEN 'bar' END"}
+MORE = {"v_summary_zh": "CASE WHEN pos % 3 = 0 THEN concat('图 ', num) END", "v_verified": "v2_category"}
+SLIM = {**PICTURE, **NAMES_OF, **MORE}
+_FIELDS = ", ".join(f"'{c}': \"{c}\"" for c in B.SLIM_FIELDS)
+_EXTRA = ", ".join(f"'{c}': coalesce({c}, 0)" for c in B.SLIM_EXTRA)
+
+
+@query("b18_slim_index", f"""WITH {META}, {FIGS}, sx AS (SELECT * EXCLUDE (v_tags), CASE WHEN v_category IS NOT NULL THEN ['icons', v_category] END AS v_tags, {", ".join(f'{e} AS "{c}"' for c, e in SLIM.items())} FROM fg),
+sj AS (SELECT paper_key, list({{{_FIELDS}, 'extra': {{{_EXTRA}, 'dpi': coalesce(dpi, 170)}}, 'vision': CASE WHEN v_category IS NOT NULL THEN {{'category': v_category, 'chart_type': v_chart_type, 'tags': v_tags, 'summary_zh': v_summary_zh, 'verified': v_verified}} END}} ORDER BY pos) AS figs
+ FROM sx JOIN mt USING (paper_key) GROUP BY paper_key)
+SELECT mt.paper_key, to_json({{'title': title, 'authors': CASE WHEN authors_csv = '' THEN [] ELSE string_split(authors_csv, ';')[1:6] END}}) AS meta, coalesce(to_json(figs), '[]') AS figures FROM mt LEFT JOIN sj USING (paper_key)""")
 def b18(spark, sf):
-    slim = B.slim_index(_meta(spark, sf), figures(spark, sf))
-    none = F.coalesce("figures", F.expr("array()"))
-    return slim.select(
-        "paper_key", F.size("authors").cast("long").alias("n_authors"), F.coalesce(F.size("figures"), F.lit(0)).cast("long").alias("n_figs"), F.try_element_at("figures.fig_id", F.lit(1)).alias("first_id"),
-        F.try_element_at("figures.fig_id", F.lit(-1)).alias("last_id"), F.coalesce(F.aggregate("figures.extra.tw", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long").alias("tw"),
-    )
+    f = figures(spark, sf).withColumns({c: F.expr(e) for c, e in SLIM.items()})
+    keep = {"ignoreNullFields": "false"}
+    slim = B.slim_index(_meta(spark, sf), f)
+    return slim.select("paper_key", F.to_json(F.struct("title", "authors"), keep).alias("meta"), F.to_json("figures", keep).alias("figures"))
 
 
 @query("b19_assign_shards", f"WITH {META} SELECT paper_key, CAST(floor((row_number() OVER (ORDER BY paper_key) - 1) / ceil(count(*) OVER () / 4.0)) AS INT) AS shard FROM mt")
@@ -207,10 +215,13 @@ def b22(spark, sf):
     return B.stale_files(_names(spark, sf), view(spark, sf, "fx_figures").join(good, "paper_key", "left_semi"))
 
 
-@query("b23_index_header", f"WITH {META}, {SHOWN} SELECT (SELECT count(*) FROM mt) AS n_papers, count(*) FILTER (parent IS NULL) + count(DISTINCT parent) AS n_figures, count(*) AS n_entries, (SELECT strftime(max(ts), '%Y-%m-%d') FROM events) AS updated, 28 AS n_areas FROM sh")
+_AREA_ROWS = ", ".join(f"{{'id': '{i}', 'zh': '{zh}', 'en': '{en}', 'group': '{g}', 'top': {list(top)}}}" for i, zh, en, g, top, _ in L.AREAS)
+
+
+@query("b23_index_header", f"WITH {META}, {SHOWN} SELECT (SELECT count(*) FROM mt) AS n_papers, count(*) FILTER (parent IS NULL) + count(DISTINCT parent) AS n_figures, count(*) AS n_entries, (SELECT strftime(max(ts), '%Y-%m-%d') FROM events) AS updated, 28 AS n_areas, to_json([{_AREA_ROWS}]) AS areas FROM sh")
 def b23(spark, sf):
     files = base(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("modified"))
-    return B.index_header(_meta(spark, sf), _shown(spark, sf), files).withColumn("n_areas", F.size("areas")).drop("areas")
+    return B.index_header(_meta(spark, sf), _shown(spark, sf), files).withColumn("n_areas", F.size("areas")).withColumn("areas", F.to_json("areas"))
 
 
 @query("x6_hide_composites", f"WITH {SHOWN} SELECT fig_id, parent FROM sh")

@@ -48,12 +48,14 @@ def c4(spark, sf):
     return C.verify_queue(with_panels(figures(spark, sf)), _thumbs(spark, sf), ("data", "method"), include_unlabeled=False).select("fig_id", F.col("eff_category").alias("category"))
 
 
-@query("c5_write_back", f"WITH {LABELS}, {FIGS}, g AS (SELECT * FROM lb JOIN (SELECT fig_id, pos FROM fx_figures) p USING (fig_id) WHERE pos % 4 = 1) SELECT fg.fig_id, coalesce(g.category, v_category) AS v_category, CASE WHEN g.fig_id IS NOT NULL THEN g.chart_type ELSE v_chart_type END AS v_chart_type FROM fg LEFT JOIN g USING (fig_id)")
+@query("c5_write_back", f"WITH {LABELS}, {FIGS}, g AS (SELECT fig_id, CASE WHEN pos % 8 = 1 THEN 'prompt' ELSE category END AS category, CASE WHEN pos % 8 = 1 THEN '' ELSE chart_type END AS chart_type FROM lb JOIN (SELECT fig_id, pos FROM fx_figures) p USING (fig_id) WHERE pos % 4 = 1) SELECT fg.fig_id, coalesce(g.category, v_category) AS v_category, CASE WHEN g.fig_id IS NOT NULL THEN g.chart_type ELSE v_chart_type END AS v_chart_type FROM fg LEFT JOIN g USING (fig_id)")
 def c5(spark, sf):
-    pos = view(spark, sf, "fx_figures").select("fig_id", F.when(F.col("pos") % 4 != 1, "failed").alias("error"))
-    labels = C.parse_labels(view(spark, sf, "fx_responses")).join(pos, "fig_id")
+    """Labels with failed ones, unknown ids and, for one figure in eight, a second label that comes later."""
+    pos = view(spark, sf, "fx_figures").select("fig_id", "pos", F.when(F.col("pos") % 4 != 1, "failed").alias("error"))
+    labels = C.parse_labels(view(spark, sf, "fx_responses")).join(pos, "fig_id").withColumn("seq", F.lit(1))
     extra = labels.withColumn("fig_id", F.concat(F.lit("none"), "fig_id"))
-    return C.write_back(figures(spark, sf), labels.unionByName(extra)).select("fig_id", "v_category", "v_chart_type")
+    again = labels.filter("pos % 8 = 1").withColumns({"category": F.lit("prompt"), "chart_type": F.lit(""), "seq": F.lit(2)})
+    return C.write_back(figures(spark, sf), labels.unionByName(extra).unionByName(again)).select("fig_id", "v_category", "v_chart_type")
 
 
 @query("c6_label_progress", "SELECT paper_key, count(*) FILTER (n_drawings % 5 > 0) AS calls, sum(CASE WHEN n_drawings % 5 > 0 THEN 300 + n_drawings ELSE 0 END) AS prompt_tokens, sum(CASE WHEN n_drawings % 5 > 0 THEN pos * 7 ELSE 0 END) AS completion_tokens, count(*) FILTER (n_drawings % 11 = 0 AND n_drawings % 5 > 0) AS errors, count(*) FILTER (n_drawings % 5 = 0) AS remaining FROM fx_figures GROUP BY paper_key")
@@ -152,12 +154,29 @@ def _model(spark, sf):
 @query("m7_fit_chart_model")
 def m7(spark, sf):
     """In-sample accuracy of the model by class."""
-    rows = M.class_weights(_embedded(spark, sf).filter("vec_id % 4 <> 0"))
+    rows = M.class_weights(_embedded(spark, sf))
     model, classes = M.fit_chart_model(rows)
     p = M.probabilities(model, classes, rows)
     return p.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("pred_label")).cast("double")), 3).alias("accuracy"))
 
 
+EMB = "em AS MATERIALIZED (SELECT vec_id, 'c' || label AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS e FROM embeddings)"
+
+
+@query("m7_fit_certificate", "WITH c AS (SELECT 'c' || label AS label, count(*) AS n FROM embeddings GROUP BY label HAVING count(label) >= 12) SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight, TRUE AS optimal FROM c")
+def m7_certificate(spark, sf):
+    """The fitted model is the optimum: no component of the gradient is over 1e-5."""
+    rows = M.class_weights(_embedded(spark, sf))
+    model, classes = M.fit_chart_model(rows)
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("weight"), 9).alias("weight"))
+    return sizes.join(M.optimality(model, classes, rows), "label").select("label", "n", "weight", (F.col("gradient") < 1e-5).alias("optimal"))
+
+
+@query("m8_with_folds", "WITH f AS (SELECT vec_id, 'c' || label AS label, md5(CAST(vec_id AS VARCHAR)) AS h FROM embeddings WHERE label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 12)) SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY h, vec_id) - 1) % 5 AS INT) AS fold FROM f")
+def m8_folds(spark, sf):
+    return M.with_folds(M.class_weights(_embedded(spark, sf)).select("vec_id", "label"), "vec_id")
+
+
 @query("m8_cross_validate")
 def m8(spark, sf):
     oof = M.cross_validate(M.class_weights(_embedded(spark, sf)), "vec_id")
@@ -177,6 +196,15 @@ def m10(spark, sf):
     return M.predict_charts(model, classes, _embedded(spark, sf).filter("vec_id % 4 = 0"), min_p=0.3).select("vec_id", "pred_label", "pred_p")
 
 
+@query("m10_score_columns", f"""WITH {EMB}, d AS (SELECT vec_id, label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM em), m AS (SELECT label AS cls, i, avg(x) AS m FROM d GROUP BY label, i), b AS (SELECT cls, -sum(m * m) / 2 AS b FROM m GROUP BY cls),
+s AS (SELECT vec_id, cls, sum(x * m) + any_value(b) AS s FROM d JOIN m USING (i) JOIN b USING (cls) GROUP BY vec_id, cls), t AS (SELECT vec_id, cls, exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cls) AS n FROM s WINDOW w AS (PARTITION BY vec_id))
+SELECT vec_id, cls AS pred_label, round(p, 4) AS pred_p FROM t WHERE n = 1""")
+def m10_columns(spark, sf):
+    """The column path of scoring, over a model that SQL can fit: nearest class means."""
+    rows = _embedded(spark, sf)
+    return M.score_columns(rows.select("vec_id", "embedding"), *M.class_means(rows)).select("vec_id", "pred_label", F.round("pred_p", 4).alias("pred_p"))
+
+
 @query("m11_prediction_counts", f"WITH {SHOWN} SELECT coalesce(CASE WHEN pred_p >= 0.5 THEN pred_label END, '(unsure)') AS pred_label, count(*) AS n FROM sh GROUP BY 1")
 def m11(spark, sf):
     return M.prediction_counts(_shown(spark, sf).withColumn("pred_label", F.when(F.col("pred_p") >= 0.5, F.col("pred_label"))))

@@ -12,6 +12,7 @@ from ..operators import panels as X
 from ..session import shared_path
 from ..sources import readers, writers
 from ..sources.fixtures import base, view
+from ..streaming import levels
 from ..streaming import visits as V
 from .parts import FIGS, META, figures, with_panels
 from .q_build import _meta
@@ -45,12 +46,24 @@ def pictures(spark, sf):
     return rows.mapInPandas(draw, "name string, height int, width int, channels int, data binary")
 
 
+def drawn(spark, sf):
+    """The pictures as PNG files, read again."""
+    path = shared_path(spark, "pictures")
+    writers.write_images(pictures(spark, sf), path)
+    return readers.read_images(spark, path).withColumn("name", F.regexp_replace("name", r"\.png$", ""))
+
+
+@query("s5_read_images", "SELECT 's' || s_suppkey AS name, gap + rows * (200 + gap) AS height, gap + cols * (200 + gap) AS width, cols * rows * 40000 AS ink FROM (SELECT s_suppkey, 1 + s_suppkey % 5 AS cols, 1 + s_suppkey % 4 AS rows, CASE WHEN s_suppkey % 3 = 0 THEN 12 ELSE 40 END AS gap FROM supplier)")
+def s5(spark, sf):
+    return X.ink_counts(drawn(spark, sf)).select("name", *[F.col(c).cast("long").alias(c) for c in ("height", "width", "ink")])
+
+
 @query("x2_split_panels", """WITH p AS (SELECT 's' || s_suppkey AS name, 1 + s_suppkey % 5 AS cols, 1 + s_suppkey % 4 AS rows, CASE WHEN s_suppkey % 3 = 0 THEN 12 ELSE 40 END AS gap FROM supplier),
 c AS (SELECT *, unnest(generate_series(0, cols * rows - 1)) AS k FROM p WHERE cols * rows BETWEEN 2 AND CASE WHEN gap = 40 THEN 16 ELSE 6 END)
 SELECT name, k AS panel, greatest(0, gap + (k // rows) * (200 + gap) - 14) AS x0, greatest(0, gap + (k % rows) * (200 + gap) - 14) AS y0,
  least(gap + cols * (200 + gap), gap + (k // rows) * (200 + gap) + 214) AS x1, least(gap + rows * (200 + gap), gap + (k % rows) * (200 + gap) + 214) AS y1 FROM c""")
 def x2(spark, sf):
-    cut = X.split_panels(pictures(spark, sf)).select("name", F.posexplode("boxes").alias("panel", "b"))
+    cut = X.split_panels(drawn(spark, sf)).select("name", F.posexplode("boxes").alias("panel", "b"))
     return cut.select("name", F.col("panel").cast("long").alias("panel"), *[F.col(f"b.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
@@ -103,9 +116,26 @@ def v2(spark, sf):
     return V.counters_snapshot(V.visit_counters(view(spark, sf, "fx_visits")))
 
 
+def _shuffled_visits(spark, sf):
+    """A stream over files that hold the visits in no order, one in five of them twice."""
+    path = shared_path(spark, "visits")
+    v = view(spark, sf, "fx_visits").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "cookie")
+    v.unionByName(v.filter("event_id % 5 = 0")).repartition(8, F.rand(3)).write.parquet(path)
+    return V.watch(spark, path, v.schema, max_files=3)
+
+
 @query("v3_first_visits", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM fx_visits) WHERE n = 1")
 def v3(spark, sf):
-    return V.first_visits(view(spark, sf, "fx_visits")).select("user_id", "event_id")
+    path = shared_path(spark, "first-visits")
+    V.run_first_visits(_shuffled_visits(spark, sf), path, shared_path(spark, "first-visits-state")).awaitTermination()
+    return levels.newest(spark, path, "user_id").select("user_id", "event_id")
+
+
+@query("v3_new_browsers", "SELECT DISTINCT user_id FROM fx_visits")
+def v3_browsers(spark, sf):
+    path = shared_path(spark, "browsers")
+    V.run_new_browsers(_shuffled_visits(spark, sf), path, shared_path(spark, "browsers-state")).awaitTermination()
+    return spark.read.parquet(path).select("user_id")
 
 
 @query("v4_incremental_index", "SELECT user_id AS record_key, max(event_id) AS seq FROM fx_visits GROUP BY user_id")
@@ -116,6 +146,44 @@ def v4(spark, sf):
     return V.newest_records(spark, path).select("record_key", "seq")
 
 
+def _figure(moved):
+    """A figure as an extraction gives it; with moved, those it finds a page further on have another id."""
+    null = lambda t: F.lit(None).cast(t)
+    return F.struct(
+        F.col("pos").cast("long").alias("pos"), F.when(moved, F.concat("fig_id", F.lit("x"))).otherwise(F.col("fig_id")).alias("fig_id"), (F.col("page") + F.when(moved, 1).otherwise(0)).cast("long").alias("page"), "num",
+        null("string").alias("v_category"), null("string").alias("v_chart_type"), null("array<string>").alias("v_tags"), null("string").alias("v2_category"), null("string").alias("parent"), null("array<string>").alias("panels"),
+    )
+
+
+def record_events(spark, sf):
+    """Three waves of events on papers: extractions, labels, extractions of stored files again, and labels again."""
+    f = view(spark, sf, "fx_figures")
+    per = lambda one, rows=f: rows.groupBy("paper_key").agg(F.collect_list(one).alias("_list"))
+    label = lambda cat, kind: F.struct("fig_id", cat.alias("category"), kind.alias("chart_type"), F.array(F.lit("t")).alias("tags"))
+    papers = view(spark, sf, "fx_papers").select("paper_key", F.col("pdf_mtime").alias("mtime"), "extractor_version", "dpi", "error")
+    stored = view(spark, sf, "fx_pdfs").select("paper_key", "mtime", F.lit(5).alias("extractor_version"), F.lit(300).alias("dpi"), F.lit(None).cast("string").alias("error"))
+    full = lambda df, seq, kind: df.withColumns({"seq": F.lit(seq).cast("long"), "kind": F.lit(kind)})
+    found = lambda df, moved, seq: full(df.join(per(_figure(moved)), "paper_key").withColumnRenamed("_list", "figures"), seq, V.EXTRACTED)
+    said = lambda one, rows, seq: full(per(one, rows).withColumnRenamed("_list", "labels"), seq, V.LABELLED)
+    return [
+        found(papers, F.lit(False), 1),
+        said(label(F.coalesce("v_category", F.lit("data")), F.coalesce("v_chart_type", F.lit(""))), f.filter("pos % 4 = 1"), 2),
+        found(stored, F.col("pos") % 5 == 0, 3).unionByName(said(label(F.lit("table"), F.lit("")), f.filter("pos % 6 = 2"), 4), allowMissingColumns=True),
+    ]
+
+
+@query("v4_maintain_index", """WITH pl AS (SELECT f.paper_key FROM fx_pdfs f JOIN fx_papers p USING (paper_key) WHERE NOT (error IS NULL AND abs(pdf_mtime - mtime) < 1 AND extractor_version = 5 AND dpi = 300)),
+g AS (SELECT f.*, p.error, pl.paper_key IS NOT NULL AS again, pl.paper_key IS NOT NULL AND pos % 5 = 0 AS moved FROM fx_figures f JOIN fx_papers p USING (paper_key) LEFT JOIN pl USING (paper_key) WHERE pl.paper_key IS NOT NULL OR error IS NULL)
+SELECT paper_key, CASE WHEN moved THEN fig_id || 'x' ELSE fig_id END AS fig_id, CASE WHEN moved THEN page + 1 ELSE page END AS page, CASE WHEN moved THEN NULL WHEN pos % 6 = 2 THEN 'table' WHEN pos % 4 = 1 AND error IS NULL THEN coalesce(v_category, 'data') END AS v_category,
+ CASE WHEN moved THEN NULL WHEN pos % 6 = 2 THEN '' WHEN pos % 4 = 1 AND error IS NULL THEN coalesce(v_chart_type, '') END AS v_chart_type FROM g""")
+def v4_maintain(spark, sf):
+    events, path = shared_path(spark, "events"), shared_path(spark, "index")
+    for wave in record_events(spark, sf):
+        V.as_events(wave).repartition(4).write.mode("append").parquet(events)
+    V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=4), path, shared_path(spark, "index-state")).awaitTermination()
+    return V.index_figures(levels.newest(spark, path, "paper_key")).select("paper_key", "fig_id", "page", "v_category", "v_chart_type")
+
+
 # files that Spark writes from the tables and reads again
 
 
@@ -152,12 +220,13 @@ def s3(spark, sf):
     return readers.read_sidecars(spark, path, lines=True).select("paper_key", "title", "note", "url", "citations")
 
 
-@query("s4_file_inventory")
+@query("s4_file_inventory", "SELECT 'page' || page_id || '.html' AS name, coalesce(strlen(html), 0) AS bytes FROM pages")
 def s4(spark, sf):
-    """Files of the shards as stored: name and size."""
-    path = shared_path(spark, "shards")
-    writers.write_shards(_meta(spark, sf).select("paper_key", "title"), path, 4)
-    return readers.file_inventory(spark, path, "*.json").select("name", "bytes")
+    """Every page's HTML as a stored file: name and size."""
+    path = shared_path(spark, "html")
+    page = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html"))
+    writers.write_files(base(spark, sf, "pages").select(page.alias("name"), F.col("html").cast("binary").alias("data")), path)
+    return readers.file_inventory(spark, path, "*.html").select("name", "bytes")
 
 
 @query("s6_write_index", f"WITH {META} SELECT paper_key, title, venue FROM mt")

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import lookups as L
+from ..operators.labels import write_back
+from ..operators.layout import carry_labels, extract_plan
+from . import levels
+
 COOKIE = r"(^|;\s*)pf_v=1(;|$)"
 COOKIE_LIFE = "365 days"
 
@@ -25,12 +30,36 @@ def counters_map(snapshot: DataFrame) -> DataFrame:
     return snapshot.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("counters"))  # two rows
 
 
+def _keyed_state(spark: SparkSession) -> None:
+    """State by key on disk: it grows with browsers, not with an executor's memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def first_visits(visits: DataFrame) -> DataFrame:
-    """The first event of each browser within the cookie's life."""
-    if visits.isStreaming:
-        return visits.withWatermark("ts", COOKIE_LIFE).dropDuplicatesWithinWatermark(["user_id"])
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return visits.withColumn("_n", nth).filter("_n = 1").drop("_n")
+    """(user_id, ts, event_id) of each browser's first event; works on a stream and on a table.
+
+    On a stream it is the first so far: a row for each browser whose first event is new or turned out to be an earlier one, in update mode.
+    Events may come late, in any order and repeatedly.
+    """
+    return visits.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first")).select("user_id", "first.ts", "first.event_id")
+
+
+def new_browsers(visits: DataFrame) -> DataFrame:
+    """Events of browsers not seen within the cookie's life, as they arrive; the state forgets a browser when its cookie has ended, and events later than that are dropped."""
+    return visits.withWatermark("ts", COOKIE_LIFE).dropDuplicatesWithinWatermark(["user_id"])
+
+
+def run_first_visits(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the levelled table `path` (levels.newest by user_id) at each browser's first visit."""
+    _keyed_state(stream.sparkSession)
+    first = first_visits(stream)
+    return first.writeStream.outputMode("update").foreachBatch(lambda rows, batch: levels.put(rows, path, batch, "user_id")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_new_browsers(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append new browsers to the files of `path`, each once."""
+    _keyed_state(stream.sparkSession)
+    return new_browsers(stream).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
@@ -59,3 +88,68 @@ def newest_records(spark: SparkSession, path: str) -> DataFrame:
     """What incremental_index has gathered: the newest version of every record."""
     nth = F.row_number().over(Window.partitionBy("record_key").orderBy(F.desc("seq"), F.desc("batch")))
     return spark.read.parquet(path).withColumn("_n", nth).filter("_n = 1").drop("_n", "batch")
+
+
+EXTRACTED, LABELLED = "extracted", "labelled"
+_FIGURE = "struct<pos:bigint,fig_id:string,page:bigint,num:string,v_category:string,v_chart_type:string,v_tags:array<string>,v2_category:string,parent:string,panels:array<string>>"
+EVENT_SCHEMA = (
+    f"paper_key string, seq bigint, kind string, mtime double, extractor_version int, dpi int, error string, figures array<{_FIGURE}>, labels array<struct<fig_id:string,category:string,chart_type:string,tags:array<string>>>"
+)
+_RECORD = f"paper_key string, pdf_mtime double, extractor_version int, dpi int, error string, figures array<{_FIGURE}>"
+
+
+def as_events(rows: DataFrame) -> DataFrame:
+    """rows with all columns of EVENT_SCHEMA, those they don't have null."""
+    schema = rows.sparkSession.createDataFrame([], EVENT_SCHEMA).schema
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def index_figures(records: DataFrame) -> DataFrame:
+    """One row for each figure of index records."""
+    return records.select("paper_key", F.inline("figures"))
+
+
+def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300) -> DataFrame:
+    """The records that a batch of events changes, given the current records of its papers.
+
+    A paper's newest extraction counts, and only if the current record is missing, failed, or of another file, version or resolution; its
+    figures take the labels of the old ones on the same page and number. Labels go to figures by id: those from before the
+    extraction to the old figures, later ones to the new. Labels of unknown papers or figures are ignored.
+    """
+    newest = F.max_by(F.struct("seq", "mtime", "extractor_version", "dpi", "error", "figures"), "seq").alias("e")
+    arrived = events.filter(F.col("kind") == EXTRACTED).groupBy("paper_key").agg(newest).select("paper_key", "e.*")
+    plan = extract_plan(arrived.withColumnsRenamed({"dpi": "e_dpi", "extractor_version": "e_version", "error": "e_error"}), current, version, dpi)
+    labels = events.filter(F.col("kind") == LABELLED).select("paper_key", "seq", F.inline("labels"))
+    when = labels.join(plan.select("paper_key", F.col("seq").alias("_at")), "paper_key", "left")
+    early = when.filter("_at IS NULL OR seq < _at").drop("_at", "paper_key")
+    late = when.filter("seq > _at").drop("_at", "paper_key")
+    old = write_back(index_figures(current), early)
+    found = plan.filter("e_error IS NULL").select("paper_key", F.inline("figures"))
+    replaced = plan.select("paper_key")
+    fresh = write_back(carry_labels(old.join(replaced, "paper_key", "left_semi").select(*found.columns), found), late)
+    kept = old.join(replaced, "paper_key", "left_anti")
+    names = [c for c in found.columns if c != "paper_key"]
+    nested = fresh.select(*found.columns).unionByName(kept.select(*found.columns)).groupBy("paper_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("figures"))
+    heads = plan.select("paper_key", F.col("mtime").alias("pdf_mtime"), F.col("e_version").alias("extractor_version"), F.col("e_dpi").alias("dpi"), F.col("e_error").alias("error"))
+    stay = current.join(replaced, "paper_key", "left_anti").join(labels.select("paper_key").distinct(), "paper_key", "left_semi").drop("figures")
+    out = heads.unionByName(stay).join(nested, "paper_key", "left")
+    return out.select(*heads.columns, F.coalesce("figures", F.array().cast(f"array<{_FIGURE}>")).alias("figures"))
+
+
+def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the levelled table of index records `path` (levels.newest by paper_key) up to date with a stream of events (EVENT_SCHEMA).
+
+    Each batch reads the current records of its papers, merges, and stores what has changed. An interrupted batch is run again from the
+    checkpoint; one that had been stored by then is passed over, so finished work is kept and nothing is applied twice.
+    """
+
+    def merge(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        if levels.is_stored(spark, path, batch):
+            return
+        papers = events.select("paper_key").distinct()
+        known = levels.folders(spark, path)
+        current = levels.newest(spark, path, "paper_key").join(papers, "paper_key", "left_semi") if known else spark.createDataFrame([], _RECORD)
+        levels.put(merged_records(events, current), path, batch, "paper_key")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
