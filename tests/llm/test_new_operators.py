@@ -243,3 +243,72 @@ def test_vector_edge_cases(spark):
     got = {(r[0], r[1], r[2], r[3]) for r in vector_join.near_vectors(df).collect()}
     assert got == {(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 7, 10)} | {(8, 4, 8, True), (None, 4, 8, False), (None, 0, None, True), (9, 4, 8, False), (11, 4, 8, False)}
     assert vector_join.near_vectors(df.limit(0)).count() == 0
+
+
+# earlier operators: what they used to miss
+
+
+def phrase_text(rng, n=2200):
+    """Half a repeated phrase, half words of its own."""
+    own = [f"w{rng.randrange(10**6)}" for _ in range(n // 2)]
+    return " ".join(["one two three four five six seven"] * (n // 14) + own)
+
+
+def test_equal_fingerprints_of_different_texts_stay_apart(spark):
+    from vignetta.llm import near_texts
+
+    rng = random.Random(2)
+    texts = [phrase_text(rng) for _ in range(60)]
+    twin = texts[0].split()
+    twin[-50] = "changed"
+    assert len({tuple(near_texts.simhash(t.encode(), 2)) for t in texts}) < 60  # boilerplate alone decides
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(twin)])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_texts.drop_near(docs).collect()) == list(range(60))
+
+
+def test_clusters_in_a_bucket_over_the_block_size(spark):
+    from vignetta.llm import near_texts
+
+    rng = random.Random(4)
+    phrase = ["one two three four five six seven"] * 40
+    texts, want = [], []
+    for k in range(450):  # families of three that all share one phrase, so that they crowd the same buckets
+        own = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for copy in range(3):
+            words = list(own)
+            words[rng.randrange(120)] = f"x{copy}"
+            texts.append(" ".join(phrase + words))
+            want.append(3 * k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["best"]["doc_id"] for r in near_texts.near_groups(docs).collect()}
+    assert all(want[got[i]] == want[i] for i in got)  # no family is mixed with another
+    assert np.mean([got[i] == want[i] for i in got]) >= 0.9
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from vignetta.llm import exact_dedup, near_texts
+
+    rows = [(1, "a b c d e f", 5, "k", 2, "n"), (2, "a b c d e f", 6, "k", 1, "n"), (2, "a b c d e f", 6, "k", 1, "n"), (3, "x", 7, "l", 3, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _key string, _rank int, node string")
+    for stage in (exact_dedup.drop_copies, near_texts.drop_near):
+        got = stage(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+
+
+def test_languages_of_repeated_rows_are_learned(spark):
+    from vignetta.llm import crf_langid
+
+    for german in (7, 13):
+        rows = [(i, f"the and of that with {i} " * 9, "en") for i in range(300)] + [(german, "der die und nicht ist " * 9, "de")] * 3000
+        assert crf_langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=20).languages == ["de", "en"]
+
+
+def test_long_texts_are_drawn_from_as_a_whole(spark):
+    from vignetta.llm import crf_langid
+
+    late = "the and of that with " * 40_000 + "der die und nicht ist " * 40_000
+    import pyarrow as pa
+
+    got = crf_langid._windows(pa.RecordBatch.from_arrays([pa.array([late] * 20), pa.array(range(20), pa.int64())], ["text", "_hash"]))[0].to_pylist()
+    words = [w for r in got for p in r for w in p.split()]
+    assert len(words) == 20 * crf_langid.WINDOWS * crf_langid.WINDOW and 0.3 < np.mean([w in b"der die und nicht ist".split() for w in words]) < 0.7

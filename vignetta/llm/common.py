@@ -123,9 +123,11 @@ def content_key(col: str):
 def without(docs: DataFrame, key: Column, gone: DataFrame, repeated: DataFrame, *order: Column) -> DataFrame:
     """docs without the rows of (doc_id, key) in `gone`, and one row, the first in order, of each (doc_id, key) in `repeated`; both have (_id, _key).
 
-    Ids and keys are matched null-safe. Only rows that are repeated are ranked.
+    Ids and keys are matched null-safe. Only rows that are repeated are ranked. docs may have columns of any name.
     """
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    own = uuid.uuid4().hex
+    gone, repeated = (t.select(F.col("_id").alias(f"id_{own}"), F.col("_key").alias(f"key_{own}")) for t in (gone, repeated))
+    same = docs["doc_id"].eqNullSafe(F.col(f"id_{own}")) & (key == F.col(f"key_{own}"))
     first = Window.partitionBy("doc_id", key).orderBy(*order, F.lit(0))
-    many = docs.join(repeated, same, "left_semi").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
+    many = docs.join(repeated, same, "left_semi").withColumn(f"rank_{own}", F.row_number().over(first)).filter(F.col(f"rank_{own}") == 1).drop(f"rank_{own}")
     return docs.join(gone.unionByName(repeated), same, "left_anti").unionByName(many.join(gone, same, "left_anti"))

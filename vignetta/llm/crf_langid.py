@@ -3,7 +3,7 @@
 A word's features are the byte trigrams of the blank-padded word, its prefix and suffix and the word itself
 (the lexicon), hashed into one table of weights by language; transitions between neighbouring words' languages are
 learned with them. The field is fitted on code-switched sequences that are put together from runs of labelled
-documents (at most FIT_ROWS of them, an equal share for each language, and of longer ones a span of FIT_CHARS characters), by gradient steps on the log-likelihood. Forward-backward gives
+documents (at most FIT_ROWS of them, an equal share for each language; WINDOWS stretches of WINDOW words at random places of each whole text), by gradient steps on the log-likelihood. Forward-backward gives
 every word's posterior; a document's language has the largest mean posterior, which is its score.
 
 Long documents cost no more per word than short ones: words fall into segments of SEGMENT words whose
@@ -20,13 +20,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 FIT_ROWS = 2_000
-FIT_CHARS = 20_000
+#: A sequence has WINDOW words; so many places of a sampled text are drawn from.
+WINDOWS, WINDOW = 8, 64
 TABLE_BITS = 17
 SEGMENT = 32
 UNKNOWN = "und"
@@ -148,7 +149,7 @@ class Model:
         self.languages, self.weights, self.trans = languages, weights, trans
 
 
-def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: int = 64, mean_run: int = 12, batch: int = 100, epochs: int = 3, rate: float = 0.3, l2: float = 1e-5) -> Model:
+def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: int = WINDOW, mean_run: int = 12, batch: int = 100, epochs: int = 3, rate: float = 0.3, l2: float = 1e-5) -> Model:
     """Fit weights and transitions on sequences made of runs of words of the labelled texts."""
     words = [t.lower().split() for t in texts]
     languages = sorted({x for w, x in zip(words, labels) if w})
@@ -203,26 +204,35 @@ def fit(texts: list[bytes], labels: list[str], sequences: int = 2_000, length: i
     return Model(languages, weights, trans)
 
 
-def _span(text: str, place: str, chars: int) -> Column:
-    """A text of at most `chars` characters whole, of a longer one that many from a place that a hash names."""
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    return F.substring(F.col(text), (F.col(place) % room + 1).cast("int"), F.lit(chars))
+def _windows(b: pa.RecordBatch) -> list[pa.Array]:
+    """Stretches of a text at places that its hash draws; all of a short text."""
+    out = []
+    for text, place in zip(common.text_bytes(b.column("text")), b.column("_hash").to_pylist()):
+        words = text.split()
+        at = np.random.default_rng(place).integers(0, max(1, len(words) - WINDOW + 1), WINDOWS)
+        out.append([b" ".join(words[i : i + WINDOW]) for i in at.tolist()])
+    return [pa.array(out, pa.list_(pa.binary()))]
 
 
-def fit_sample(docs: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fit on at most `rows` labelled documents that have words, an equal share for each language, those of the least hashes."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit_sample(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on at most `rows` labelled documents that have words, an equal share for each language, those of the least hashes.
+
+    Rows repeated wholly are one document. A language with more documents than its share draws twice the share and 50 more on average, so
+    none that has words is left out. What comes to the driver is bounded by rows, WINDOWS and WINDOW.
+    """
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("_hash"))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("_hash", 0.02).alias("n")).collect()}
     if not sizes:
         return fit([], [])
     share = max(1, rows // len(sizes))
     # more than enough of each language pass the limit, so that ranking them costs no more than the sample
-    limits = docs.sparkSession.createDataFrame([(x, int(min(1.0, (2 * share + 50) / n) * (1 << 40))) for x, n in sizes.items()], "lang string, most long")
-    drawn = usable.withColumn("_hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(limits), "lang").filter("_hash < most")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "text"))
-    few = drawn.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("lang", "_rank", _span("text", "_hash", chars).alias("text")).collect()
+    limits = docs.sparkSession.createDataFrame([(x, int(min(1.0, (2 * share + 50) / max(1, n)) * (1 << 40))) for x, n in sizes.items()], "lang string, most long")
+    drawn = usable.join(F.broadcast(limits), "lang").filter("_hash < most").drop("most")
+    pieces = common.add_columns(drawn, "pieces array<binary>", _windows).drop("text").groupBy("lang", "_hash").agg(F.min("pieces").alias("pieces"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    few = pieces.withColumn("_rank", rank).filter(F.col("_rank") <= share).select("lang", "_rank", "pieces").collect()
     few.sort(key=lambda r: (r["lang"], r["_rank"]))
-    return fit([r["text"].encode() for r in few], [r["lang"] for r in few])
+    return fit([bytes(p) for r in few for p in r["pieces"]], [r["lang"] for r in few for _ in r["pieces"]])
 
 
 def _has_letter(text: bytes) -> bool:
