@@ -464,7 +464,7 @@ def test_large_near_groups(spark, monkeypatch, block):
     batches = [pa.RecordBatch.from_arrays([pa.array(np.full(20, 5)), pa.array(np.arange(i, i + 20)), pa.array(f[i : i + 20, 0]), pa.array(f[i : i + 20, 1])], ["key", "node", "f0", "f1"]) for i in (0, 20, 40)]
     links = [x for b in near_texts._candidates(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
     tied = [x for x in links if x[2] == near_texts.TIED]  # a large bucket's members are also tied to its first
-    assert len(tied) == (0 if block == 1024 else 59)
+    assert len(set(tied)) == (0 if block == 1024 else 59)
     links = [x for x in links if x not in tied]
     ends = {x for a, b, _ in links for x in (a, b)}
     assert ends == set(range(60)) and 59 <= len(links) <= 75 and all(d <= 2 for *_, d in links)
