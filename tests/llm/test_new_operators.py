@@ -312,3 +312,53 @@ def test_long_texts_are_drawn_from_as_a_whole(spark):
     got = crf_langid._windows(pa.RecordBatch.from_arrays([pa.array([late] * 20), pa.array(range(20), pa.int64())], ["text", "_hash"]))[0].to_pylist()
     words = [w for r in got for p in r for w in p.split()]
     assert len(words) == 20 * crf_langid.WINDOWS * crf_langid.WINDOW and 0.3 < np.mean([w in b"der die und nicht ist".split() for w in words]) < 0.7
+
+
+def test_tiers_gaps_and_step_groups():
+    from vignetta.llm import packing
+
+    rng = random.Random(3)
+    sizes = [min(9000, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(6000)]
+    packer = packing.Packer()
+    for i, n in enumerate(sizes):
+        packer.add(i, n)
+        if i % 50 == 0:
+            packer.pack()
+    packer.pack()
+    waiting = sum(packer.tokens)
+    windows, groups = collections.defaultdict(list), collections.Counter()
+    for doc, start, n, seq, offset, tier, group in packer.out:
+        windows[seq, tier].append((offset, n, doc, start))
+        groups[tier, group] += n
+    assert waiting < sum(packing.TIERS)  # less than a window for each tier
+    assert sum(map(len, windows.values())) == len(packer.out) and all(sum(p[1] for p in w) == tier for (_, tier), w in windows.items())  # no padding
+    # a window is opened by a document of its tier: longer than the next tier, or a whole stretch, or the rest of a cut one
+    lower = dict(zip(packing.TIERS, [*packing.TIERS[1:], 0]))
+    first = [(tier, *min(w)) for (_, tier), w in windows.items()]
+    assert all(lower[tier] < n <= tier for tier, _, n, _, _ in first)
+    # gaps are filled from shorter tiers
+    assert sum(len(w) > 1 and all(n <= lower[tier] for _, n, _, _ in sorted(w)[1:]) for (_, tier), w in windows.items() if tier > 512) > 100
+    # step groups are balanced: all but a tier's last hold the same number of tokens
+    for tier in packing.TIERS:
+        mine = sorted((g, n) for (t, g), n in groups.items() if t == tier)
+        assert all(n == packing.STEP_TOKENS for _, n in mine[:-1]) and [g for g, _ in mine] == list(range(len(mine)))
+    packer.pack(to_end=True)
+    assert sum(p[2] for p in packer.out) == sum(sizes)
+
+
+def test_long_chunks_are_not_kept():
+    from vignetta.llm import packing
+
+    path = queries.tokenizer_path()
+    encode = packing._encoder(path)
+    texts = [("漢字" * 3000 + str(i)).encode() for i in range(20)] + [b"plain words"]
+    assert encode(texts) == encode(texts)
+    assert all(len(c) <= packing.MEMO_BYTES for c in packing._LIBRARY[path][1])
+
+
+def test_packing_null_ids_and_repeats(spark):
+    from vignetta.llm import packing
+
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (1, "c"), (1, "c")], "doc_id long, text string")
+    got = packing.pack_documents(docs, queries.tokenizer_path()).collect()
+    assert collections.Counter(r["doc_id"] for r in got if r["start"] == 0) == {None: 2, 1: 2}

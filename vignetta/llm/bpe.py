@@ -4,8 +4,9 @@ The merge list fixes how far to the right a token's fate can depend on the text:
 merged to its left may be taken by an earlier merge to its right, whose right part in turn may be taken
 earlier still. `sufficient_lookahead` follows these chains in merge order and returns the longest one
 in symbols. The transducer keeps a buffer of BLOCK symbols and that lookahead, merges inside the buffer,
-and emits the tokens that end before the lookahead begins: they can't change any more. Every word goes through it, symbol by symbol; most
-end before the first buffer is full. Blocks of stable tokens are decoded as they come, so beside a document's text, ids and decoded
+and emits the tokens that end before the lookahead begins: they can't change any more. Words of 64 characters or more go through it symbol by symbol; shorter ones
+end before the first buffer is full, so the buffer's merge alone gives their ids and nothing of them is emitted early. Texts under LONG_TEXT bytes whose chunks
+are short are decoded as one block. Blocks of stable tokens are decoded as they come, so beside a document's text, ids and decoded
 text, which are the operator's input and output, only buffers of fixed size are held. Words come as white-space chunks; short chunks' and
 words' results are memoised in dictionaries of bounded size.
 

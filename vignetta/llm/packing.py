@@ -31,7 +31,8 @@ from . import common
 TIERS = (4096, 2048, 1024, 512)
 STEP_TOKENS = 65_536
 CLOSE_ID = 2
-MEMO = 800_000
+#: A task keeps the ids of so many chunks of at most so many bytes; longer ones (text without blanks) are encoded anew.
+MEMO, MEMO_BYTES = 800_000, 64
 _SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _IS_ALNUM = np.isin(np.arange(256), list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
@@ -51,22 +52,24 @@ def _encoder(path: str):
     tok, memo = _LIBRARY[path]
     marks = [(i, t.content) for i, t in tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized)]
 
-    def look_up(chunks: list[bytes]) -> None:
-        """Encode chunks; many share one call, parted by a special token, which the library splits at first."""
+    def look_up(chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks; many share one call, parted by a special token, which the library splits at first."""
+        found: dict[bytes, bytes] = {}
         alone = [c for c in chunks if not marks or b"<" in c or len(c) > 200]
         shared = [c for c in chunks if marks and b"<" not in c and len(c) <= 200]
         for i in range(0, len(alone), 5_000):
             some = alone[i : i + 5_000]
             for c, e in zip(some, tok.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                memo[c] = array("I", e.ids).tobytes()
+                found[c] = array("I", e.ids).tobytes()
         for i in range(0, len(shared), 2_000):
             some = shared[i : i + 2_000]
             ids = np.array(tok.encode_batch_fast([marks[0][1].join([c.decode() for c in some])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == marks[0][0])
             raw, at = ids.tobytes(), 0
             for c, cut in zip(some, [*(4 * cuts).tolist(), len(raw)]):
-                memo[c] = raw[at:cut]
+                found[c] = raw[at:cut]
                 at = cut + 4
+        return found
 
     def ids_of(chunks: list[bytes]) -> list[bytes]:
         """Ids of distinct chunks, from the memo or the library."""
@@ -76,8 +79,9 @@ def _encoder(path: str):
             return coded
         if len(memo) + len(new) > MEMO:
             memo.clear()
-        look_up(new)
-        return [memo[c] if ids is None else ids for c, ids in zip(chunks, coded)]
+        found = look_up(new)
+        memo.update((c, ids) for c, ids in found.items() if len(c) <= MEMO_BYTES)
+        return [found[c] if ids is None else ids for c, ids in zip(chunks, coded)]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         # the tokenizer lower-cases and parts marks from words; doing so first only joins chunks, but special tokens are matched before it
