@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..operators import chartmodel as M
 from ..operators import labels as C
+from ..session import saved
 from ..sources.fixtures import base, view
 from .parts import FIGS, META, SHOWN, chart_case, figures, map_case, sidecars, with_panels
 from .q_build import _meta
@@ -39,7 +40,8 @@ def c2(spark, sf):
 @query("c3_classify_queue", f"""WITH {META}, {SHOWN} SELECT fig_id, CASE WHEN pred_p >= 0.8 THEN 1 ELSE 0 END AS sure, coalesce(award_rank, 6) AS rank FROM (SELECT * FROM sh) s LEFT JOIN mt USING (paper_key)
 WHERE v_category IS NULL AND (parent IS NOT NULL OR kind = 'result') AND {THUMBS} ORDER BY 2, 3, s.paper_key || '.json', pos, fig_id""")
 def c3(spark, sf):
-    q = C.classify_queue(with_panels(figures(spark, sf)), _thumbs(spark, sf), _meta(spark, sf).select("paper_key", "award_rank"), only_charts=True)
+    f = saved(figures(spark, sf).select("paper_key", "pos", "fig_id", "caption", "kind", "v_category", "v_chart_type", "v2_category", "v2_chart_type", "v_tags", "pred_label", "pred_p", "parent", "panel", "n_panels", "panels", "thumb_md5"), "figures")
+    q = C.classify_queue(with_panels(f), f.filter("pos % 9 <> 0").select("fig_id"), _meta(spark, sf).select("paper_key", "award_rank"), only_charts=True)
     return q.select("fig_id", "sure", "rank")
 
 

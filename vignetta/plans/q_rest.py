@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import panels as X
-from ..session import shared_path
+from ..session import saved, shared_path
 from ..sources import readers, writers
 from ..sources.fixtures import base, view
 from ..streaming import levels
@@ -84,7 +84,7 @@ def _boxes(f):
 
 @query("x4_panel_rows", f"WITH {FIGS} SELECT fig_id, caption, parent FROM fg UNION ALL SELECT fig_id || '_s' || k, caption || ' [' || k || '/' || n_panels || ']', fig_id FROM (SELECT *, unnest(generate_series(1, n_panels)) AS k FROM fg WHERE n_panels >= 2)")
 def x4(spark, sf):
-    f = figures(spark, sf)
+    f = saved(figures(spark, sf).select("fig_id", "caption", "parent", "panel", "n_panels", "panels", "n_drawings"), "figures")
     return X.panel_rows(f, _boxes(f)).select("fig_id", "caption", "parent")
 
 
