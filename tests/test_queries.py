@@ -60,4 +60,4 @@ def test_same_rows_for_any_partitioning(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     without = set(registry.queries()) - set(SQL)
-    assert without == {"m7_fit_chart_model", "m8_cross_validate", "m10_predict_charts", "s4_file_inventory"}
+    assert without == {"m7_fit_chart_model", "m8_cross_validate", "m10_predict_charts"}
