@@ -1,6 +1,7 @@
 """Page layout to figures: captions, bands, region tops, figure and table boxes, ids, metadata, plans.
 
-All page work is keyed by (paper_key, page): joins and windows share that partitioning.
+All page work is keyed by (paper_key, page): joins are on the page alone, groupings and windows start with it. Over tables
+stored by page (sources.page_store) none of it moves rows between executors.
 """
 
 from __future__ import annotations
@@ -67,11 +68,23 @@ def header_bottom(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE).agg(F.coalesce(F.max(F.when(head, F.col("y1"))), F.lit(0.0)).alias("header"))
 
 
-def _chain(rows: DataFrame, key: list[str], order: list[Column], edge: Column, stop: Column) -> DataFrame:
-    """Rows of each key before the first that `stop` cuts off; `edge` is named reach in stop and runs over earlier rows."""
+def _with_elements(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """rows with the columns of found for the same (page, elem_id), of which found has one row at most; how is inner or left.
+
+    found travels as one map for each page: a join on elem_id too would move both sides.
+    """
+    cols = [c for c in found.columns if c not in (*PAGE, "elem_id")]
+    of = found.filter("elem_id IS NOT NULL").groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("elem_id", F.struct(*cols)))).alias("_of"))
+    got = rows.join(of, PAGE, how).withColumn("_of", F.try_element_at("_of", F.col("elem_id")))
+    got = got.filter("_of IS NOT NULL") if how == "inner" else got
+    return got.select(*rows.columns, *[F.col("_of")[c].alias(c) for c in cols])
+
+
+def _cuts(rows: DataFrame, key: list[str], order: list[Column], edge: Column, stop: Column) -> DataFrame:
+    """rows with `cut`, the number of rows of the key up to this one that `stop` cuts off; `edge` is named reach in stop and runs over earlier rows."""
     w = Window.partitionBy(*key).orderBy(*order)
     rows = rows.withColumn("reach", edge.over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumn("_stop", F.when(stop, 1).otherwise(0)).withColumn("_cut", F.sum("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_cut = 0").drop("_stop", "_cut")
+    return rows.withColumn("_stop", F.when(stop, 1).otherwise(0)).withColumn("cut", F.sum("_stop").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_stop")
 
 
 def region_top(captions: DataFrame, visuals: DataFrame, header: DataFrame) -> DataFrame:
@@ -82,12 +95,12 @@ def region_top(captions: DataFrame, visuals: DataFrame, header: DataFrame) -> Da
     o = captions.select(*PAGE, F.col("elem_id").alias("o_id"), F.col("kind").alias("o_kind"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "x1", "y1")])
     near = captions.join(o, PAGE).filter("o_id <> elem_id AND o_y1 <= y0 - 5 AND o_x1 >= bx0 AND o_x0 <= bx1").select(*PAGE, "elem_id", "y0", "bx0", "bx1", "o_id", "o_kind", "o_y1")
     d = visuals.filter("elem_type = 'draw'").select(*PAGE, F.col("elem_id").alias("v_id"), *[F.col(c).alias(f"v_{c}") for c in ("x0", "y0", "x1", "y1")])
-    under = near.filter("o_kind = 'table'").join(d, PAGE).filter("v_y0 >= o_y1 - 2 AND v_y1 <= y0 - 2 AND v_x1 > bx0 AND v_x0 < bx1")
-    key = [*PAGE, "elem_id", "o_id"]
-    hung = _chain(under, key, [F.col("v_y0"), F.col("v_id")], F.max("v_y1"), F.col("v_y0") > F.greatest("o_y1", F.coalesce("reach", "o_y1")) + ELEMENT_GAP)
-    bottoms = near.select(*PAGE, "elem_id", F.col("o_y1").alias("bottom")).unionByName(hung.select(*PAGE, "elem_id", F.col("v_y1").alias("bottom")))
-    tops = bottoms.groupBy(*PAGE, "elem_id").agg(F.max("bottom").alias("bottom"))
-    return captions.join(header, PAGE, "left").join(tops, [*PAGE, "elem_id"], "left").withColumn("top", F.greatest(F.coalesce("header", F.lit(0.0)), F.coalesce("bottom", F.lit(0.0)))).drop("header", "bottom")
+    d = d.select(*[F.col(c).alias(f"d_{c}") if c in PAGE else F.col(c) for c in d.columns])
+    under = (F.col("paper_key") == F.col("d_paper_key")) & (F.col("page") == F.col("d_page")) & F.expr("o_kind = 'table' AND v_y0 >= o_y1 - 2 AND v_y1 <= y0 - 2 AND v_x1 > bx0 AND v_x0 < bx1")
+    hung = _cuts(near.join(d, under, "left"), [*PAGE, "elem_id", "o_id"], [F.col("v_y0"), F.col("v_id")], F.max("v_y1"), F.col("v_y0") > F.greatest("o_y1", F.coalesce("reach", "o_y1")) + ELEMENT_GAP)
+    tops = hung.groupBy(*PAGE, "elem_id").agg(F.max(F.greatest("o_y1", F.when(F.col("cut") == 0, F.col("v_y1")))).alias("bottom"))
+    rows = _with_elements(captions.join(header, PAGE, "left"), tops, "left")
+    return rows.withColumn("top", F.greatest(F.coalesce("header", F.lit(0.0)), F.coalesce("bottom", F.lit(0.0)))).drop("header", "bottom")
 
 
 def locate_figure(regions: DataFrame, visuals: DataFrame) -> DataFrame:
@@ -103,9 +116,9 @@ def locate_figure(regions: DataFrame, visuals: DataFrame) -> DataFrame:
     j = j.filter("s_x1 - s_x0 >= 1 AND s_y1 > s_y0 AND (col = -1 OR s_x1 - s_x0 >= 0.5 * (v_x1 - v_x0))")
     key = [*PAGE, "elem_id"]
     stop = F.when(F.col("reach").isNull(), F.col("s_y1") < F.col("y0") - CAPTION_GAP).otherwise(F.col("s_y1") < F.least("y0", "reach") - ELEMENT_GAP)
-    got = _chain(j, key, [F.desc("s_y1"), (F.col("elem_type") == "draw"), F.col("v_id")], F.min("s_y0"), stop)
+    got = _cuts(j, key, [F.desc("s_y1"), (F.col("elem_type") == "draw"), F.col("v_id")], F.min("s_y0"), stop).filter("cut = 0")
     box = got.groupBy(*key).agg(F.min("s_x0").alias("fx0"), F.min("s_y0").alias("fy0"), F.max("s_x1").alias("fx1"), F.max("s_y1").alias("fy1"), F.max(F.col("elem_type") == "image").alias("has_raster"), F.count_if(F.col("elem_type") == "draw").alias("n_drawings"))
-    return regions.join(box, key).filter((F.col("fx1") - F.col("fx0") >= MIN_W) & (F.col("fy1") - F.col("fy0") >= MIN_H))
+    return _with_elements(regions, box, "inner").filter((F.col("fx1") - F.col("fx0") >= MIN_W) & (F.col("fy1") - F.col("fy0") >= MIN_H))
 
 
 def scanned_pages(visuals: DataFrame) -> DataFrame:
@@ -119,7 +132,7 @@ def locate_by_text_gap(regions: DataFrame, blocks: DataFrame, visuals: DataFrame
     b = blocks.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "y1")])
     wide = caps.join(b, PAGE).filter("b_y1 <= y0 - 4 AND b_y1 >= top AND b_x1 >= bx0 AND b_x0 <= bx1 AND b_x1 - b_x0 >= 0.45 * (bx1 - bx0)")
     floor = wide.groupBy(*PAGE, "elem_id").agg(F.max("b_y1").alias("floor"))
-    j = caps.join(floor, [*PAGE, "elem_id"], "left").withColumns({
+    j = _with_elements(caps, floor, "left").withColumns({
         "fx0": F.greatest(F.lit(0.0), F.col("bx0") + 6), "fy0": F.greatest(F.col("top"), F.coalesce("floor", "top")) + 4, "fx1": F.least("page_w", F.col("bx1") - 6), "fy1": F.least("page_h", F.col("y0") - 1),
         "has_raster": F.lit(True), "n_drawings": F.lit(0).cast("long"),
     }).drop("floor")
@@ -152,15 +165,16 @@ def assign_fig_ids(located: DataFrame) -> DataFrame:
 
 
 def rotation_of(figures: DataFrame, lines: DataFrame) -> DataFrame:
-    """Degrees that make the text in a figure's box horizontal; figures has fig_id and box, lines have dir_x and dir_y."""
-    ln = lines.select(*PAGE, *[F.col(c).alias(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], "dir_x", "dir_y", F.length(F.trim("text")).alias("chars"))
-    inside = figures.join(ln, PAGE).filter("chars >= 2 AND l_x0 < fx1 AND l_x1 > fx0 AND l_y0 < fy1 AND l_y1 > fy0")
+    """Degrees that make the text in a figure's box horizontal; figures has one row for each fig_id with its box, lines have dir_x and dir_y."""
+    ln = lines.select(*[F.col(c).alias(f"l_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")], "dir_x", "dir_y", F.length(F.trim("text")).alias("chars"))
+    inside = (F.col("paper_key") == F.col("l_paper_key")) & (F.col("page") == F.col("l_page")) & F.expr("chars >= 2 AND l_x0 < fx1 AND l_x1 > fx0 AND l_y0 < fy1 AND l_y1 > fy0")
     level = F.abs("dir_x") >= 0.5
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("chars"))), F.lit(0))
-    sums = inside.groupBy("fig_id").agg(total(level).alias("horiz"), total(~level & (F.col("dir_y") < 0)).alias("up"), total(~level & (F.col("dir_y") >= 0)).alias("down"))
+    boxes = figures.select(*PAGE, "fig_id", "fx0", "fy0", "fx1", "fy1").join(ln, inside, "left")
+    sums = boxes.groupBy(*PAGE, "fig_id").agg(total(level).alias("horiz"), total(~level & (F.col("dir_y") < 0)).alias("up"), total(~level & (F.col("dir_y") >= 0)).alias("down"))
     vert = F.col("up") + F.col("down")
     angle = F.when((vert + F.col("horiz") < 20) | (vert <= 1.5 * F.col("horiz")), 0).when(F.col("up") >= F.col("down"), -90).otherwise(90)
-    return figures.select("fig_id").join(sums.select("fig_id", angle.alias("rotated")), "fig_id", "left").withColumn("rotated", F.coalesce("rotated", F.lit(0)))
+    return sums.select("fig_id", angle.alias("rotated"))
 
 
 def title_from_largest_text(lines: DataFrame) -> DataFrame:

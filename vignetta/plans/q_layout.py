@@ -8,6 +8,7 @@ from ..functions import lookups as L
 from ..operators import boxes, layout as E
 from ..session import saved
 from ..sources.fixtures import base, view
+from ..sources.page_store import stored_pages
 from .parts import FIGS, figures, kind_case, with_panels
 from .registry import query
 
@@ -38,16 +39,16 @@ lf AS (SELECT paper_key, page, elem_id, any_value(num) AS num, min(s_x0) AS fx0,
  HAVING max(s_x1) - min(s_x0) >= 70 AND max(s_y1) - min(s_y0) >= 40)"""
 
 
-# what a query uses several times is stored once
+# page tables are stored by page; what a query uses several times is stored once
 
 
 def _blocks(spark, sf):
-    return saved(view(spark, sf, "fx_blocks"), "blocks")
+    return stored_pages(view(spark, sf, "fx_blocks"), "blocks")
 
 
 def _captions(spark, sf, blocks=None):
     b = blocks or _blocks(spark, sf)
-    return saved(E.caption_band(E.find_captions(b, E.text_extent(b))), "captions")
+    return stored_pages(E.caption_band(E.find_captions(b, E.text_extent(b))), "captions", placed=True)
 
 
 def _visuals(spark, sf):
@@ -59,8 +60,8 @@ def _regions(spark, sf, blocks, visuals):
 
 
 def _located(spark, sf, blocks=None):
-    b, v = blocks or _blocks(spark, sf), saved(_visuals(spark, sf), "visuals")
-    return E.locate_figure(saved(_regions(spark, sf, b, v), "regions"), v)
+    b, v = blocks or _blocks(spark, sf), stored_pages(_visuals(spark, sf), "visuals")
+    return E.locate_figure(stored_pages(_regions(spark, sf, b, v), "regions", placed=True), v)
 
 
 @query("e1_text_extent", f"WITH {EXT} SELECT * FROM ex")
@@ -95,7 +96,7 @@ def e6(spark, sf):
 
 @query("e7_region_top", f"WITH {TOP} SELECT {PG}, elem_id, top FROM rg")
 def e7(spark, sf):
-    return _regions(spark, sf, _blocks(spark, sf), saved(_visuals(spark, sf), "visuals")).select("paper_key", "page", "elem_id", "top")
+    return _regions(spark, sf, _blocks(spark, sf), stored_pages(_visuals(spark, sf), "visuals")).select("paper_key", "page", "elem_id", "top")
 
 
 @query("e8_locate_figure", f"WITH {LOC} SELECT * EXCLUDE (num) FROM lf")
@@ -131,8 +132,8 @@ def e10(spark, sf):
     pick = lambda c, v: F.when(big, v).otherwise(F.col(c))
     scans = view(spark, sf, "fx_elements").withColumns({"x0": pick("x0", 2.0), "y0": pick("y0", 5.0), "x1": pick("x1", 610.0), "y1": pick("y1", 790.0)})
     b = _blocks(spark, sf)
-    regions = saved(_regions(spark, sf, b, saved(_visuals(spark, sf), "visuals")), "regions")
-    return E.locate_by_text_gap(regions, b, E.visual_rects(scans)).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
+    regions = stored_pages(_regions(spark, sf, b, stored_pages(_visuals(spark, sf), "visuals")), "regions", placed=True)
+    return E.locate_by_text_gap(regions, b, stored_pages(E.visual_rects(scans), "scans")).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
 
 
 @query("e11_page_lines", "SELECT paper_key, page, block, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(max(gap), 0.0) AS max_gap, string_agg(word, ' ' ORDER BY x0, word_no) AS text FROM (SELECT *, lead(x0) OVER (PARTITION BY paper_key, page, block, line ORDER BY x0, word_no) - x1 AS gap FROM fx_words) GROUP BY paper_key, page, block, line")
@@ -172,7 +173,8 @@ w8 AS (SELECT * REPLACE (list_reduce(list_filter(rules, lambda r: {INB.format('r
 
 @query("e13_locate_table", f"WITH {TABLES} SELECT paper_key, page, elem_id, 'table' AS kind, num, box[1] - 3 AS fx0, box[2] - 3 AS fy0, box[3] + 3 AS fx1, box[4] + 3 AS fy1, len(rules) AS n_drawings FROM w8 WHERE box[3] - box[1] + 6 >= 60 AND box[4] - box[2] + 6 >= 18")
 def e13(spark, sf):
-    return boxes.locate_table(_captions(spark, sf), E.page_lines(view(spark, sf, "fx_words")), _rules(spark, sf))
+    words, rules = stored_pages(view(spark, sf, "fx_words"), "words"), stored_pages(_rules(spark, sf), "rules")
+    return boxes.locate_table(_captions(spark, sf), E.page_lines(words), rules)
 
 
 @query("e14_assign_fig_ids", f"WITH {LOC} SELECT paper_key || '__p' || page || '__fig' || num AS fig_id, elem_id FROM (SELECT *, row_number() OVER (PARTITION BY paper_key, page, regexp_replace(num, '[^0-9A-Za-z.]+', '', 'g') ORDER BY elem_id) AS n FROM lf) WHERE n = 1")
@@ -188,7 +190,7 @@ s AS (SELECT fig_id, sum(CASE WHEN dir_x >= 0.5 THEN chars ELSE 0 END) AS h, sum
  FROM ids f JOIN ln l ON l.paper_key = f.paper_key AND l.page = f.page AND l.x0 < fx1 AND l.x1 > fx0 AND l.y0 < fy1 AND l.y1 > fy0 AND chars >= 2 GROUP BY fig_id)
 SELECT ids.fig_id, CASE WHEN h IS NULL OR u + d + h < 20 OR u + d <= 1.5 * h THEN 0 WHEN u >= d THEN -90 ELSE 90 END AS rotated FROM ids LEFT JOIN s USING (fig_id)""")
 def e15(spark, sf):
-    lines = E.page_lines(view(spark, sf, "fx_words")).withColumns({"dir_x": F.when((F.col("block") + F.col("line")) % 3 == 0, 1.0).otherwise(0.0), "dir_y": F.when(F.col("block") % 2 == 0, -1.0).otherwise(1.0)})
+    lines = E.page_lines(stored_pages(view(spark, sf, "fx_words"), "words")).withColumns({"dir_x": F.when((F.col("block") + F.col("line")) % 3 == 0, 1.0).otherwise(0.0), "dir_y": F.when(F.col("block") % 2 == 0, -1.0).otherwise(1.0)})
     return E.rotation_of(E.assign_fig_ids(_located(spark, sf)), lines)
 
 

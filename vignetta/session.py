@@ -25,8 +25,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove path when the driver ends: results that read it are lazy, so none can remove it earlier."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: computed once however often it is used, and safe from lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    keep_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
