@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -662,3 +663,47 @@ def test_filtering_stages_keep_clashing_columns(spark):
     out = corpus_pipeline.language_id(spark, docs, SF)
     assert out.columns == docs.columns and {(r["score"], r["kept"], r["size"]) for r in out.collect()} == {(9.0, False, 1)} and out.count() == 30
     assert corpus_pipeline.quality_rules(spark, docs, SF).columns == docs.columns
+
+
+def bucket_members(rng, block, key, n):
+    """Members of key's bucket: any value of the block, at most one bit of the others off; and a few of another block's emission."""
+    keep, flips = ~(0xFFFF << 16 * block) % 2**64, [0, *(1 << i for i in range(64) if i // 16 != block)]
+    return {(key & keep) ^ rng.choice(flips) ^ (rng.getrandbits(16) << 16 * block) for _ in range(n)}
+
+
+@pytest.mark.parametrize("block, n", [(0, 400), (1, 3000), (3, 12000)])
+def test_links_of_a_large_bucket(block, n):
+    rng = random.Random(block)
+    key = rng.getrandbits(64) & ~(0xFFFF << 16 * block) % 2**64 | (block + 1) << 16 * block
+    fps = np.array(sorted(bucket_members(rng, block, key, n)), np.uint64)
+    x, y = simhash.grid_links(fps, key)
+    assert (np.bitwise_count(x ^ y) <= 3).all() and len(x) < len(fps)
+
+    def trees(a, b):
+        tree = {f: f for f in fps.tolist()}
+
+        def root(f):
+            while tree[f] != f:
+                tree[f] = f = tree[tree[f]]
+            return f
+
+        for p, q in zip(a.tolist(), b.tolist()):
+            p, q = root(p), root(q)
+            tree[max(p, q)] = min(p, q)
+        return [root(f) for f in fps.tolist()]
+
+    want = trees(*simhash.spanning_links(fps))
+    assert trees(x, y) == want
+    assert len(x) == len(fps) - len(set(want))
+
+
+def test_large_buckets_in_the_shuffled_links(monkeypatch):
+    """Every link lies in some bucket however large: rows of one key pass through the same path as on a cluster."""
+    rng = random.Random(8)
+    key = (rng.getrandbits(64) & ~0xFFFF | 1) % 2**64
+    fps = sorted(bucket_members(rng, 0, key, 300))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), key, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64))], ["key", "fp"])
+    few = sum(b.num_rows for b in simhash._links(iter([rows])))
+    monkeypatch.setattr(simhash, "ROW_LIMIT", 10)
+    many = sum(b.num_rows for b in simhash._links(iter([rows.slice(0, 100), rows.slice(100)])))
+    assert few == many > 0

@@ -10,9 +10,11 @@ meet in the middle with radius-1 variants of the other 48 bits. Every distinct f
 4 x (1 + 48) = 196 variants; variants are shuffled, equal ones meet, and every colliding pair is verified on all
 64 bits. Copies share one fingerprint and are folded before anything is emitted.
 
-A bucket can hold at most 49 x 65,536 distinct fingerprints. Inside one, links are found as a spanning forest
-(breadth-first over vectorised distance rows, or mask look-ups in large buckets), so the number of emitted
-links is below the number of members and no group's pairs are ever listed. Components are joined by star rounds.
+A bucket can hold at most 49 x 65,536 distinct fingerprints. Inside one, links are found as a spanning forest, so the
+number of emitted links is below the number of members and no group's pairs are ever listed: breadth-first over
+vectorised distance rows, or, in buckets of over ROW_LIMIT members, on a grid. All members are the bucket's centre
+or one bit from it outside the left-out block, so a member is a cell (that bit or none, value of the block), and what
+is left to try is 696 masks of one to three bits inside the block. Components are joined by star rounds.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than
 three words make one shingle of the whole sequence; repeated rows get equal answers; component_id is the
@@ -87,53 +89,105 @@ def variant_table() -> list[tuple[int, int]]:
     return out
 
 
-def _near_masks(radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(64), r)], np.uint64)
-
-
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the graph 'at most radius bits differ' over distinct fingerprints."""
+    """A spanning forest of the graph 'at most radius bits differ' over distinct fingerprints, each compared with all not yet reached."""
     a, b = [], []
-    if len(fps) <= ROW_LIMIT:
-        rest = fps
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                f = front.pop()
-                near = np.bitwise_count(rest ^ f) <= radius
-                if near.any():
-                    got = rest[near]
-                    a.append(np.full(len(got), f))
-                    b.append(got)
-                    front.extend(got)
-                    rest = rest[~near]
-    else:
-        fps = np.sort(fps)
-        parent = list(range(len(fps)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for m in _near_masks(radius):
-            at = np.minimum(np.searchsorted(fps, fps ^ m), len(fps) - 1)
-            found = np.flatnonzero((fps[at] == fps ^ m) & (fps < fps ^ m))
-            new = []
-            for x, y in zip(found.tolist(), at[found].tolist()):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    new.append((x, y))
-            if new:
-                x, y = np.array(new).T
-                a.append(fps[x])
-                b.append(fps[y])
+    rest = fps
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            f = front.pop()
+            near = np.bitwise_count(rest ^ f) <= radius
+            if near.any():
+                got = rest[near]
+                a.append(np.full(len(got), f))
+                b.append(got)
+                front.extend(got)
+                rest = rest[~near]
     if not a:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     return np.concatenate(a), np.concatenate(b)
 
 
+class _Forest:
+    """Edges offered in arrays; those that join two trees are kept, one for each tree that is hooked to another."""
+
+    def __init__(self, n: int) -> None:
+        self.tree = np.arange(n)
+        self.kept: list[np.ndarray] = []
+
+    def offer(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            p, q = self.tree[x], self.tree[y]
+            live = p != q
+            x, y, high, low = x[live], y[live], np.maximum(p, q)[live], np.minimum(p, q)[live]
+            hooked, at = np.unique(high, return_index=True)
+            if not len(hooked):
+                return
+            self.kept.append(np.stack((x[at], y[at])))
+            to = np.arange(len(self.tree))
+            to[hooked] = low[at]  # to a lower number always, so hooks form no ring
+            while (to != to[to]).any():
+                to = to[to]
+            self.tree = to[self.tree]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(self.kept, axis=1)) if self.kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _block_masks(radius: int) -> list[int]:
+    """Masks of 1 to radius bits of a block."""
+    return [sum(1 << i for i in c) for r in range(1, radius + 1) for c in combinations(range(64 // BLOCKS), r)]
+
+
+def grid_links(fps: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of links that joins all pairs within RADIUS bits that share this bucket through one left-out block.
+
+    fps: distinct unsigned members of the bucket. Two members whose outer bits differ from the centre in different places are two
+    bits apart before the block counts, so one member of each block value stands for all that are off the centre.
+    """
+    width = 64 // BLOCKS
+    full = (1 << width) - 1
+    found = []
+    for block in range(BLOCKS):
+        shift = width * block
+        if key >> shift & full != block + 1:  # the key's mark of its left-out block
+            continue
+        off = (fps ^ np.uint64(key)) & ~np.uint64(full << shift)
+        own = fps[np.bitwise_count(off) <= 1]
+        off = off[np.bitwise_count(off) <= 1]
+        lines, line = np.unique(off, return_inverse=True)
+        value = (own >> np.uint64(shift) & np.uint64(full)).astype(np.int64)
+        cell = np.full((len(lines), full + 1), -1, np.int32)
+        cell[line, value] = np.arange(len(own))
+        forest = _Forest(len(own))
+        every = np.arange(len(own))
+        outer = every[off != 0]
+        stands = np.full(full + 1, -1, np.int64)  # a member off the centre for each value of the block
+        stands[value[outer]] = outer
+        centre = every[off == 0]
+
+        def offer(x: np.ndarray, y: np.ndarray) -> None:
+            forest.offer(x[y >= 0], y[y >= 0])
+
+        if RADIUS >= 2:
+            offer(outer, stands[value[outer]])
+        for m in [0, *_block_masks(RADIUS)]:
+            n = m.bit_count()
+            if m:
+                offer(every, cell[line, value ^ m])
+            if n <= RADIUS - 1:
+                offer(centre, stands[value[centre] ^ m])
+            if m and n <= RADIUS - 2:
+                offer(outer, stands[value[outer] ^ m])
+        x, y = forest.edges()
+        found.append((own[x], own[y]))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    a, b = zip(*found)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links from rows sorted by key; a bucket that a batch cuts is carried on to the next."""
     carried_k, carried_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -147,7 +201,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(fp[near])
         b.append(fp[near + 1])
         for s, n in zip(start[size > 2], size[size > 2]):
-            x, y = spanning_links(fp[s : s + n])
+            x, y = spanning_links(fp[s : s + n]) if n <= ROW_LIMIT else grid_links(fp[s : s + n], int(key[s]) % 2**64)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
