@@ -707,3 +707,20 @@ def test_large_buckets_in_the_shuffled_links(monkeypatch):
     monkeypatch.setattr(simhash, "ROW_LIMIT", 10)
     many = sum(b.num_rows for b in simhash._links(iter([rows.slice(0, 100), rows.slice(100)])))
     assert few == many > 0
+
+
+def test_false_hits_of_the_filter_are_removed(spark, monkeypatch):
+    """One block for 400 listed URLs is so full that most other URLs pass it; the exact join decides."""
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    listed = spark.createDataFrame([(f"bad{i}.net/x",) for i in range(400)] + [(None,)], "canon string")
+    urls = [f"http://bad{i}.net/x" for i in range(0, 400, 40)] + [f"http://good{i}.net/x" for i in range(60)] + [None, "no host"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    canon = url_filter.canonical(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    block = url_filter.bloom_blocks(listed.filter("canon IS NOT NULL"), 1)
+    bits = [F.col(f"w{i}").bitwiseAND(b) == b for i, b in enumerate(url_filter._bits(canon.alias("canon")))]
+    hit = bits[0]
+    for b in bits[1:]:
+        hit = hit & b
+    assert pages.filter("url LIKE 'http://good%'").join(F.broadcast(block), F.lit(True)).filter(hit).count() >= 10
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in url_filter.judge_urls(pages, listed).collect()}
+    assert got == {i: (True, "block") if (u or "").startswith("http://bad") else (False, "allow") for i, u in enumerate(urls)}
