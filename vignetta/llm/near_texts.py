@@ -227,6 +227,7 @@ def second_look(links: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFr
     open_ = parts.groupBy("group").agg(F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("size")).filter("parts > 1")
     many = lambda n: F.ceil(n / CHUNK).cast("int")
     sizes = open_.select("group", F.col("top.part").alias("top"), many(F.col("size")).alias("js"), many(F.col("size") - F.col("top.n")).alias("is_"))
+    sizes = common.saved(sizes, "near-sizes")  # a plain table on this side: AQE can then split a hot group of the other
     rows = members.join(sizes, "group").join(texts, "node").select("group", "node", "part", "top", "js", "is_", "text")
     rows = common.saved(common.add_columns(rows, "sketch binary", _sketches).drop("text"), "near-sketches")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -271,7 +272,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     parts = components(last).withColumnRenamed("comp", "group")
     named = common.saved(fps.join(parts, "node", "left").withColumn("group", F.coalesce("group", "node")), "near-groups")
-    stays = named.groupBy("group").agg(F.min("best").alias("best"))
+    stays = common.saved(named.groupBy("group").agg(F.min("best").alias("best")), "near-stays")  # a plain table, as in second_look
     of = named.drop("best").join(stays, "group").select("text_key", "best")
     return rows.join(of, "text_key").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.first("best").alias("best"))
 
