@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,22 +58,39 @@ def key_of_parts() -> Column:
     return F.when(host.contains("openreview"), F.concat(F.lit("openreview-"), review)).otherwise(F.concat(mapped(host, L.HOST_TAGS, other), F.lit("-"), last))
 
 
-def chart_in(text: Column) -> Column:
-    """First chart class whose words occur in a text, null when none does."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def chart_in(low: Column) -> Column:
+    """First chart class whose words occur in a lower-cased text, null when none does; a pattern runs only where one of its hints is found."""
     out = None
     for name, words in L.CHART_WORDS:
-        out = F.when(low.rlike(words), name) if out is None else out.when(low.rlike(words), name)
+        hit = reduce(or_, map(low.contains, L.CHART_HINTS[name])) & low.rlike(words)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def chart_named(tags: Column, caption: Column) -> Column:
+def chart_texts(tags: Column, caption: Column) -> dict[str, Column]:
+    """What chart_of_texts needs; kept as columns of their own, each text is lower-cased once."""
+    return {"low_tags": F.lower(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ; ")), "low_caption": F.lower(F.coalesce(caption, F.lit("")))}
+
+
+def chart_of_texts() -> Column:
     """Chart class named in the tags, else in the caption, else null."""
-    return F.coalesce(chart_in(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " ; ")), chart_in(caption))
+    return F.coalesce(chart_in(F.col("low_tags")), chart_in(F.col("low_caption")))
 
 
 def chart_from_text(tags: Column, caption: Column) -> Column:
-    return F.coalesce(chart_named(tags, caption), F.lit(""))
+    return F.coalesce(*map(chart_in, chart_texts(tags, caption).values()), F.lit(""))
+
+
+def by_letter(words: str) -> str:
+    r"""A pattern (?i)\b(one|two...)\b that finds the same, its words grouped by first letter: where no word begins, none is tried."""
+    head, body, tail = re.fullmatch(r"(\(\?i\)\\b)\((.*)\)((?:s\?)?\\b)", words).groups()
+    groups: dict[str, list[str]] = {}
+    for word in re.findall(r"(?:[^|()]|\([^()]*\))+", body):
+        groups.setdefault(word[0], []).append(word[1:])
+    return f"{head}(?=[{''.join(groups)}])(?:{'|'.join(k + '(?:' + '|'.join(v) + ')' for k, v in groups.items())}){tail}"
+
+
+RESULT, METHOD, EXAMPLE, PROMPT = map(by_letter, (L.RESULT_WORDS, L.METHOD_WORDS, L.EXAMPLE_WORDS, L.PROMPT_WORDS))
 
 
 def caption_kind(caption: Column, num: Column, page: Column, has_raster: Column, n_drawings: Column) -> Column:

@@ -98,9 +98,9 @@ def chart_guess(figures: DataFrame) -> DataFrame:
     vague = (F.col("v_category") == "data") & F.coalesce("v_chart_type", F.lit("")).isin("", "other", "mixed")
     asked = F.coalesce(vague, F.lit(False)) | (F.col("v_category").isNull() & (F.col("kind") == "result"))
     pred = F.coalesce("pred_label", F.lit(""))
-    text = F.when(~(F.col("parent").isNotNull() & (pred != "")), C.chart_named(F.col("v_tags"), F.col("caption")))
+    text = F.when(~(F.col("parent").isNotNull() & (pred != "")), C.chart_of_texts())
     from_picture = F.when(~pred.isin("", "other", *L.NON_CHART_KIND), pred)
-    return figures.withColumn("chart_guess", F.when(asked, F.coalesce(text, from_picture)))
+    return figures.withColumns(C.chart_texts(F.col("v_tags"), F.col("caption"))).withColumn("chart_guess", F.when(asked, F.coalesce(text, from_picture))).drop("low_tags", "low_caption")
 
 
 def asset_urls(figures: DataFrame, files: DataFrame) -> DataFrame:

@@ -24,12 +24,12 @@ def _alias(c: Column) -> Column:
 
 def training_label(figures: DataFrame) -> DataFrame:
     """Add `label`: from the figure's label, a chart named in its text, or null. Panels get no text guess."""
-    named = F.when(F.col("parent").isNull(), C.chart_named(F.col("v_tags"), F.col("caption")))
-    step = figures.withColumns({"_named": named, "_kind": C.blank_to_null(_alias(F.coalesce("v_chart_type", F.lit(""))))})
+    named = F.when(F.col("parent").isNull(), C.chart_of_texts())
+    step = figures.withColumns(C.chart_texts(F.col("v_tags"), F.col("caption"))).withColumns({"_named": named, "_kind": C.blank_to_null(_alias(F.coalesce("v_chart_type", F.lit(""))))})
     guess = _alias(F.col("_named"))
     data = F.when(F.col("_kind") != "other", F.col("_kind")).otherwise(F.coalesce(guess, F.lit("other")))
     label = F.when(F.col("v_category") == "data", data).when(F.col("v_category").isNull(), guess).otherwise(C.mapped(F.col("v_category"), NON_CHART, F.lit(None)))
-    return step.withColumn("label", label).drop("_named", "_kind")
+    return step.withColumn("label", label).drop("_named", "_kind", "low_tags", "low_caption")
 
 
 def chart_candidates(figures: DataFrame) -> DataFrame:
@@ -63,9 +63,9 @@ def frequent_classes(labelled: DataFrame, least: int = L.MIN_PER_CLASS) -> DataF
 def class_weights(labelled: DataFrame) -> DataFrame:
     """Rows of frequent classes with weight rows / (classes x class rows); at most one row for each class is broadcast."""
     counts = frequent_classes(labelled)
-    total = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
-    weights = counts.join(F.broadcast(total), F.lit(True)).select("label", (F.col("rows") / (F.col("classes") * F.col("n"))).alias("weight"))
-    return labelled.join(F.broadcast(weights), "label")
+    every = Window.partitionBy(F.lit(0))  # a row for each class, no more
+    weight = F.sum("n").over(every) / (F.count("*").over(every) * F.col("n"))
+    return labelled.join(F.broadcast(counts.select("label", weight.alias("weight"))), "label")
 
 
 def fit_chart_model(rows: DataFrame) -> tuple[LogisticRegressionModel, list[str]]:

@@ -140,7 +140,7 @@ def m5(spark, sf):
 
 @query("m6_class_weights", f"WITH {SHOWN}, {LAB}, c AS (SELECT label, count(*) AS n FROM lab WHERE label IS NOT NULL GROUP BY label HAVING count(*) >= 12) SELECT label, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight, n FROM c")
 def m6(spark, sf):
-    w = M.class_weights(M.training_label(_shown(spark, sf)))
+    w = M.class_weights(saved(M.training_label(_shown(spark, sf)).select("label"), "training-labels"))
     return w.groupBy("label").agg(F.round(F.max("weight"), 9).alias("weight"), F.count("*").alias("n"))
 
 
