@@ -19,14 +19,15 @@ def parse_labels(responses: DataFrame) -> DataFrame:
 
     Fences go, unknown categories and chart types become `other`, tags come as a list or a comma string.
     """
-    text = F.regexp_replace(F.trim("reply"), r"^`+(json)?|`+$", "")
+    text = F.trim("reply")
+    text = F.when(text.contains("`"), F.regexp_replace(text, r"^`+(json)?|`+$", "")).otherwise(text)
     j = F.from_json(text, "category string, chart_type string, tags string, summary_zh string")
     cat = F.lower(F.trim(F.coalesce(F.col("j.category"), F.lit("other"))))
     kind = F.lower(F.trim(F.coalesce(F.col("j.chart_type"), F.lit(""))))
     raw = F.coalesce(F.col("j.tags"), F.lit("[]"))
     listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, ","))
     tags = F.slice(F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != ""), 1, 6)
-    rows = responses.select("fig_id", j.alias("j")).filter("j IS NOT NULL")
+    rows = responses.select("fig_id", C.once(j).alias("j")).filter("j IS NOT NULL")
     rows = rows.select("fig_id", F.when(cat.isin(*L.CATEGORIES), cat).otherwise("other").alias("category"), kind.alias("kind"), tags.alias("tags"), F.substring(F.trim(F.coalesce("j.summary_zh", F.lit(""))), 1, 80).alias("summary"))
     chart = F.when(F.col("category") != "data", "").when(F.col("kind").isin(*L.CHART_TYPES), F.col("kind")).otherwise("other")
     return rows.select("fig_id", "category", chart.alias("chart_type"), "tags", "summary")

@@ -54,7 +54,7 @@ def c4(spark, sf):
 def c5(spark, sf):
     """Labels with failed ones, unknown ids and, for one figure in eight, a second label that comes later."""
     pos = view(spark, sf, "fx_figures").select("fig_id", "pos", F.when(F.col("pos") % 4 != 1, "failed").alias("error"))
-    labels = C.parse_labels(view(spark, sf, "fx_responses")).join(pos, "fig_id").withColumn("seq", F.lit(1))
+    labels = saved(C.parse_labels(view(spark, sf, "fx_responses")).join(pos, "fig_id").withColumn("seq", F.lit(1)), "labels")
     extra = labels.withColumn("fig_id", F.concat(F.lit("none"), "fig_id"))
     again = labels.filter("pos % 8 = 1").withColumns({"category": F.lit("prompt"), "chart_type": F.lit(""), "seq": F.lit(2)})
     return C.write_back(figures(spark, sf), labels.unionByName(extra).unionByName(again)).select("fig_id", "v_category", "v_chart_type")
