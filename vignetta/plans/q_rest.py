@@ -43,7 +43,9 @@ def pictures(spark, sf):
                         image[f.gap + y * (SIDE + f.gap) :, f.gap + x * (SIDE + f.gap) :][:SIDE, :SIDE] = 10
                 yield pd.DataFrame({"name": [f.name], "height": [image.shape[0]], "width": [image.shape[1]], "channels": [1], "data": [image.tobytes()]})
 
-    return rows.mapInPandas(draw, "name string, height int, width int, channels int, data binary")
+    # the suppliers lie in a file or two; drawn, each is some 1,000 times as large
+    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "name")
+    return spread.mapInPandas(draw, "name string, height int, width int, channels int, data binary")
 
 
 def drawn(spark, sf):
