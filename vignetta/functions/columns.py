@@ -41,6 +41,11 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def same_or_spread(key: Column, own: Column, other: Column) -> Column:
+    """The join condition key = other, under which rows without a key, which match nothing, are dealt by `own` and not all to one task."""
+    return (key == other) & (F.coalesce(key, own) == other)
+
+
 def url_parts(url: Column) -> dict[str, Column]:
     """What key_of_parts needs of a URL; kept as columns of their own, each part is parsed once."""
     part = lambda *p: F.try_parse_url(url, *map(F.lit, p))

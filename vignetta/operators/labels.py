@@ -105,12 +105,12 @@ def merge_overrides(sources: list[DataFrame]) -> DataFrame:
 def apply_overrides(figures: DataFrame, overrides: DataFrame) -> DataFrame:
     """Manual corrections by own id, else by the parent's; fields not given are kept, else `data` and blank."""
     own = overrides.select("fig_id", F.col("category").alias("o_cat"), F.col("chart_type").alias("o_type"), F.lit(True).alias("o"))
-    up = overrides.select(F.col("fig_id").alias("parent"), F.col("category").alias("p_cat"), F.col("chart_type").alias("p_type"), F.lit(True).alias("p"))
-    j = figures.join(own, "fig_id", "left").join(up, "parent", "left")
+    up = overrides.select(F.col("fig_id").alias("p_id"), F.col("category").alias("p_cat"), F.col("chart_type").alias("p_type"), F.lit(True).alias("p"))
+    j = figures.join(own, "fig_id", "left").join(up, C.same_or_spread(F.col("parent"), F.col("fig_id"), F.col("p_id")), "left")
     mine, theirs = F.col("o").isNotNull(), F.col("p").isNotNull()
     cat = F.when(mine, F.coalesce("o_cat", "v_category", F.lit("data"))).when(theirs, F.coalesce("p_cat", "v_category", F.lit("data"))).otherwise(F.col("v_category"))
     kind = F.when(mine, F.coalesce("o_type", "v_chart_type", F.lit(""))).when(theirs, F.coalesce("p_type", "v_chart_type", F.lit(""))).otherwise(F.col("v_chart_type"))
-    return j.withColumns({"v_category": cat, "v_chart_type": kind, "manual": mine | theirs, "v2_category": F.when(~(mine | theirs), F.col("v2_category"))}).drop("o_cat", "o_type", "o", "p_cat", "p_type", "p")
+    return j.withColumns({"v_category": cat, "v_chart_type": kind, "manual": mine | theirs, "v2_category": F.when(~(mine | theirs), F.col("v2_category"))}).drop("o_cat", "o_type", "o", "p_id", "p_cat", "p_type", "p")
 
 
 def caption_labeler(batch: pd.DataFrame) -> pd.Series:
