@@ -99,15 +99,16 @@ RESULT, METHOD, EXAMPLE, PROMPT = map(by_letter, (L.RESULT_WORDS, L.METHOD_WORDS
 
 
 def caption_kind(caption: Column, num: Column, page: Column, has_raster: Column, n_drawings: Column) -> Column:
-    result, example = caption.rlike(L.RESULT_WORDS), caption.rlike(L.EXAMPLE_WORDS)
+    """Kind of a figure by its caption; plain conditions come before patterns, which run only where those hold."""
+    result, example = caption.rlike(RESULT), caption.rlike(EXAMPLE)
     return (
-        F.when(caption.rlike(L.PROMPT_WORDS) & ~has_raster & (n_drawings < 12), "prompt")
+        F.when(~has_raster & (n_drawings < 12) & caption.rlike(PROMPT), "prompt")
         .when((num == "1") & (page <= 2) & ~result, "teaser")
-        .when(result & ~has_raster, "result")
-        .when(caption.rlike(L.METHOD_WORDS), "method")
-        .when(example & has_raster, "example")
+        .when(~has_raster & result, "result")
+        .when(caption.rlike(METHOD), "method")
+        .when(has_raster & example, "example")
         .when(result, "result")
-        .when(example | has_raster, "example")
+        .when(has_raster | example, "example")
         .otherwise("other")
     )
 
