@@ -244,7 +244,8 @@ def _new(f):
 
 @query("e21_carry_labels", f"WITH {CARRY} SELECT fig_id, v_category, v2_category, np FROM ca UNION ALL SELECT fig_id || '_s' || k, NULL, NULL, NULL FROM (SELECT fig_id, unnest(generate_series(1, np)) AS k FROM ca WHERE np >= 2)")
 def e21(spark, sf):
-    f = saved(figures(spark, sf), "figures")
+    cols = ("paper_key", "pos", "page", "num", "fig_id", "caption", "thumb_md5", "v_category", "v_chart_type", "v2_category", "v2_chart_type", "v_tags", "parent", "panel", "n_panels", "panels")
+    f = saved(figures(spark, sf).select(*cols), "figures")
     out = E.carry_labels(with_panels(f), _new(f))
     return out.select("fig_id", "v_category", "v2_category", F.when(F.col("panels").isNotNull(), F.size("panels")).cast("long").alias("np"))
 
