@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lookups as L
 from ..operators import boxes, layout as E
 from ..session import saved
-from ..sources.fixtures import base, view
+from ..sources.fixtures import VIEWS, base, view
 from ..sources.page_store import stored_pages
 from .parts import FIGS, figures, kind_case, with_panels
 from .registry import query
@@ -42,8 +42,14 @@ lf AS (SELECT paper_key, page, elem_id, any_value(num) AS num, min(s_x0) AS fx0,
 # page tables are stored by page; what a query uses several times is stored once
 
 
-def _blocks(spark, sf):
-    return stored_pages(view(spark, sf, "fx_blocks"), "blocks")
+def _elements(spark, sf):
+    return stored_pages(view(spark, sf, "fx_elements"), "elements")
+
+
+def _blocks(spark, sf, elements=None):
+    """fx_blocks over the stored elements."""
+    rows = elements or _elements(spark, sf)
+    return stored_pages(spark.sql(VIEWS["fx_blocks"].replace("FROM fx_elements e", "FROM {rows}"), rows=rows), "blocks", placed=True)
 
 
 def _captions(spark, sf, blocks=None):
@@ -51,16 +57,17 @@ def _captions(spark, sf, blocks=None):
     return stored_pages(E.caption_band(E.find_captions(b, E.text_extent(b))), "captions", placed=True)
 
 
-def _visuals(spark, sf):
-    return E.visual_rects(view(spark, sf, "fx_elements"))
+def _visuals(spark, sf, elements=None):
+    return E.visual_rects(elements or view(spark, sf, "fx_elements"))
 
 
 def _regions(spark, sf, blocks, visuals):
     return E.region_top(_captions(spark, sf, blocks), visuals, E.header_bottom(blocks))
 
 
-def _located(spark, sf, blocks=None):
-    b, v = blocks or _blocks(spark, sf), stored_pages(_visuals(spark, sf), "visuals")
+def _located(spark, sf, elements=None, blocks=None):
+    e = elements or _elements(spark, sf)
+    b, v = blocks or _blocks(spark, sf, e), _visuals(spark, sf, e)
     return E.locate_figure(stored_pages(_regions(spark, sf, b, v), "regions", placed=True), v)
 
 
@@ -96,7 +103,8 @@ def e6(spark, sf):
 
 @query("e7_region_top", f"WITH {TOP} SELECT {PG}, elem_id, top FROM rg")
 def e7(spark, sf):
-    return _regions(spark, sf, _blocks(spark, sf), stored_pages(_visuals(spark, sf), "visuals")).select("paper_key", "page", "elem_id", "top")
+    e = _elements(spark, sf)
+    return _regions(spark, sf, _blocks(spark, sf, e), _visuals(spark, sf, e)).select("paper_key", "page", "elem_id", "top")
 
 
 @query("e8_locate_figure", f"WITH {LOC} SELECT * EXCLUDE (num) FROM lf")
@@ -116,8 +124,9 @@ gb AS (SELECT paper_key, page, elem_id, arg_max(box, step) AS box, any_value(cy0
 
 @query("e9_grow_labels", f"WITH {GROWN} SELECT paper_key, page, elem_id, greatest(0.0, box[1] - 3) AS fx0, greatest(0.0, box[2] - 3) AS fy0, least(page_w, box[3] + 3) AS fx1, least(page_h, least(box[4] + 3, cy0 - 1)) AS fy1 FROM gb")
 def e9(spark, sf):
-    b = _blocks(spark, sf)
-    grown = boxes.grow_labels(_located(spark, sf, b), b)
+    e = _elements(spark, sf)
+    b = _blocks(spark, sf, e)
+    grown = boxes.grow_labels(_located(spark, sf, e, b), b)
     return grown.select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
 
 
@@ -130,10 +139,11 @@ g1 AS (SELECT r.paper_key, r.page, r.elem_id, greatest(0.0, bx0 + 6) AS fx0, gre
 def e10(spark, sf):
     big = (F.col("elem_type") == "image") & (F.col("elem_id") % 2 == 0)
     pick = lambda c, v: F.when(big, v).otherwise(F.col(c))
-    scans = view(spark, sf, "fx_elements").withColumns({"x0": pick("x0", 2.0), "y0": pick("y0", 5.0), "x1": pick("x1", 610.0), "y1": pick("y1", 790.0)})
-    b = _blocks(spark, sf)
-    regions = stored_pages(_regions(spark, sf, b, stored_pages(_visuals(spark, sf), "visuals")), "regions", placed=True)
-    return E.locate_by_text_gap(regions, b, stored_pages(E.visual_rects(scans), "scans")).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
+    e = _elements(spark, sf)
+    scans = e.withColumns({"x0": pick("x0", 2.0), "y0": pick("y0", 5.0), "x1": pick("x1", 610.0), "y1": pick("y1", 790.0)})
+    b = _blocks(spark, sf, e)
+    regions = stored_pages(_regions(spark, sf, b, _visuals(spark, sf, e)), "regions", placed=True)
+    return E.locate_by_text_gap(regions, b, E.visual_rects(scans)).select("paper_key", "page", "elem_id", "fx0", "fy0", "fx1", "fy1")
 
 
 @query("e11_page_lines", "SELECT paper_key, page, block, line, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, coalesce(max(gap), 0.0) AS max_gap, string_agg(word, ' ' ORDER BY x0, word_no) AS text FROM (SELECT *, lead(x0) OVER (PARTITION BY paper_key, page, block, line ORDER BY x0, word_no) - x1 AS gap FROM fx_words) GROUP BY paper_key, page, block, line")
@@ -141,10 +151,10 @@ def e11(spark, sf):
     return E.page_lines(view(spark, sf, "fx_words"))
 
 
-def _rules(spark, sf):
+def _rules(spark, sf, elements=None):
     """Every third drawing flattened to a rule."""
     thin = F.when(F.col("elem_id") % 3 == 0, F.col("y0") + 1.5).otherwise(F.col("y1"))
-    return E.page_rules(view(spark, sf, "fx_elements").filter("elem_type = 'draw'").withColumn("y1", thin))
+    return E.page_rules((elements or view(spark, sf, "fx_elements")).filter("elem_type = 'draw'").withColumn("y1", thin))
 
 
 @query("e12_page_rules", "SELECT paper_key, page, elem_id FROM fx_elements WHERE elem_type = 'draw' AND elem_id % 3 = 0 AND x1 - x0 >= 30")
@@ -173,8 +183,8 @@ w8 AS (SELECT * REPLACE (list_reduce(list_filter(rules, lambda r: {INB.format('r
 
 @query("e13_locate_table", f"WITH {TABLES} SELECT paper_key, page, elem_id, 'table' AS kind, num, box[1] - 3 AS fx0, box[2] - 3 AS fy0, box[3] + 3 AS fx1, box[4] + 3 AS fy1, len(rules) AS n_drawings FROM w8 WHERE box[3] - box[1] + 6 >= 60 AND box[4] - box[2] + 6 >= 18")
 def e13(spark, sf):
-    words, rules = stored_pages(view(spark, sf, "fx_words"), "words"), stored_pages(_rules(spark, sf), "rules")
-    return boxes.locate_table(_captions(spark, sf), E.page_lines(words), rules)
+    e, words = _elements(spark, sf), stored_pages(view(spark, sf, "fx_words"), "words")
+    return boxes.locate_table(_captions(spark, sf, _blocks(spark, sf, e)), E.page_lines(words), _rules(spark, sf, e))
 
 
 @query("e14_assign_fig_ids", f"WITH {LOC} SELECT paper_key || '__p' || page || '__fig' || num AS fig_id, elem_id FROM (SELECT *, row_number() OVER (PARTITION BY paper_key, page, regexp_replace(num, '[^0-9A-Za-z.]+', '', 'g') ORDER BY elem_id) AS n FROM lf) WHERE n = 1")
