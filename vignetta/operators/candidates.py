@@ -68,7 +68,20 @@ def enrich_by_title(need: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def apply_enrichment(sidecars: DataFrame, hits: DataFrame) -> DataFrame:
     """Sidecars with authors, citations, year and venue of their hit; hits has cat_* columns and cat_authors."""
-    j = sidecars.join(hits, "paper_key", "left")
+    return _enriched(sidecars.join(hits, "paper_key", "left"))
+
+
+def apply_by_arxiv(sidecars: DataFrame, need: DataFrame, catalog: DataFrame) -> DataFrame:
+    """apply_enrichment with the hits of enrich_by_arxiv, for need of one row a paper; catalog also has `authors`.
+
+    Papers meet their id first and the catalog last: however many catalog rows an id has, what they multiply isn't moved again.
+    """
+    hits = catalog.filter("arxiv IS NOT NULL").select("arxiv", *[F.col(c).alias(f"cat_{c}") for c in ("title", "citations", "year", "venue", "authors")])
+    asked = sidecars.join(need.filter("arxiv_id <> ''").select("paper_key", "arxiv_id"), "paper_key", "left")
+    return _enriched(asked.join(hits, C.same_or_spread(F.col("arxiv_id"), F.col("paper_key"), F.col("arxiv")), "left"))
+
+
+def _enriched(j: DataFrame) -> DataFrame:
     hit = F.col("cat_title").isNotNull()
     short = (F.col("title") == "") | (F.length("title") < 8)
     return j.select(

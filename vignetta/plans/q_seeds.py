@@ -170,8 +170,8 @@ def z6(spark, sf):
  CASE WHEN cat_title IS NOT NULL THEN 'X Y' ELSE replace(authors_csv, ';', '|') END AS authors, CASE WHEN cat_title IS NOT NULL THEN cat_citations ELSE s.citations END AS citations,
  CASE WHEN cat_title IS NOT NULL AND year_hint = '' THEN CAST(cat_year AS VARCHAR) ELSE s2_year END AS s2_year, cat_venue AS s2_venue FROM fx_sidecars s LEFT JOIN ha USING (paper_key)""")
 def z7(spark, sf):
-    hits = Z.enrich_by_arxiv(_need(spark, sf), view(spark, sf, "fx_candidates")).select("paper_key", "cat_title", "cat_citations", "cat_year", "cat_venue", F.array(F.lit("X Y"), F.lit("")).alias("cat_authors"))
-    return Z.apply_enrichment(_sidecars(spark, sf), hits).withColumn("authors", F.array_join("authors", "|"))
+    catalog = view(spark, sf, "fx_candidates").withColumn("authors", F.array(F.lit("X Y"), F.lit("")))
+    return Z.apply_by_arxiv(_sidecars(spark, sf), _need(spark, sf), catalog).withColumn("authors", F.array_join("authors", "|"))
 
 
 @query("z8_enrich_report", f"WITH {STUDIES} SELECT count(*) AS need, count(*) FILTER (paper_key IN (SELECT paper_key FROM ha)) AS by_id, count(*) FILTER (paper_key IN (SELECT paper_key FROM ht)) AS by_title, count(*) FILTER (paper_key NOT IN (SELECT paper_key FROM ha) AND paper_key NOT IN (SELECT paper_key FROM ht)) AS missing FROM n")
