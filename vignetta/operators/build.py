@@ -149,11 +149,18 @@ def site_numbers(papers: DataFrame, figures: DataFrame) -> DataFrame:
 
 
 def n_originals(figures: DataFrame) -> DataFrame:
-    """Figures as they stand in the papers: whole ones, and once each composite whose panels are shown."""
-    parents = figures.filter("parent IS NOT NULL").select("paper_key", F.col("parent").alias("fig_id")).distinct()
-    lone = parents.join(figures.select("paper_key", "fig_id"), ["paper_key", "fig_id"], "left_anti")
-    both = figures.filter("parent IS NULL").select("paper_key").unionAll(lone.select("paper_key"))
-    return both.agg(F.count("*").alias("n_figures"))
+    """Figures as they stand in the papers: whole ones, and once each composite whose panels are shown.
+
+    One grouping by id: every row stands under its own id, panels also under their parent's; a parent that is no row's own id is a composite.
+    """
+    entry = lambda c, parent, whole: F.struct(c.alias("id"), parent.alias("parent"), whole.cast("long").alias("whole"))
+    panel = F.col("parent").isNotNull()
+    entries = F.array(entry(F.col("fig_id"), F.lit(False), ~panel), F.when(panel, entry(F.col("parent"), F.lit(True), F.lit(False))))
+    rows = figures.select("paper_key", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("paper_key", "e.*")
+    ids = rows.groupBy("paper_key", "id").agg(F.sum("whole").alias("whole"), F.max("parent").alias("named"), F.min("parent").alias("unknown"))
+    # ids of a null paper equal none
+    lone = F.col("named") & (F.col("unknown") | F.col("paper_key").isNull())
+    return ids.agg((F.coalesce(F.sum("whole"), F.lit(0)) + F.count_if(lone)).alias("n_figures"))
 
 
 def data_updated(files: DataFrame) -> DataFrame:
