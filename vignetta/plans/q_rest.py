@@ -209,7 +209,8 @@ def _records(spark, sf):
 @query("s2_read_index", "SELECT p.paper_key, pdf_title AS title, count(*) AS n, min(f.pos) - 1 AS first FROM fx_papers p JOIN fx_figures f USING (paper_key) WHERE error IS NULL GROUP BY 1, 2")
 def s2(spark, sf):
     path = shared_path(spark, "index")
-    _records(spark, sf).write.json(path)
+    # a compressed file can't be read in parts, so none gets long
+    _records(spark, sf).write.option("maxRecordsPerFile", 100_000).json(path, compression="gzip")
     papers, figs = readers.read_index(spark, path, lines=True)
     seen = figs.groupBy("paper_key").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
     return papers.select("paper_key", "meta.title").join(seen, "paper_key")
