@@ -148,29 +148,35 @@ def v4(spark, sf):
     return V.newest_records(spark, path).select("record_key", "seq")
 
 
-def _figure(moved):
+def _figure(x, moved):
     """A figure as an extraction gives it; with moved, those it finds a page further on have another id."""
     null = lambda t: F.lit(None).cast(t)
     return F.struct(
-        F.col("pos").cast("long").alias("pos"), F.when(moved, F.concat("fig_id", F.lit("x"))).otherwise(F.col("fig_id")).alias("fig_id"), (F.col("page") + F.when(moved, 1).otherwise(0)).cast("long").alias("page"), "num",
+        x["pos"].cast("long").alias("pos"), F.when(moved, F.concat(x["fig_id"], F.lit("x"))).otherwise(x["fig_id"]).alias("fig_id"), (x["page"] + F.when(moved, 1).otherwise(0)).cast("long").alias("page"), x["num"].alias("num"),
         null("string").alias("v_category"), null("string").alias("v_chart_type"), null("array<string>").alias("v_tags"), null("string").alias("v2_category"), null("string").alias("parent"), null("array<string>").alias("panels"),
     )
 
 
 def record_events(spark, sf):
-    """Three waves of events on papers: extractions, labels, extractions of stored files again, and labels again."""
-    f = view(spark, sf, "fx_figures")
-    per = lambda one, rows=f: rows.groupBy("paper_key").agg(F.collect_list(one).alias("_list"))
-    label = lambda cat, kind: F.struct("fig_id", cat.alias("category"), kind.alias("chart_type"), F.array(F.lit("t")).alias("tags"))
-    papers = view(spark, sf, "fx_papers").select("paper_key", F.col("pdf_mtime").alias("mtime"), "extractor_version", "dpi", "error")
-    stored = view(spark, sf, "fx_pdfs").select("paper_key", "mtime", F.lit(5).alias("extractor_version"), F.lit(300).alias("dpi"), F.lit(None).cast("string").alias("error"))
-    full = lambda df, seq, kind: df.withColumns({"seq": F.lit(seq).cast("long"), "kind": F.lit(kind)})
-    found = lambda df, moved, seq: full(df.join(per(_figure(moved)), "paper_key").withColumnRenamed("_list", "figures"), seq, V.EXTRACTED)
-    said = lambda one, rows, seq: full(per(one, rows).withColumnRenamed("_list", "labels"), seq, V.LABELLED)
+    """Three waves of events on papers: extractions, labels, extractions of stored files again, and labels again.
+
+    Figures are gathered by paper once and stored beside what is known of the paper and its file; the waves are projections of that.
+    """
+    figs = view(spark, sf, "fx_figures").groupBy("paper_key").agg(F.collect_list(F.struct("pos", "fig_id", "page", "num", "v_category", "v_chart_type")).alias("list"))
+    papers = view(spark, sf, "fx_papers").select("paper_key", F.struct(F.col("pdf_mtime").alias("mtime"), "extractor_version", "dpi", "error").alias("paper"))
+    stored = view(spark, sf, "fx_pdfs").select("paper_key", F.struct("mtime", F.lit(5).alias("extractor_version"), F.lit(300).alias("dpi"), F.lit(None).cast("string").alias("error")).alias("file"))
+    rows = saved(figs.join(papers, "paper_key", "left").join(stored, "paper_key", "left"), "paper-figures")
+    event = lambda df, seq, kind: df.withColumns({"seq": F.lit(seq).cast("long"), "kind": F.lit(kind)})
+    found = lambda what, moved, seq: event(rows.filter(F.col(what).isNotNull()).select("paper_key", f"{what}.*", F.transform("list", lambda x: _figure(x, moved(x))).alias("figures")), seq, V.EXTRACTED)
+
+    def said(which, category, chart_type, seq):
+        label = lambda x: F.struct(x["fig_id"].alias("fig_id"), category(x).alias("category"), chart_type(x).alias("chart_type"), F.array(F.lit("t")).alias("tags"))
+        return event(rows.select("paper_key", F.transform(F.filter("list", which), label).alias("labels")).filter("size(labels) > 0"), seq, V.LABELLED)
+
     return [
-        found(papers, F.lit(False), 1),
-        said(label(F.coalesce("v_category", F.lit("data")), F.coalesce("v_chart_type", F.lit(""))), f.filter("pos % 4 = 1"), 2),
-        found(stored, F.col("pos") % 5 == 0, 3).unionByName(said(label(F.lit("table"), F.lit("")), f.filter("pos % 6 = 2"), 4), allowMissingColumns=True),
+        found("paper", lambda x: F.lit(False), 1),
+        said(lambda x: x["pos"] % 4 == 1, lambda x: F.coalesce(x["v_category"], F.lit("data")), lambda x: F.coalesce(x["v_chart_type"], F.lit("")), 2),
+        found("file", lambda x: x["pos"] % 5 == 0, 3).unionByName(said(lambda x: x["pos"] % 6 == 2, lambda x: F.lit("table"), lambda x: F.lit(""), 4), allowMissingColumns=True),
     ]
 
 
@@ -179,10 +185,11 @@ g AS (SELECT f.*, p.error, pl.paper_key IS NOT NULL AS again, pl.paper_key IS NO
 SELECT paper_key, CASE WHEN moved THEN fig_id || 'x' ELSE fig_id END AS fig_id, CASE WHEN moved THEN page + 1 ELSE page END AS page, CASE WHEN moved THEN NULL WHEN pos % 6 = 2 THEN 'table' WHEN pos % 4 = 1 AND error IS NULL THEN coalesce(v_category, 'data') END AS v_category,
  CASE WHEN moved THEN NULL WHEN pos % 6 = 2 THEN '' WHEN pos % 4 = 1 AND error IS NULL THEN coalesce(v_chart_type, '') END AS v_chart_type FROM g""")
 def v4_maintain(spark, sf):
-    events, path = shared_path(spark, "events"), shared_path(spark, "index")
+    events, path, state = shared_path(spark, "events"), shared_path(spark, "index"), shared_path(spark, "index-state")
     for wave in record_events(spark, sf):
-        V.as_events(wave).repartition(4).write.mode("append").parquet(events)
-    V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=4), path, shared_path(spark, "index-state")).awaitTermination()
+        # a wave of at most four files is one batch; the stream is taken up again at its checkpoint for each
+        V.as_events(wave).coalesce(4).write.mode("append").parquet(events)
+        V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=4), path, state).awaitTermination()
     return V.index_figures(levels.newest(spark, path, "paper_key")).select("paper_key", "fig_id", "page", "v_category", "v_chart_type")
 
 

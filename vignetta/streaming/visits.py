@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -109,21 +112,22 @@ def index_figures(records: DataFrame) -> DataFrame:
     return records.select("paper_key", F.inline("figures"))
 
 
-def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300) -> DataFrame:
+def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The records that a batch of events changes, given the current records of its papers.
 
     A paper's newest extraction counts, and only if the current record is missing, failed, or of another file, version or resolution; its
     figures take the labels of the old ones on the same page and number. Labels go to figures by id: those from before the
-    extraction to the old figures, later ones to the new. Labels of unknown papers or figures are ignored.
+    extraction to the old figures, later ones to the new. Labels of unknown papers or figures are ignored. `keep` is asked to hold what is
+    used several times.
     """
     newest = F.max_by(F.struct("seq", "mtime", "extractor_version", "dpi", "error", "figures"), "seq").alias("e")
     arrived = events.filter(F.col("kind") == EXTRACTED).groupBy("paper_key").agg(newest).select("paper_key", "e.*")
-    plan = extract_plan(arrived.withColumnsRenamed({"dpi": "e_dpi", "extractor_version": "e_version", "error": "e_error"}), current, version, dpi)
+    plan = keep(extract_plan(arrived.withColumnsRenamed({"dpi": "e_dpi", "extractor_version": "e_version", "error": "e_error"}), current, version, dpi))
     labels = events.filter(F.col("kind") == LABELLED).select("paper_key", "seq", F.inline("labels"))
     when = labels.join(plan.select("paper_key", F.col("seq").alias("_at")), "paper_key", "left")
     early = when.filter("_at IS NULL OR seq < _at").drop("_at", "paper_key")
     late = when.filter("seq > _at").drop("_at", "paper_key")
-    old = write_back(index_figures(current), early)
+    old = keep(write_back(index_figures(current), early))
     found = plan.filter("e_error IS NULL").select("paper_key", F.inline("figures"))
     replaced = plan.select("paper_key")
     fresh = write_back(carry_labels(old.join(replaced, "paper_key", "left_semi").select(*found.columns), found), late)
@@ -139,7 +143,7 @@ def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRA
 def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the levelled table of index records `path` (levels.newest by paper_key) up to date with a stream of events (EVENT_SCHEMA).
 
-    Each batch reads the current records of its papers, merges, and stores what has changed. An interrupted batch is run again from the
+    Each batch reads the current records of its papers once, merges, and stores what has changed. An interrupted batch is run again from the
     checkpoint; one that had been stored by then is passed over, so finished work is kept and nothing is applied twice.
     """
 
@@ -149,7 +153,17 @@ def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
             return
         papers = events.select("paper_key").distinct()
         known = levels.folders(spark, path)
-        current = levels.newest(spark, path, "paper_key").join(papers, "paper_key", "left_semi") if known else spark.createDataFrame([], _RECORD)
-        levels.put(merged_records(events, current), path, batch, "paper_key")
+        held: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.persist(StorageLevel.DISK_ONLY))
+            return held[-1]
+
+        try:
+            current = keep(levels.newest(spark, path, "paper_key").join(papers, "paper_key", "left_semi")) if known else spark.createDataFrame([], _RECORD)
+            levels.put(merged_records(events, current, keep=keep), path, batch, "paper_key")
+        finally:
+            for df in held:
+                df.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
