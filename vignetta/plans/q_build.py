@@ -179,7 +179,8 @@ sj AS (SELECT paper_key, list({{{_FIELDS}, 'extra': {{{_EXTRA}, 'dpi': coalesce(
  FROM sx JOIN mt USING (paper_key) GROUP BY paper_key)
 SELECT mt.paper_key, to_json({{'title': title, 'authors': CASE WHEN authors_csv = '' THEN [] ELSE string_split(authors_csv, ';')[1:6] END}}) AS meta, coalesce(to_json(figs), '[]') AS figures FROM mt LEFT JOIN sj USING (paper_key)""")
 def b18(spark, sf):
-    f = figures(spark, sf).withColumns({c: F.expr(e) for c, e in SLIM.items()})
+    # figures are dealt by paper before paths and nested fields are made of them
+    f = figures(spark, sf).withColumn("thumb_md5", F.substring("thumb_md5", 1, 8)).repartition("paper_key").withColumns({c: F.expr(e) for c, e in SLIM.items()})
     keep = {"ignoreNullFields": "false"}
     slim = B.slim_index(_meta(spark, sf), f)
     return slim.select("paper_key", F.to_json(F.struct("title", "authors"), keep).alias("meta"), F.to_json("figures", keep).alias("figures"))
