@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,16 @@ def with_area(papers: DataFrame) -> DataFrame:
     return joined.withColumn("area", F.coalesce(C.blank_to_null(F.col("_area")), fallback)).drop("_area")
 
 
-def resolve_meta(papers: DataFrame, sidecars: DataFrame) -> DataFrame:
+def best_meta(papers: DataFrame, sidecars: DataFrame) -> DataFrame:
     """One row per good paper: the best title, year, venue and id over sidecar and PDF, and where it came from."""
     s = sidecars.select("paper_key", *[F.col(c).alias(f"s_{c}") for c in ("title", "published", "venue_hint", "year_hint", "s2_year", "note", "url", "authors", "citations")], F.lit(True).alias("has_side"))
+    # made before the join, so that the source alone doesn't move note and url
+    s = s.withColumn("s_source", C.source_of(F.lit(True), F.col("s_note"), F.col("s_url")))
     j = papers.filter("error IS NULL").join(s, "paper_key", "left")
     blank = C.blank_to_null
     has = F.coalesce("has_side", F.lit(False))
-    note, url = F.coalesce("s_note", F.lit("")), F.coalesce("s_url", F.lit(""))
     full_id = F.col("paper_key").rlike(r"^\d{4}\.\d{4,5}(v\d+)?$")
-    out = j.select(
+    return j.select(
         "paper_key",
         F.coalesce(blank(F.col("s_title")), "pdf_title", F.lit("")).alias("title"),
         F.coalesce(blank(F.col("s_year_hint")), blank(F.substring("s_published", 1, 4)), blank(F.col("pdf_year")), blank(F.col("s_s2_year")), F.lit("")).alias("year"),
@@ -44,11 +47,18 @@ def resolve_meta(papers: DataFrame, sidecars: DataFrame) -> DataFrame:
         F.coalesce("s_authors", F.array().cast("array<string>")).alias("authors"),
         F.coalesce("s_citations", F.lit(0)).alias("citations"),
         F.coalesce(blank(F.col("pdf_arxiv_id")), F.when(has & full_id, F.col("paper_key")), F.lit("")).alias("arxiv_id"),
-        note.alias("note"), url.alias("url"), C.source_of(has, note, url).alias("source"), "dpi",
+        F.coalesce("s_note", F.lit("")).alias("note"), F.coalesce("s_url", F.lit("")).alias("url"), F.coalesce("s_source", F.lit("local")).alias("source"), "dpi",
     )
-    out = out.withColumn("award_rank", C.award_rank(F.col("note"), F.col("source")))
+
+
+def with_award(papers: DataFrame) -> DataFrame:
     rank, text = F.col("award_rank"), F.col("note")
-    return with_area(out.withColumns({"award_zh": C.award_label(rank, text, False), "award_en": C.award_label(rank, text)}))
+    return papers.withColumn("award_rank", C.award_rank(text, F.col("source"))).withColumns({"award_zh": C.award_label(rank, text, False), "award_en": C.award_label(rank, text)})
+
+
+def resolve_meta(papers: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Good papers with their best metadata, award and area."""
+    return with_area(with_award(best_meta(papers, sidecars)))
 
 
 def hide_composites(figures: DataFrame) -> DataFrame:
@@ -64,6 +74,12 @@ def dedupe_images(figures: DataFrame) -> DataFrame:
     return kept.withColumns({"ratio": ratio, "density": F.bround(ratio, 1), "v": F.substring("thumb_md5", 1, 8)})
 
 
+def count_images(figures: DataFrame) -> DataFrame:
+    """How many figures of each paper dedupe_images keeps; moves keys and hashes once, in no order."""
+    hashes = figures.select("paper_key", "thumb_md5").repartition("paper_key").groupBy("paper_key", "thumb_md5").agg(F.count("*").alias("_n"))
+    return hashes.groupBy("paper_key").agg(F.sum(F.when(F.col("thumb_md5").isNull(), F.col("_n")).otherwise(1)).alias("n_figs"))
+
+
 def hash_delta(thumbs: DataFrame, cache: DataFrame) -> DataFrame:
     """Thumbnails (name, mtime) whose name and whole second aren't in the cache (key)."""
     key = F.concat("name", F.lit(":"), F.floor("mtime").cast("string"))
@@ -112,30 +128,39 @@ def asset_urls(figures: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumns({"thumb": F.concat(F.lit("figs/"), "fig_id", F.lit(".thumb"), ext("t"), q), "full": F.concat(F.lit("figs/"), "fig_id", ext("f"), q)}).drop("t_webp", "t_png", "f_webp", "f_png")
 
 
-def fold_by_title(papers: DataFrame) -> DataFrame:
-    """Of papers with one normalised title the copy with most figures, then curated ones, then file-name order.
+def first_of_title(papers: DataFrame) -> DataFrame:
+    """Of papers with one normalised title the copy with most figures, then curated ones, then file-name order; with its number of figures.
 
     Only keys and counts go through the window; blank titles fall back to the paper's own key.
     """
     key = F.coalesce(C.blank_to_null(C.title_key(F.col("title"))), F.col("paper_key"))
     order = Window.partitionBy("fold_key").orderBy(F.desc("n_figs"), F.desc(F.col("source") == "seed"), F.concat("paper_key", F.lit(".json")))
     small = papers.select("paper_key", "source", "n_figs", key.alias("fold_key"))
-    return small.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("paper_key", "fold_key")
+    return small.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("paper_key", "fold_key", "n_figs")
+
+
+def fold_by_title(papers: DataFrame) -> DataFrame:
+    return first_of_title(papers).drop("n_figs")
+
+
+def choose_papers(papers: DataFrame, sidecars: DataFrame, figures: DataFrame) -> DataFrame:
+    """(paper_key, n_figs) of papers that stay; title, source and number of figures decide, so no other column is made or moved."""
+    counted = best_meta(papers, sidecars).select("paper_key", "title", "source").join(count_images(hide_composites(figures)), "paper_key")
+    return first_of_title(counted).select("paper_key", "n_figs").distinct()
 
 
-def load_index(papers: DataFrame, sidecars: DataFrame, figures: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_index(papers: DataFrame, sidecars: DataFrame, figures: DataFrame, files: DataFrame, figures_of: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Papers and figures of the gallery.
 
-    Papers and deduplicated figures are stored once, because each is used for the counts and again for the result; the text rules run only on
-    figures of papers that stay.
+    The papers that stay are found first; metadata, the removal of repeated pictures and the text rules run on their rows only. Papers and deduplicated figures
+    are stored once, because callers use them several times. `figures_of` reads the figures of given papers (paper_key) from a source that can leave out others early.
     """
-    meta = saved(resolve_meta(papers, sidecars), "gallery-papers")
-    figs = saved(dedupe_images(hide_composites(figures.join(meta.select("paper_key"), "paper_key", "left_semi"))), "gallery-figures")
-    counts = figs.groupBy("paper_key").agg(F.count("*").alias("n_figs"))
-    meta = meta.join(counts, "paper_key")
-    kept = saved(meta.join(fold_by_title(meta).select("paper_key"), "paper_key", "left_semi"), "gallery-kept")
-    figs = figs.join(kept.select("paper_key"), "paper_key", "left_semi")
-    return kept, asset_urls(chart_guess(rewrite_panel_captions(reconcile_kind(overlay_second_opinion(figs)))), files)
+    chosen = saved(choose_papers(papers, sidecars, figures), "gallery-chosen")
+    key = chosen.select("paper_key")
+    stay = lambda df: df.join(key, "paper_key", "left_semi")
+    meta = saved(with_award(best_meta(stay(papers), stay(sidecars))).join(chosen, "paper_key"), "gallery-papers")
+    figs = saved(dedupe_images(hide_composites(figures_of(key) if figures_of else stay(figures))), "gallery-figures")
+    return with_area(meta), asset_urls(chart_guess(rewrite_panel_captions(reconcile_kind(overlay_second_opinion(figs)))), files)
 
 
 def site_numbers(papers: DataFrame, figures: DataFrame) -> DataFrame:

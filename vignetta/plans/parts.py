@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import lookups as L
-from ..sources.fixtures import view
+from ..sources.fixtures import base, view
 
 PRED = ("bar", "line", "other", "x:method", "x:table")
 
@@ -17,9 +17,15 @@ def sidecars(spark, sf) -> DataFrame:
     return s.withColumn("authors", F.when(F.col("authors_csv") == "", F.array().cast("array<string>")).otherwise(F.split("authors_csv", ";")))
 
 
-def figures(spark, sf) -> DataFrame:
-    """Whole figures with caption kind, a prediction for five in six, and the panels of those that split."""
-    f = view(spark, sf, "fx_figures")
+def lines_of(spark, sf, papers: DataFrame) -> DataFrame:
+    """Lines that figures of papers (paper_key) are made of; the view's window takes a paper's lines, so the others are left out before it."""
+    lines = base(spark, sf, "lineitem")
+    return lines.join(papers, F.concat(F.lit("o"), lines["l_orderkey"].cast("string")) == papers["paper_key"], "left_semi")
+
+
+def figures(spark, sf, papers: DataFrame | None = None) -> DataFrame:
+    """Whole figures, of all papers or of some, with caption kind, a prediction for five in six, and the panels of those that split."""
+    f = view(spark, sf, "fx_figures", **({} if papers is None else {"lineitem": lines_of(spark, sf, papers)}))
     kind = F.when(F.col("fig_id").contains("__tab"), "table").otherwise(C.caption_kind(F.col("caption"), F.col("num"), F.col("page"), F.col("has_raster"), F.col("n_drawings")))
     label = None
     for i, p in enumerate(PRED):

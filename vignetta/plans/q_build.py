@@ -36,7 +36,10 @@ FILES = "fl AS (SELECT fig_id, true AS is_thumb, CASE WHEN n_drawings % 5 = 0 TH
 
 
 def _index(spark, sf):
-    return B.load_index(view(spark, sf, "fx_papers"), sidecars(spark, sf), with_panels(figures(spark, sf)), _files(spark, sf))
+    return B.load_index(
+        view(spark, sf, "fx_papers"), sidecars(spark, sf), with_panels(figures(spark, sf)), _files(spark, sf),
+        figures_of=lambda papers: with_panels(figures(spark, sf, papers)),
+    )
 
 
 DEDUP = "dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_key, thumb_md5 ORDER BY pos) AS rn FROM sh WHERE paper_key IN (SELECT paper_key FROM mt)) WHERE rn = 1 OR thumb_md5 IS NULL)"

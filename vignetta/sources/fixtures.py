@@ -129,10 +129,10 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the tables in sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, **rows: DataFrame) -> DataFrame:
+    """One of VIEWS over the tables in sf_dir; `rows` gives other rows for some of them."""
     sql = with_views(f"SELECT * FROM {name}")
     for t in BASE:
         if re.search(rf"\b{t}\b", sql):
-            base(spark, sf_dir, t).createOrReplaceTempView(t)
+            (rows[t] if t in rows else base(spark, sf_dir, t)).createOrReplaceTempView(t)
     return spark.sql(sql)
