@@ -130,3 +130,23 @@ def test_levels_keep_the_newest_and_pass_over_unfinished_folders(spark, tmp_path
     row(99).write.parquet(f"{path}/level=3/batch=99")
     (tmp_path / "t/level=3/batch=99/_SUCCESS").unlink()
     assert {r["k"]: r["v"] for r in levels.newest(spark, path, "k").collect()} == want
+
+
+def test_levels_in_buckets_are_the_same_known_or_not(spark, tmp_path):
+    path = str(tmp_path / "t")
+    row = lambda n: spark.createDataFrame([(f"k{k}", n) for k in range(n % 3 + 1)], "k string, v long").repartition(3, "k")
+    found = lambda df: {r["k"]: r["v"] for r in df.collect()}
+    asked = spark.createDataFrame([("k0",), ("k2",), ("none",)], "k string")
+    want = {}
+    for n in range(11):
+        row(50 + n).limit(2).write.parquet(f"{path}/level=0/batch={n}")  # a write that was killed
+        (tmp_path / f"t/level=0/batch={n}/_SUCCESS").unlink()
+        levels.put(row(n), path, n, "k", buckets=3)
+        levels.put(row(n + 1), path, n, "k", buckets=3)  # the same batch again
+        want |= {f"k{k}": n for k in range(n % 3 + 1)}
+        if n % 4 == 1:  # as in another application
+            spark.sql(f"DROP TABLE {levels._table(path, 0, n)}")
+        assert found(levels.newest(spark, path, "k")) == want
+        got = levels.with_newest(asked, path, "k", "at", row(0).select("v").schema)
+        assert {r["k"]: r["at"] and r["at"]["v"] for r in got.collect()} == {k: want.get(k) for k in ("k0", "k2", "none")}
+    assert len(levels.folders(spark, path)) <= 2 * levels.FANOUT

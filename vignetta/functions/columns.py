@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -41,6 +42,13 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def last_of(xs: Column, holds: Callable[[Column], Column]) -> Column:
+    """The last element of an array that a condition holds for, null if there is none; it must hold for a first part of the array, whose end is found by halving."""
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    at = F.aggregate(F.sequence(F.length(F.bin(F.size(xs))), F.lit(0), F.lit(-1)), F.lit(0), lambda n, k: F.when((n + step(k) <= F.size(xs)) & holds(F.get(xs, n + step(k) - 1)), n + step(k)).otherwise(n))
+    return F.get(xs, at - 1)
+
+
 def same_or_spread(key: Column, own: Column, other: Column) -> Column:
     """The join condition key = other, under which rows without a key, which match nothing, are dealt by `own` and not all to one task."""
     return (key == other) & (F.coalesce(key, own) == other)

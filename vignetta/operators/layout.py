@@ -199,11 +199,16 @@ def paper_meta(pages: DataFrame, largest: DataFrame | None = None) -> DataFrame:
     )
 
 
+def is_fresh(record: Column, mtime: Column, version: int, dpi: int) -> Column:
+    """Whether a record (null if there is none) is a good one of the file of that time, of this version and resolution."""
+    fresh = record["error"].isNull() & (F.abs(record["pdf_mtime"] - mtime) < 1) & (record["extractor_version"] == version) & (record["dpi"] == dpi)
+    return F.coalesce(record.isNotNull() & fresh, F.lit(False))
+
+
 def extract_plan(files: DataFrame, index: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300, force: bool = False) -> DataFrame:
     """Stored papers to process: no good record, another file time, another version or resolution."""
-    j = files.join(index.select("paper_key", "error", "pdf_mtime", "extractor_version", F.col("dpi").alias("i_dpi"), F.lit(True).alias("has")), "paper_key", "left")
-    fresh = F.col("has") & F.col("error").isNull() & (F.abs(F.col("pdf_mtime") - F.col("mtime")) < 1) & (F.col("extractor_version") == version) & (F.col("i_dpi") == dpi)
-    return j.filter(F.lit(force) | ~F.coalesce(fresh, F.lit(False))).select(*files.columns)
+    j = files.join(index.select("paper_key", F.struct("error", "pdf_mtime", "extractor_version", "dpi").alias("_record")), "paper_key", "left")
+    return j.filter(F.lit(force) | ~is_fresh(F.col("_record"), F.col("mtime"), version, dpi)).select(*files.columns)
 
 
 def pdf_inventory(dirs: list[DataFrame]) -> DataFrame:

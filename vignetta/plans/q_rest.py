@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import panels as X
-from ..session import saved, shared_path
+from ..session import keep_until_exit, remove, saved, shared_path, shuffles_removed
 from ..sources import readers, writers
 from ..sources.fixtures import base, view
 from ..streaming import levels
@@ -160,12 +160,19 @@ def _figure(x, moved):
 def record_events(spark, sf):
     """Three waves of events on papers: extractions, labels, extractions of stored files again, and labels again.
 
-    Figures are gathered by paper once and stored beside what is known of the paper and its file; the waves are projections of that.
+    Figures are gathered by paper once and stored beside what is known of the paper and its file; the waves are projections of that. They are
+    stored once before they are gathered, so that the rows dealt by order are gone before rows are dealt by paper.
     """
-    figs = view(spark, sf, "fx_figures").groupBy("paper_key").agg(F.collect_list(F.struct("pos", "fig_id", "page", "num", "v_category", "v_chart_type")).alias("list"))
     papers = view(spark, sf, "fx_papers").select("paper_key", F.struct(F.col("pdf_mtime").alias("mtime"), "extractor_version", "dpi", "error").alias("paper"))
     stored = view(spark, sf, "fx_pdfs").select("paper_key", F.struct("mtime", F.lit(5).alias("extractor_version"), F.lit(300).alias("dpi"), F.lit(None).cast("string").alias("error")).alias("file"))
-    rows = saved(figs.join(papers, "paper_key", "left").join(stored, "paper_key", "left"), "paper-figures")
+    figs, path = view(spark, sf, "fx_figures").select("paper_key", "pos", "fig_id", "page", "num", "v_category", "v_chart_type"), shared_path(spark, "figures")
+    with shuffles_removed(spark):
+        figs.write.parquet(path, compression="zstd")
+        # figures move as rows: as lists they are longer
+        dealt = spark.read.schema(figs.schema).parquet(path).repartition("paper_key")
+        lists = dealt.groupBy("paper_key").agg(F.collect_list(F.struct("pos", "fig_id", "page", "num", "v_category", "v_chart_type")).alias("list"))
+        rows = saved(lists.join(papers, "paper_key", "left").join(stored, "paper_key", "left"), "paper-figures", "zstd")
+    remove(spark, path)
     event = lambda df, seq, kind: df.withColumns({"seq": F.lit(seq).cast("long"), "kind": F.lit(kind)})
     found = lambda what, moved, seq: event(rows.filter(F.col(what).isNotNull()).select("paper_key", f"{what}.*", F.transform("list", lambda x: _figure(x, moved(x))).alias("figures")), seq, V.EXTRACTED)
 
@@ -187,9 +194,12 @@ SELECT paper_key, CASE WHEN moved THEN fig_id || 'x' ELSE fig_id END AS fig_id,
 def v4_maintain(spark, sf):
     events, path, state = shared_path(spark, "events"), shared_path(spark, "index"), shared_path(spark, "index-state")
     for wave in record_events(spark, sf):
-        # a wave of at most four files is one batch; the stream is taken up again at its checkpoint for each
-        V.as_events(wave).coalesce(4).write.mode("append").parquet(events)
-        V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=4), path, state).awaitTermination()
+        # a wave is one batch; the stream is taken up again at its checkpoint for each, and a wave's files go when it has been merged
+        V.as_events(wave).write.mode("append").parquet(events, compression="zstd")
+        V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=None), path, state).awaitTermination()
+        remove(spark, events)
+    keep_until_exit(spark, path)
+    keep_until_exit(spark, state)
     return V.index_figures(levels.newest(spark, path, "paper_key")).select("paper_key", "fig_id", "page", "v_category", "v_chart_type")
 
 

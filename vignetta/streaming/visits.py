@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import columns as C
 from ..functions import lookups as L
-from ..operators.labels import write_back
-from ..operators.layout import carry_labels, extract_plan
+from ..operators.layout import is_fresh
+from ..session import shuffles_removed
 from . import levels
 
 COOKIE = r"(^|;\s*)pf_v=1(;|$)"
@@ -65,8 +65,10 @@ def run_new_browsers(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     return new_browsers(stream).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watch(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def watch(spark: SparkSession, path: str, schema, max_files: int | None = 8) -> DataFrame:
+    """A stream of files, max_files of them a batch; without it, all that have come are one batch."""
+    files = spark.readStream.schema(schema)
+    return (files.option("maxFilesPerTrigger", max_files) if max_files else files).parquet(path)
 
 
 def run_counters(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
@@ -112,58 +114,98 @@ def index_figures(records: DataFrame) -> DataFrame:
     return records.select("paper_key", F.inline("figures"))
 
 
-def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def changes_by_paper(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """What a batch of events says of each paper: its newest extraction `e`, their number `n` and all labels, by id and seq. Rows move once, to `parts` partitions."""
+    rows = events.filter("paper_key IS NOT NULL")
+    rows = rows.repartition(parts, "paper_key") if parts else rows
+    extracted = F.col("kind") == EXTRACTED
+    said = F.transform("labels", lambda x: F.struct(x["fig_id"].alias("fig_id"), F.col("seq").alias("seq"), x["category"].alias("category"), x["chart_type"].alias("chart_type"), x["tags"].alias("tags")))
+    return rows.groupBy("paper_key").agg(
+        F.max_by(F.when(extracted, F.struct("seq", "mtime", "extractor_version", "dpi", "error", "figures")), F.when(extracted, F.col("seq"))).alias("e"),
+        F.count_if(extracted).alias("n"),
+        F.sort_array(F.filter(F.flatten(F.collect_list(F.when(F.col("kind") == LABELLED, said))), lambda x: x["fig_id"].isNotNull())).alias("labels"),
+    )
+
+
+def _labelled(figures: Column, labels: Column, before: Column) -> Column:
+    """Figures with the last label of their id (write_back by paper); with `before`, the last of a smaller seq."""
+
+    def last(f: Column) -> Column:
+        x = C.last_of(labels, lambda x: (x["fig_id"] < f["fig_id"]) | ((x["fig_id"] == f["fig_id"]) & F.coalesce(x["seq"] < before, F.lit(True))))
+        return F.transform(F.array(x), lambda x: F.when((x["fig_id"] == f["fig_id"]) & (before.isNull() | x["seq"].isNotNull()) & x["category"].isNotNull(), x))[0]
+
+    named = lambda f, x: f.withField("v_category", x["category"]).withField("v_chart_type", x["chart_type"]).withField("v_tags", x["tags"])
+    return F.when(F.size(labels) > 0, F.zip_with(figures, F.transform(figures, last), lambda f, x: F.when(x.isNull(), f).otherwise(named(f, x)))).otherwise(figures)
+
+
+def _carried(old: Column, new: Column) -> Column:
+    """New figures with what the old one on their page and number has (carry_labels by paper), as (f, own); own says that it has panels and the same id. `old` is in order of (page, num, pos)."""
+
+    def last(f: Column) -> Column:
+        x = C.last_of(old, lambda x: (x["page"] < f["page"]) | ((x["page"] == f["page"]) & (x["num"] <= f["num"])))
+        return F.transform(F.array(x), lambda x: F.when((x["page"] == f["page"]) & (x["num"] == f["num"]), x["f"]))[0]
+
+    def carry(f: Column, x: Column) -> Column:
+        known, own = x["v_category"].isNotNull(), F.coalesce(x["panels"].isNotNull() & (x["fig_id"] == f["fig_id"]), F.lit(False))
+        pick = {c: F.when(known, x[c]).otherwise(f[c]) for c in ("v_category", "v_chart_type", "v_tags")} | {"v2_category": F.coalesce(x["v2_category"], f["v2_category"]), "panels": F.when(own, x["panels"]).otherwise(f["panels"])}
+        return F.struct(reduce(lambda f, c: f.withField(c, pick[c]), pick, f).alias("f"), own.alias("own"))
+
+    alone = lambda f: F.struct(f.alias("f"), F.lit(False).alias("own"))
+    return F.when(F.size(old) > 0, F.zip_with(new, F.transform(new, last), lambda f, x: F.when(x.isNull(), alone(f)).otherwise(carry(f, x)))).otherwise(F.transform(new, alone))
+
+
+def merged_changes(changes: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300) -> DataFrame:
+    """The records that changes_by_paper makes of the current ones, which stand beside them as `record`; see merged_records."""
+    again = (F.col("n") > 0) & ~is_fresh(F.col("record"), F.col("e.mtime"), version, dpi)
+    none = F.array().cast(f"array<{_FIGURE}>")
+    rows = changes.withColumn("again", again).filter("again OR (record IS NOT NULL AND size(labels) > 0)")
+    head = lambda new, old: F.when(F.col("again"), F.col(f"e.{new}")).otherwise(F.col(f"record.{old}")).alias(old)
+    heads = [head("mtime", "pdf_mtime"), head("extractor_version", "extractor_version"), head("dpi", "dpi"), head("error", "error")]
+    found = F.when(F.col("again") & F.col("e.error").isNull(), F.col("e.figures"))
+    rows = rows.select("paper_key", "again", *heads, "labels", F.when(F.col("again"), F.col("e.seq")).alias("since"), F.coalesce("record.figures", none).alias("stored"), F.coalesce(found, none).alias("found"))
+    # each step is worked out once a row, however often the next one looks into it
+    step = lambda rows, name, c: rows.withColumn(name, C.once(c))
+    rows = step(rows, "old", _labelled(F.col("stored"), F.col("labels"), F.col("since")))
+    whole = F.filter("old", lambda f: F.col("again") & f["parent"].isNull() & f["page"].isNotNull() & f["num"].isNotNull())
+    rows = step(rows, "whole", F.sort_array(F.transform(whole, lambda f: F.struct(f["page"].alias("page"), f["num"].alias("num"), f["pos"].alias("pos"), f.alias("f")))))
+    rows = step(rows, "new", _carried(F.col("whole"), F.col("found")))
+    rows = step(rows, "parents", F.sort_array(F.transform(F.filter("new", lambda x: x["own"]), lambda x: x["f"]["fig_id"])))
+    panels = F.filter("old", lambda f: f["parent"].isNotNull() & (C.last_of(F.col("parents"), lambda p: p <= f["parent"]) == f["parent"]))
+    rows = step(rows, "made", F.when(F.col("again"), F.concat(F.transform("new", lambda x: x["f"]), panels)).otherwise(F.col("old")))
+    rows = step(rows, "late", F.filter("labels", lambda x: x["seq"] > F.col("since")))
+    made = _labelled(F.col("made"), F.col("late"), F.lit(None).cast("long"))
+    return rows.select("paper_key", "pdf_mtime", "extractor_version", "dpi", "error", F.sort_array(made).alias("figures"))
+
+
+def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRACTOR_VERSION, dpi: int = 300) -> DataFrame:
     """The records that a batch of events changes, given the current records of its papers.
 
     A paper's newest extraction counts, and only if the current record is missing, failed, or of another file, version or resolution; its
-    figures take the labels of the old ones on the same page and number. Labels go to figures by id: those from before the
-    extraction to the old figures, later ones to the new. Labels of unknown papers or figures are ignored. `keep` is asked to hold what is
-    used several times.
+    figures take the labels of the old ones on the same page and number. Labels go to their paper's figures by id: those from before the
+    extraction to the old figures, later ones to the new. Labels of unknown papers or figures are ignored, as are events without a paper.
+
+    Records hold their figures, so a batch is merged record by record: rows move by paper alone, and a paper's figures are never rows of their own.
     """
-    newest = F.max_by(F.struct("seq", "mtime", "extractor_version", "dpi", "error", "figures"), "seq").alias("e")
-    arrived = events.filter(F.col("kind") == EXTRACTED).groupBy("paper_key").agg(newest).select("paper_key", "e.*")
-    plan = keep(extract_plan(arrived.withColumnsRenamed({"dpi": "e_dpi", "extractor_version": "e_version", "error": "e_error"}), current, version, dpi))
-    labels = events.filter(F.col("kind") == LABELLED).select("paper_key", "seq", F.inline("labels"))
-    when = labels.join(plan.select("paper_key", F.col("seq").alias("_at")), "paper_key", "left")
-    early = when.filter("_at IS NULL OR seq < _at").drop("_at", "paper_key")
-    late = when.filter("seq > _at").drop("_at", "paper_key")
-    old = keep(write_back(index_figures(current), early))
-    found = plan.filter("e_error IS NULL").select("paper_key", F.inline("figures"))
-    replaced = plan.select("paper_key")
-    fresh = write_back(carry_labels(old.join(replaced, "paper_key", "left_semi").select(*found.columns), found), late)
-    kept = old.join(replaced, "paper_key", "left_anti")
-    names = [c for c in found.columns if c != "paper_key"]
-    nested = fresh.select(*found.columns).unionByName(kept.select(*found.columns)).groupBy("paper_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("figures"))
-    heads = plan.select("paper_key", F.col("mtime").alias("pdf_mtime"), F.col("e_version").alias("extractor_version"), F.col("e_dpi").alias("dpi"), F.col("e_error").alias("error"))
-    stay = current.join(replaced, "paper_key", "left_anti").join(labels.select("paper_key").distinct(), "paper_key", "left_semi").drop("figures")
-    out = heads.unionByName(stay).join(nested, "paper_key", "left")
-    return out.select(*heads.columns, F.coalesce("figures", F.array().cast(f"array<{_FIGURE}>")).alias("figures"))
+    record = F.struct(*[c for c in current.columns if c != "paper_key"]).alias("record")
+    return merged_changes(changes_by_paper(events).join(current.select("paper_key", record), "paper_key", "left"), version, dpi)
 
 
 def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the levelled table of index records `path` (levels.newest by paper_key) up to date with a stream of events (EVENT_SCHEMA).
 
-    Each batch reads the current records of its papers once, merges, and stores what has changed. An interrupted batch is run again from the
-    checkpoint; one that had been stored by then is passed over, so finished work is kept and nothing is applied twice.
+    Each batch is dealt by paper once, meets the current records of its papers in the buckets they are stored in, and stores what has changed.
+    An interrupted batch is run again from the checkpoint; one that had been stored by then is passed over, so finished work is kept and nothing
+    is applied twice.
     """
 
     def merge(events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
         if levels.is_stored(spark, path, batch):
             return
-        papers = events.select("paper_key").distinct()
-        known = levels.folders(spark, path)
-        held: list[DataFrame] = []
-
-        def keep(df: DataFrame) -> DataFrame:
-            held.append(df.persist(StorageLevel.DISK_ONLY))
-            return held[-1]
-
-        try:
-            current = keep(levels.newest(spark, path, "paper_key").join(papers, "paper_key", "left_semi")) if known else spark.createDataFrame([], _RECORD)
-            levels.put(merged_records(events, current, keep=keep), path, batch, "paper_key")
-        finally:
-            for df in held:
-                df.unpersist()
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        record = spark.createDataFrame([], _RECORD).drop("paper_key").schema
+        changes = levels.with_newest(changes_by_paper(events, n), path, "paper_key", "record", record)
+        with shuffles_removed(spark):
+            levels.put(merged_changes(changes), path, batch, "paper_key", buckets=n)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
