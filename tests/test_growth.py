@@ -326,3 +326,12 @@ def test_a_paper_of_many_figures_is_merged_in_place(spark):
     events = visits.as_events(said.unionByName(again, allowMissingColumns=True))
     got = visits.index_figures(visits.merged_records(events, current))
     assert got.agg(F.count("*"), F.count_if(F.col("v_category") == "data"), F.count_if((F.col("v_category") == "data") & (F.col("pos") % 2 == 0))).first() == (n, n // 2, n // 2)
+
+
+def test_records_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(q_rest, "shared_path", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(q_rest, "PAPERS_A_TASK", 150)
+    n = -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 150)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    registry.queries()["v4_maintain_index"](spark, SF)
+    assert len(list((tmp_path / "index/level=0/batch=0").glob("*.parquet"))) == n

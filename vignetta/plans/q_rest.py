@@ -157,6 +157,14 @@ def _figure(x, moved):
     )
 
 
+#: Papers whose records one task sorts in memory.
+PAPERS_A_TASK = 100_000
+
+
+def _paper_parts(spark, sf):
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base(spark, sf, "orders").count() // PAPERS_A_TASK))
+
+
 def record_events(spark, sf):
     """Three waves of events on papers: extractions, labels, extractions of stored files again, and labels again.
 
@@ -169,7 +177,7 @@ def record_events(spark, sf):
     with shuffles_removed(spark):
         figs.write.parquet(path, compression="zstd")
         # figures move as rows: as lists they are longer
-        dealt = spark.read.schema(figs.schema).parquet(path).repartition("paper_key")
+        dealt = spark.read.schema(figs.schema).parquet(path).repartition(_paper_parts(spark, sf), "paper_key")
         lists = dealt.groupBy("paper_key").agg(F.collect_list(F.struct("pos", "fig_id", "page", "num", "v_category", "v_chart_type")).alias("list"))
         rows = saved(lists.join(papers, "paper_key", "left").join(stored, "paper_key", "left"), "paper-figures", "zstd")
     remove(spark, path)
@@ -196,7 +204,7 @@ def v4_maintain(spark, sf):
     for wave in record_events(spark, sf):
         # a wave is one batch; the stream is taken up again at its checkpoint for each, and a wave's files go when it has been merged
         V.as_events(wave).write.mode("append").parquet(events, compression="zstd")
-        V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=None), path, state).awaitTermination()
+        V.maintain_index(V.watch(spark, events, V.EVENT_SCHEMA, max_files=None), path, state, _paper_parts(spark, sf)).awaitTermination()
         remove(spark, events)
     keep_until_exit(spark, path)
     keep_until_exit(spark, state)

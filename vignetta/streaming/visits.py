@@ -190,19 +190,19 @@ def merged_records(events: DataFrame, current: DataFrame, version: int = L.EXTRA
     return merged_changes(changes_by_paper(events).join(current.select("paper_key", record), "paper_key", "left"), version, dpi)
 
 
-def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def maintain_index(stream: DataFrame, path: str, checkpoint: str, buckets: int | None = None) -> StreamingQuery:
     """Keep the levelled table of index records `path` (levels.newest by paper_key) up to date with a stream of events (EVENT_SCHEMA).
 
     Each batch is dealt by paper once, meets the current records of its papers in the buckets they are stored in, and stores what has changed.
     An interrupted batch is run again from the checkpoint; one that had been stored by then is passed over, so finished work is kept and nothing
-    is applied twice.
+    is applied twice. `buckets` is spark.sql.shuffle.partitions if not given; set it so that a bucket's records suit one task.
     """
 
     def merge(events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
         if levels.is_stored(spark, path, batch):
             return
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         record = spark.createDataFrame([], _RECORD).drop("paper_key").schema
         changes = levels.with_newest(changes_by_paper(events, n), path, "paper_key", "record", record)
         with shuffles_removed(spark):
